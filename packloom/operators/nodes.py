@@ -34,7 +34,7 @@ def expand_nodes(files: DataFrame, *carry: str) -> DataFrame:
 def dedup_selection(selections: DataFrame) -> DataFrame:
     """One row per selected path of an export, at its first position."""
     return selections.groupBy("export_id", "repo", "path").agg(
-        F.min("root_ordinal").alias("root_ordinal"), F.first("is_dir").alias("is_dir")
+        F.min("root_ordinal").alias("root_ordinal"), F.max("is_dir").alias("is_dir")
     )
 
 
@@ -59,14 +59,11 @@ def reach(nodes: DataFrame, selections: DataFrame, blocked: DataFrame | None = N
     reached = chained.join(roots, ["repo", "root"]).where(
         F.col("root_is_dir") | (F.col("root") == F.col("path"))
     ).where(P.depth(F.col("root")) > F.coalesce(F.col("blocked_depth"), F.lit(-1)))
-    payload = [c for c in nodes.columns if c not in ("repo", "path", "blocked_depth")]
-    return (
-        reached.groupBy("export_id", "repo", "path")
-        .agg(
-            F.min("root_ordinal").alias("root_ordinal"),
-            F.max((F.col("root") == F.col("path")) & ~F.col("root_is_dir")).alias("explicit"),
-            *[F.first(c).alias(c) for c in payload],
-        )
+    # The node columns depend on (repo, path); as grouping keys they keep the aggregation hash-based.
+    payload = [c for c in nodes.columns if c not in ("repo", "path", "root", "blocked_depth")]
+    return reached.groupBy("export_id", "repo", "path", *payload).agg(
+        F.min("root_ordinal").alias("root_ordinal"),
+        F.max((F.col("root") == F.col("path")) & ~F.col("root_is_dir")).alias("explicit"),
     )
 
 
