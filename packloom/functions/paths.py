@@ -5,6 +5,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -41,11 +46,13 @@ def depth(path: Column) -> Column:
 
 def self_and_ancestors(path: Column) -> Column:
     """``a``, ``a/b`` ... up to the path itself; no root entry."""
-    parts = F.split(path, "/")
     return F.when(path == "", F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
+        let(
+            F.split(path, "/"),
+            lambda parts: F.transform(
+                F.sequence(F.lit(1), F.size(parts)),
+                lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
+            ),
         )
     )
 

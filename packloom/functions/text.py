@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from packloom import constants as K
+from packloom.functions.paths import let
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -38,14 +39,18 @@ def read_text(content: Column, path: Column) -> Column:
 
 
 def number_lines(text: Column) -> Column:
-    lines = F.split(text, K.LINE_BREAK, -1)
-    width = F.length(F.size(lines).cast("string"))
-    numbered = F.transform(
-        lines,
-        lambda line, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(": "), line),
-    )
+    def numbered(lines: Column) -> Column:
+        width = F.length(F.size(lines).cast("string"))
+        return F.array_join(
+            F.transform(
+                lines,
+                lambda line, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(": "), line),
+            ),
+            "\n",
+        )
+
     tail = F.when(F.endswith(text, F.lit("\n")), F.lit("\n")).otherwise(F.lit(""))
-    return F.concat(F.array_join(numbered, "\n"), tail)
+    return F.concat(let(F.split(text, K.LINE_BREAK, -1), numbered), tail)
 
 
 def is_error_text(text: Column) -> Column:

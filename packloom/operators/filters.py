@@ -9,6 +9,7 @@ from packloom.config import ExportConfig
 from packloom.functions import paths as P
 from packloom.functions import text as T
 from packloom.operators import ignore, nodes as N
+from packloom.session import materialize
 
 REASONS = ["IGNORED_NAME", "GITIGNORE", "BINARY_CONTENT", "SIZE_LIMIT", "FILENAME_FILTER"]
 
@@ -87,25 +88,26 @@ def blocked_depths(bad_dirs: DataFrame, all_dirs: DataFrame) -> DataFrame:
 def walk(files: DataFrame, selections: DataFrame, config: ExportConfig = ExportConfig()) -> DataFrame:
     """The nodes every export reaches, each with its exclusion reason (null = passes).
 
-    Directory exclusion depends on the corpus alone, so it is decided once on the directories and
-    shared by all exports.
+    Texts are read once, for the flags; the tree of nodes with its flags is written to the shared
+    folder and all later steps work on that metadata. Directory exclusion depends on the corpus alone,
+    so it is decided once on the directories and shared by all exports.
     """
     flags = measured(files, config)
     extra = [c for c in flags.columns if c.startswith("extra_")]
-    tree = N.expand_nodes(flags, "binary_content", "dropped", *extra)
-    ignored = ignore.ignored_nodes(tree, files).withColumn("gitignored", F.lit(True))
-    tree = tree.join(ignored, ["repo", "path"], "left").withColumn(
+    tree = materialize(N.expand_nodes(flags, "binary_content", "dropped", *extra), "tree")
+    ignored = materialize(ignore.ignored_nodes(tree, files), "ignored")
+    dirs = tree.where("is_dir").select("repo", "path", "name")
+    named = dirs.where(is_ignored_name(F.col("name"), config.ignored_names)).select("repo", "path")
+    ignored_dirs = dirs.select("repo", "path").join(ignored, ["repo", "path"], "left_semi")
+    bad = named.unionByName(ignored_dirs).distinct()
+    blocked = blocked_depths(bad, dirs.select("repo", F.col("path").alias("dir")))
+    tree = tree.join(ignored.withColumn("gitignored", F.lit(True)), ["repo", "path"], "left").withColumn(
         "gitignored", F.coalesce("gitignored", F.lit(False))
     )
-    all_dirs = N.directories(files)
-    ignored_dirs = ignored.select("repo", "path").join(all_dirs, ["repo", "path"], "left_semi")
-    named = all_dirs.where(is_ignored_name(P.base_name(F.col("path")), config.ignored_names))
-    bad = named.unionByName(ignored_dirs).distinct()
-    blocked = blocked_depths(bad, all_dirs.select("repo", F.col("path").alias("dir")))
     reached = N.reach(tree, selections, blocked)
-    return (
-        reached.withColumn("exclusion_reason", exclusion_reason(config))
-        .withColumn("kept", ~F.col("is_dir") & F.col("exclusion_reason").isNull() & ~F.coalesce("dropped", F.lit(False)))
+    return reached.withColumn("exclusion_reason", exclusion_reason(config)).withColumn(
+        "kept",
+        ~F.col("is_dir") & F.col("exclusion_reason").isNull() & ~F.coalesce("dropped", F.lit(False)),
     )
 
 

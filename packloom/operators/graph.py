@@ -56,8 +56,8 @@ def closure(start: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
 def transitive_imports(
     selections: DataFrame, edges: DataFrame, max_depth: int | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Closure of the imports of the selected files; a cap keeps the nearest, then the first by path."""
-    edges = materialize(edges, "edges")
+    """Closure of the imports of the selected files; a cap keeps the nearest, then the first by path.
+    ``edges`` is read once per level: pass a written table."""
     reached = closure(selected_files(selections), edges, max_depth).where(F.col("depth") > 0)
     dirs = edges.where("dst_is_dir").select("repo", F.col("dst").alias("path")).distinct()
     reached = reached.join(dirs.withColumn("is_dir", F.lit(True)), ["repo", "path"], "left").select(
@@ -118,10 +118,11 @@ def dependents_candidates(
     tokens = F.array_distinct(
         F.concat(F.regexp_extract_all("content", F.lit(_WORD), 0), F.regexp_extract_all("content", F.lit(_PAIR), 1))
     )
-    found = (
+    found = materialize(
         texts.select("repo", "path", F.explode(tokens).alias("term"))
         .join(terms_in_repo, ["repo", "term"])
-        .select("repo", "path", "stem", "verify")
+        .select("repo", "path", "stem", "verify"),
+        "found",
     )
     sure = found.where(~F.col("verify")).select("repo", "path", "stem")
     checked = (
@@ -160,8 +161,8 @@ def bidirectional(
     selections: DataFrame, files: DataFrame, edges: DataFrame, transitive: bool = True,
     limit: int = K.DEPENDENT_EXPAND_LIMIT,
 ) -> DataFrame:
-    """Dependents, imports of the selection, and direct imports of the first dependents."""
-    edges = materialize(edges, "edges")
+    """Dependents, imports of the selection, and direct imports of the first dependents. ``edges`` is
+    read several times: pass a written table."""
     used_by = materialize(dependents(selections, files, edges), "dependents")
     if transitive:
         uses = transitive_imports(selections, edges).select("export_id", "repo", "path", "is_dir")

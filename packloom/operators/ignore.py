@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packloom import constants as K
 from packloom.functions import paths as P
+from packloom.session import materialize
 
 
 def load_ignore_files(files: DataFrame) -> DataFrame:
@@ -177,14 +178,21 @@ def _below(path: Column, gi_dir: Column) -> Column:
 def applicable(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Nodes with the rule set of each ignore file on their directory chain.
 
-    The chain is resolved on distinct directories; nodes join on (repo, dir), which spreads a large
-    repository over its directories instead of one root key.
+    Which ignore files apply is resolved on distinct directories, so a node is only multiplied by the
+    files that really lie above it, and the rules travel once per ignore file, not once per directory.
     """
+    placed = sets.select("repo", "gi_dir")
     dirs = nodes.select("repo", "dir").distinct()
-    chain = dirs.select("repo", "dir", F.explode(P.dir_chain(F.col("dir"))).alias("gi_dir")).join(
-        sets, ["repo", "gi_dir"]
+    chain = (
+        dirs.select("repo", "dir", F.explode(P.dir_chain(F.col("dir"))).alias("gi_dir"))
+        .join(placed, ["repo", "gi_dir"])
+        .groupBy("repo", "dir")
+        .agg(F.collect_list("gi_dir").alias("gi_dirs"))
     )
-    return nodes.join(chain, ["repo", "dir"]).withColumn("rel", _below(F.col("path"), F.col("gi_dir")))
+    levels = nodes.select("repo", "path", "name", "dir", "is_dir").join(chain, ["repo", "dir"]).select(
+        "repo", "path", "name", "is_dir", F.explode("gi_dirs").alias("gi_dir")
+    )
+    return levels.join(sets, ["repo", "gi_dir"]).withColumn("rel", _below(F.col("path"), F.col("gi_dir")))
 
 
 def match_ignore_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -202,9 +210,9 @@ def match_ignore_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def file_verdicts(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+def file_verdicts(nodes: DataFrame, rules: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Verdict of each ignore file that matched, from its last matching rule."""
-    pairs = applicable(nodes, rule_sets(rules))
+    pairs = applicable(nodes, rule_sets(rules) if sets is None else sets)
     hits = F.filter(
         "rules", lambda r: rule_hits(r, F.col("rel"), F.col("name"), F.col("is_dir"))
     )
@@ -234,4 +242,5 @@ def ignore_hierarchy(verdicts: DataFrame) -> DataFrame:
 def ignored_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, path) of the nodes that ignore rules exclude."""
     rules = compile_ignore_rules(parse_ignore_rules(load_ignore_files(files)))
-    return ignore_hierarchy(file_verdicts(nodes, rules)).where("ignored").select("repo", "path")
+    sets = materialize(rule_sets(rules), "rules")
+    return ignore_hierarchy(file_verdicts(nodes, rules, sets)).where("ignored").select("repo", "path")

@@ -13,6 +13,7 @@ from packloom import constants as K
 from packloom.functions import paths as P
 from packloom.functions import text as T
 from packloom.operators import nodes as N
+from packloom.session import materialize
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
@@ -159,10 +160,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def import_edges(files: DataFrame) -> DataFrame:
     """Distinct (repo, src, dst, dst_is_dir) of the whole corpus."""
-    return resolve_imports(extract_imports(files), files).select("repo", "src", "dst", "dst_is_dir").distinct()
+    found = materialize(extract_imports(files), "imports")  # texts are read once
+    return resolve_imports(found, files).select("repo", "src", "dst", "dst_is_dir").distinct()
 
 
 def resolved_by(files: DataFrame, family: str) -> DataFrame:
     """Edges of one language family."""
-    mine = extract_imports(files).where(F.col("family") == family)
+    mine = materialize(extract_imports(files).where(F.col("family") == family), "imports")
     return resolve_imports(mine, files).select("repo", "src", "import_str", "dst")

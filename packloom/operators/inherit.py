@@ -22,15 +22,11 @@ def _scripts(files: DataFrame) -> DataFrame:
 
 def inheritable_elements(files: DataFrame) -> DataFrame:
     """(repo, path, name, kind), one row per declaration."""
-    found = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all("content", F.lit(pattern), 1),
-                lambda n, kind=kind: F.struct(n.alias("name"), F.lit(kind).alias("kind")),
-            )
-            for kind, pattern in K.INHERITABLE_PATTERNS.items()
-        ]
-    )
+    def declared(kind: str, pattern: str) -> Column:
+        names = F.regexp_extract_all("content", F.lit(pattern), 1)
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+
+    found = F.concat(*[declared(kind, pattern) for kind, pattern in K.INHERITABLE_PATTERNS.items()])
     return _scripts(files).select("repo", "path", F.explode(found).alias("e")).select("repo", "path", "e.name", "e.kind")
 
 

@@ -8,6 +8,7 @@ from packloom import constants as K
 from packloom.functions import paths as P
 from packloom.functions import text as T
 from packloom.operators.graph import selected_files
+from packloom.session import materialize
 
 
 def sources_of(selections: DataFrame) -> DataFrame:
@@ -50,22 +51,27 @@ def tests_by_name(selections: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _prefixes(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+    return P.let(
+        text, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, F.lit(1), n))
+    )
 
 
 def _substrings(text: Column) -> Column:
     """All distinct non-empty substrings; the texts are file stems, so this is bounded by name length."""
-    starts = F.sequence(F.lit(1), F.length(text))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n)
-                ),
+
+    def pieces(t: Column) -> Column:
+        return F.array_distinct(
+            F.flatten(
+                F.transform(
+                    F.sequence(F.lit(1), F.length(t)),
+                    lambda i: F.transform(
+                        F.sequence(F.lit(1), F.length(t) - i + 1), lambda n: F.substring(t, i, n)
+                    ),
+                )
             )
         )
-    )
+
+    return P.let(text, pieces)
 
 
 def tests_in_folders(selections: DataFrame, files: DataFrame) -> DataFrame:
@@ -174,96 +180,92 @@ def _mentions(text: Column, markers) -> Column:
     return found
 
 
-def _with_language(files: DataFrame) -> DataFrame:
-    df = P.with_path_columns(files.select("repo", "path", "content"))
-    return df.withColumn("language", T.detect_language(F.col("ext")))
+# A resource strategy states, per source row, what it looks for: a file name, a path, or a path that
+# falls back to the name. All strategies read the text in one projection.
+def _wants(by: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(by).alias("by"), v.alias("value")))
 
 
-def _links(wanted: DataFrame, files: DataFrame, on: str) -> DataFrame:
-    """(repo, src, <on>) to (repo, src, dst)."""
-    named = P.with_path_columns(files.select("repo", "path")).select("repo", "name", F.col("path").alias("dst"))
-    if on == "path":
-        named = named.select("repo", F.col("dst").alias("path"), "dst")
-    return wanted.distinct().join(named, ["repo", on]).select("repo", "src", "dst").distinct()
+def _nothing_unless(condition: Column, wants: Column) -> Column:
+    return F.when(condition, wants).otherwise(F.slice(wants, 1, 0))
 
 
-def resources_spring(sources: DataFrame, files: DataFrame) -> DataFrame:
-    df = _with_language(sources).where(F.col("language").isin(K.JVM_LANGUAGES))
-    views = df.where(_mentions(F.col("content"), K.SPRING_MARKERS)).select(
-        "repo", F.col("path").alias("src"),
-        F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(K.SPRING_VIEW_PATTERN), 1))).alias("view"),
-    )
-    exts = F.array(*[F.lit(e) for e in K.TEMPLATE_EXTENSIONS])
-    names = views.select("repo", "src", F.explode(F.transform(exts, lambda e: F.concat_ws(".", F.col("view"), e))).alias("name"))
-    return _links(names, files, "name")
+def _with_suffixes(suffixes: list[str]) -> Column:
+    return F.array(*[F.concat(F.col("stem"), F.lit(s)) for s in suffixes])
 
 
-def _styled(df: DataFrame, suffixes: list[str], files: DataFrame) -> DataFrame:
-    names = F.array(*[F.concat(F.col("stem"), F.lit(s)) for s in suffixes])
-    return _links(df.select("repo", F.col("path").alias("src"), F.explode(names).alias("name")), files, "name")
+def _spring() -> Column:
+    views = F.array_distinct(F.regexp_extract_all("content", F.lit(K.SPRING_VIEW_PATTERN), 1))
+    exts = F.array(*[F.lit(e) for e in K.TEMPLATE_EXTENSIONS])
+    names = F.flatten(F.transform(views, lambda v: F.transform(exts, lambda e: F.concat_ws(".", v, e))))
+    applies = F.col("language").isin(K.JVM_LANGUAGES) & _mentions(F.col("content"), K.SPRING_MARKERS)
+    return _nothing_unless(applies, _wants("name", names))
 
 
-def resources_react(sources: DataFrame, files: DataFrame) -> DataFrame:
-    df = P.with_path_columns(sources.select("repo", "path", "content"))
-    df = df.where(F.lower("ext").isin("jsx", "tsx", "js", "ts") & _mentions(F.col("content"), K.REACT_MARKERS))
-    return _styled(df, [f".{e}" for e in K.STYLE_EXTENSIONS] + [f".module.{e}" for e in K.STYLE_EXTENSIONS], files)
+def _react() -> Column:
+    suffixes = [f".{e}" for e in K.STYLE_EXTENSIONS] + [f".module.{e}" for e in K.STYLE_EXTENSIONS]
+    applies = F.lower("ext").isin("jsx", "tsx", "js", "ts") & _mentions(F.col("content"), K.REACT_MARKERS)
+    return _nothing_unless(applies, _wants("name", _with_suffixes(suffixes)))
 
 
-def resources_vue(sources: DataFrame, files: DataFrame) -> DataFrame:
-    df = P.with_path_columns(sources.select("repo", "path", "content"))
-    is_vue = F.coalesce(F.lower("ext") == "vue", F.lit(False))
-    df = df.where(is_vue | _mentions(F.col("content"), K.VUE_MARKERS))
-    return _styled(df, [f".{e}" for e in K.STYLE_EXTENSIONS], files)
+def _vue() -> Column:
+    is_vue = F.coalesce(F.lower("ext") == "vue", F.lit(False)) | _mentions(F.col("content"), K.VUE_MARKERS)
+    return _nothing_unless(is_vue, _wants("name", _with_suffixes([f".{e}" for e in K.STYLE_EXTENSIONS])))
 
 
-def resources_angular(sources: DataFrame, files: DataFrame) -> DataFrame:
-    df = _with_language(sources).where(
-        (F.col("language") == "TYPESCRIPT") & F.contains("content", F.lit(K.ANGULAR_MARKER))
-    )
+def _angular() -> Column:
     template = F.regexp_extract("content", K.ANGULAR_TEMPLATE_PATTERN, 1)
     block = F.regexp_extract("content", K.ANGULAR_STYLES_PATTERN, 1)
     refs = F.concat(F.array(template), F.regexp_extract_all(block, F.lit(K.QUOTED_PATTERN), 1))
-    wanted = df.select("repo", "dir", F.col("path").alias("src"), F.explode(refs).alias("ref")).where(F.col("ref") != "")
-    wanted = wanted.select("repo", "src", P.resolve_relative(F.col("dir"), F.col("ref")).alias("path"))
-    return _links(wanted, files, "path")
-
-
-def resources_literal(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """Quoted resource paths: the relative path when it exists, else every file of that name."""
-    df = P.with_path_columns(sources.select("repo", "path", "content"))
-    refs = F.array_distinct(F.regexp_extract_all("content", F.lit(K.RESOURCE_LITERAL_PATTERN), 1))
-    wanted = df.select("repo", "dir", F.col("path").alias("src"), F.explode(refs).alias("ref"))
-    wanted = wanted.select(
-        "repo", "src", "ref", P.resolve_relative(F.col("dir"), F.col("ref")).alias("path"),
-        P.base_name(F.col("ref")).alias("name"),
-    )
-    existing = files.select("repo", "path").distinct()
-    near = wanted.join(existing, ["repo", "path"], "left_semi")
-    far = wanted.join(existing, ["repo", "path"], "left_anti").select("repo", "src", "name")
-    return near.select("repo", "src", F.col("path").alias("dst")).unionByName(_links(far, files, "name")).distinct()
+    applies = (F.col("language") == "TYPESCRIPT") & F.contains("content", F.lit(K.ANGULAR_MARKER))
+    return _nothing_unless(applies, _wants("path", F.filter(refs, lambda r: r != "")))
+
 
+def _literal() -> Column:
+    return _wants("near", F.array_distinct(F.regexp_extract_all("content", F.lit(K.RESOURCE_LITERAL_PATTERN), 1)))
 
-def resources_naming(sources: DataFrame, files: DataFrame) -> DataFrame:
-    df = P.with_path_columns(sources.select("repo", "path"))
+
+def _naming() -> Column:
     exts = F.array(*[F.lit(e) for e in K.RESOURCE_EXTENSIONS])
     other = F.filter(exts, lambda e: ~F.coalesce(e == F.col("ext"), F.lit(False)))
-    names = df.select(
-        "repo", F.col("path").alias("src"), F.explode(F.transform(other, lambda e: F.concat_ws(".", F.col("stem"), e))).alias("name")
-    )
-    return _links(names, files, "name")
+    return _wants("name", F.transform(other, lambda e: F.concat_ws(".", F.col("stem"), e)))
 
 
-RESOURCE_STRATEGIES = [
-    resources_spring, resources_react, resources_vue, resources_angular, resources_literal, resources_naming,
-]
+RESOURCE_STRATEGIES = {
+    "spring": _spring, "react": _react, "vue": _vue, "angular": _angular, "literal": _literal, "naming": _naming,
+}
 
 
 def resource_links(sources: DataFrame, files: DataFrame, strategies=None) -> DataFrame:
-    """Union of the strategies; a strategy is any callable ``(sources, files) -> (repo, src, dst)``."""
+    """(repo, src, dst) by the named strategies, all by default.
+
+    A callable ``(sources, files) -> DataFrame(repo, src, dst)`` in the list is a further strategy.
+    """
+    chosen = list(RESOURCE_STRATEGIES) if strategies is None else list(strategies)
+    named = [RESOURCE_STRATEGIES[s]() for s in chosen if isinstance(s, str)]
     links = None
-    for strategy in strategies or RESOURCE_STRATEGIES:
-        one = strategy(sources, files).select("repo", "src", "dst")
-        links = one if links is None else links.unionByName(one)
+    if named:
+        df = P.with_path_columns(sources.select("repo", "path", "content"))
+        df = df.withColumn("language", T.detect_language(F.col("ext")))
+        wanted = materialize(
+            df.select("repo", "dir", F.col("path").alias("src"), F.explode(F.array_distinct(F.concat(*named))).alias("w"))
+            .select("repo", "src", "w.by", "w.value", P.resolve_relative(F.col("dir"), F.col("w.value")).alias("path")),
+            "wanted",
+        )
+        existing = files.select("repo", "path").distinct()
+        placed = wanted.where(F.col("by") != "name")
+        direct = placed.join(existing, ["repo", "path"], "left_semi").select("repo", "src", F.col("path").alias("dst"))
+        missing = wanted.where(F.col("by") == "near").join(existing, ["repo", "path"], "left_anti")
+        by_name = wanted.where(F.col("by") == "name").unionByName(missing).select(
+            "repo", "src", P.base_name(F.col("value")).alias("name"),
+            ((F.col("by") == "near") | (F.instr("value", "/") == 0)).alias("usable"),
+        ).where("usable").drop("usable").distinct()
+        names = P.with_path_columns(files.select("repo", "path")).select("repo", "name", F.col("path").alias("dst"))
+        links = direct.unionByName(by_name.join(names, ["repo", "name"]).select("repo", "src", "dst"))
+    for strategy in chosen:
+        if not isinstance(strategy, str):
+            one = strategy(sources, files).select("repo", "src", "dst")
+            links = one if links is None else links.unionByName(one)
     return links.distinct()
 
 

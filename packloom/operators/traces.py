@@ -70,29 +70,33 @@ def project_class_lookup(classified: DataFrame, project_classes: DataFrame, conf
     return marked.join(own, "_class", "left").withColumn("foldable", foldable).drop("_open", "_never", "_class", "_own")
 
 
+def _solid(line: Column) -> Column:
+    return line.rlike(r"\S")
+
+
 def fold_blocks(lines: DataFrame) -> DataFrame:
     """Add ``pos`` (position among the non-blank lines), ``block`` (position before the run, null for
-    lines that do not fold) and ``block_len``."""
-    solid = lines.where(F.regexp_replace("line", r"\s+", "") != "").withColumn(
+    lines that do not fold), ``block_len`` and ``block_indent`` (of the first line of the run)."""
+    marked = lines.withColumn("solid", _solid(F.col("line"))).withColumn(
         "_slice", F.floor(F.col("line_no") / SLICE_LINES)
     )
     inside = Window.partitionBy("trace_id", "_slice").orderBy("line_no")
-    local = solid.withColumn("_rn", F.row_number().over(inside)).withColumn(
-        "_break", F.max(F.when(~F.col("foldable"), F.col("_rn"))).over(inside)
+    local = marked.withColumn("_rn", F.sum(F.col("solid").cast("bigint")).over(inside)).withColumn(
+        "_break", F.max(F.when(F.col("solid") & ~F.col("foldable"), F.col("_rn"))).over(inside)
     )
-    slices = local.groupBy("trace_id", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.max("_break").alias("_last"))
+    slices = local.groupBy("trace_id", "_slice").agg(F.max("_rn").alias("_n"), F.max("_break").alias("_last"))
     before = Window.partitionBy("trace_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     slices = slices.withColumn("_carry", F.max(F.col("_offset") + F.col("_last")).over(before))
     placed = local.join(slices.select("trace_id", "_slice", "_offset", "_carry"), ["trace_id", "_slice"])
+    block = F.coalesce(F.col("_offset") + F.col("_break"), F.col("_carry"), F.lit(0)).cast("bigint")
     placed = placed.withColumn("pos", (F.col("_offset") + F.col("_rn")).cast("bigint")).withColumn(
-        "block",
-        F.when(
-            F.col("foldable"), F.coalesce(F.col("_offset") + F.col("_break"), F.col("_carry"), F.lit(0)).cast("bigint")
-        ),
+        "block", F.when(F.col("foldable") & F.col("solid"), block)
     ).drop("_slice", "_rn", "_break", "_offset", "_carry")
-    length = placed.where("foldable").groupBy("trace_id", "block").agg(F.count(F.lit(1)).alias("block_len"))
-    return placed.join(length, ["trace_id", "block"], "left")
+    runs = placed.where(F.col("block").isNotNull()).groupBy("trace_id", "block").agg(
+        F.count(F.lit(1)).alias("block_len"), F.min_by("indent", "pos").alias("block_indent")
+    )
+    return placed.join(runs, ["trace_id", "block"], "left")
 
 
 def _head(config: FoldConfig) -> Column:
@@ -135,51 +139,59 @@ def package_hints(blocks: DataFrame, config: FoldConfig = FoldConfig(), max_grou
     )
 
 
-def fold_lines(lines: DataFrame, project_classes: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
-    """(trace_id, pos, line): the folded traces line by line, for traces of any length."""
+def fold_rows(lines: DataFrame, project_classes: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
+    """Every line with what is shown in its place: (trace_id, line_no, line, solid, shown, mark).
+
+    The first line of a folded stretch shows the placeholder, the others show nothing (null).
+    """
     blocks = fold_blocks(project_class_lookup(classify_lines(lines), project_classes, config))
-    folded = _is_folded(config)
-    kept = blocks.where(~folded).select("trace_id", "pos", "line")
-    marks = (
-        blocks.where(folded)
-        .groupBy("trace_id", "block")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("block_len").alias("block_len"))
-    )
-    if config.preserve_indent:
-        first = blocks.where(F.col("foldable") & (F.col("pos") == F.col("block") + 1)).select("trace_id", "block", "indent")
-        marks = marks.join(first, ["trace_id", "block"])
-    else:
-        marks = marks.withColumn("indent", F.lit("    "))
+    folded, first = _is_folded(config), F.col("pos") == F.col("block") + _head(config) + 1
     if config.package_hints:
-        marks = marks.join(package_hints(blocks, config), ["trace_id", "block"], "left")
+        blocks = blocks.join(package_hints(blocks, config), ["trace_id", "block"], "left")
         note = F.coalesce(F.concat(F.lit(" ("), F.col("hints"), F.lit(")")), F.lit(""))
     else:
         note = F.lit("")
-    marks = marks.select(
-        "trace_id", (F.col("block") + _head(config) + 1).alias("pos"),
-        F.concat(F.col("indent"), F.lit("... "), F.col("n").cast("string"), F.lit(" folded frames"), note, F.lit(" ...")).alias("line"),
+    indent = F.col("block_indent") if config.preserve_indent else F.lit("    ")
+    n = (F.col("block_len") - _head(config) - _tail(config)).cast("string")
+    mark = F.concat(indent, F.lit("... "), n, F.lit(" folded frames"), note, F.lit(" ..."))
+    return blocks.select(
+        "trace_id", "line_no", "line", "solid",
+        F.when(~folded, F.col("line")).when(first, mark).alias("shown"), folded.alias("mark"),
     )
-    return kept.unionByName(marks)
 
 
-def _one_text(lines: DataFrame, order: str, name: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct(order, "line")))
-    return lines.groupBy("trace_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias(name))
+def fold_lines(lines: DataFrame, project_classes: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
+    """(trace_id, line_no, line): the folded traces line by line, for traces of any length."""
+    rows = fold_rows(lines, project_classes, config)
+    return rows.where(F.col("solid") & F.col("shown").isNotNull()).select("trace_id", "line_no", F.col("shown").alias("line"))
 
 
-def raw_text(lines: DataFrame) -> DataFrame:
-    return _one_text(lines, "line_no", "raw")
+def _texts(rows: DataFrame, config: FoldConfig) -> DataFrame:
+    """(trace_id, text, raw) from one aggregation. A trace shorter than the minimum, or without a solid
+    line, keeps its blank lines."""
+    gathered = rows.groupBy("trace_id").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line", "solid", "shown"))).alias("rows"),
+        F.bool_or("solid").alias("any_solid"),
+    )
+    raw = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    shown = F.array_join(
+        F.transform(
+            F.filter("rows", lambda r: r["solid"] & r["shown"].isNotNull()), lambda r: r["shown"]
+        ),
+        "\n",
+    )
+    untouched = (F.size("rows") < config.min_frames) | ~F.col("any_solid")
+    return gathered.select("trace_id", F.when(untouched, raw).otherwise(shown).alias("text"), raw.alias("raw"))
 
 
 def fold_traces(lines: DataFrame, project_classes: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
-    """(trace_id, text). A trace shorter than the minimum, or without a solid line, stays as it is."""
-    folded = fold_lines(lines, project_classes, config)
-    sizes = lines.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.regexp_replace("line", r"\s+", "") != "").alias("solid")
-    )
-    untouched = sizes.where((F.col("n") < config.min_frames) | ~F.col("solid")).select("trace_id")
-    whole = _one_text(lines.join(untouched, "trace_id", "left_semi"), "line_no", "text")
-    return _one_text(folded.join(untouched, "trace_id", "left_anti"), "pos", "text").unionByName(whole)
+    """(trace_id, text)."""
+    return _texts(fold_rows(lines, project_classes, config), config).select("trace_id", "text")
+
+
+def raw_text(lines: DataFrame) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("trace_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("raw"))
 
 
 def append_raw(folded: DataFrame, raw: DataFrame) -> DataFrame:
@@ -190,7 +202,9 @@ def append_raw(folded: DataFrame, raw: DataFrame) -> DataFrame:
 
 def fold_and_emit(lines: DataFrame, project_classes: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
     """(trace_id, text, chars, tokens)."""
-    out = fold_traces(lines, project_classes, config)
+    out = _texts(fold_rows(lines, project_classes, config), config)
     if config.append_raw:
-        out = append_raw(out, raw_text(lines))
-    return out.withColumn("chars", F.length("text").cast("bigint")).withColumn("tokens", T.approx_tokens(F.col("text")))
+        out = out.withColumn("text", F.concat_ws("\n", "text", F.lit(K.RAW_TRACE_MARKER), "raw"))
+    return out.select(
+        "trace_id", "text", F.length("text").cast("bigint").alias("chars"), T.approx_tokens(F.col("text")).alias("tokens")
+    )

@@ -13,6 +13,7 @@ from packloom.functions import paths as P
 from packloom.functions import text as T
 from packloom.operators import filters, graph, inherit, relate, render, summary
 from packloom.operators.imports import import_edges
+from packloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,14 @@ class Export:
 
 def export_selected(files: DataFrame, selections: DataFrame, config: ExportConfig = ExportConfig()) -> Export:
     """Export exactly the selection; directories are walked."""
-    walked = filters.file_limit(filters.walk(files, selections, config), config.file_limit)
+    return _rendered(filters.walk(files, selections, config), files, config)
+
+
+def _rendered(walked: DataFrame, files: DataFrame, config: ExportConfig) -> Export:
+    """Cut at the file limit and render what is kept. The walked metadata is written once: the limit,
+    the counters and the rendering all read it."""
+    walked = materialize(walked, "walked")
+    walked = filters.file_limit(walked, config.file_limit)
     kept = walked.where("kept").select("export_id", "repo", "path")
     return Export(walked, render.render_entries(kept, files, config), config)
 
@@ -59,14 +67,13 @@ def _export_explicit(files: DataFrame, chosen: DataFrame, config: ExportConfig)
     walked = walked.withColumn("gitignored", F.lit(False)).withColumn("explicit", F.lit(True))
     walked = walked.withColumn("exclusion_reason", filters.exclusion_reason(config))
     walked = walked.withColumn("kept", F.col("exclusion_reason").isNull() & ~F.col("dropped"))
-    walked = filters.file_limit(walked, config.file_limit)
-    kept = walked.where("kept").select("export_id", "repo", "path")
-    return Export(walked, render.render_entries(kept, files, config), config)
+    return _rendered(walked, files, config)
 
 
 def _with_related(
     files: DataFrame, selections: DataFrame, related: DataFrame, config: ExportConfig, only_if_found: bool = False
 ) -> Export:
+    related = materialize(related, "related")
     if only_if_found:
         new = related.join(selections.select("export_id", "repo", "path"), ["export_id", "repo", "path"], "left_anti")
         found = new.select("export_id").distinct()
@@ -78,12 +85,12 @@ def _with_related(
 
 
 def export_direct_imports(files, selections, config=ExportConfig(), edges=None) -> Export:
-    edges = edges if edges is not None else import_edges(files)
+    edges = edges if edges is not None else materialize(import_edges(files), "edges")
     return _with_related(files, selections, graph.direct_imports(selections, edges), config)
 
 
 def export_transitive_imports(files, selections, config=ExportConfig(), edges=None, max_depth=None, cap=None) -> Export:
-    edges = edges if edges is not None else import_edges(files)
+    edges = edges if edges is not None else materialize(import_edges(files), "edges")
     related = graph.transitive_imports(selections, edges, max_depth, cap)
     return _with_related(files, selections, related, config)
 
@@ -95,13 +102,13 @@ def truncated(related: DataFrame, cap: int) -> DataFrame:
 
 def export_dependents(files, selections, config=ExportConfig(), edges=None, cap=K.DEPENDENT_CAP) -> Export:
     """Selected files, without directories, and what depends on them."""
-    edges = edges if edges is not None else import_edges(files)
+    edges = edges if edges is not None else materialize(import_edges(files), "edges")
     picked = selections.where(~F.col("is_dir"))
     return _with_related(files, picked, graph.dependents(picked, files, edges, cap), config)
 
 
 def export_bidirectional(files, selections, config=ExportConfig(), edges=None, transitive=True) -> Export:
-    edges = edges if edges is not None else import_edges(files)
+    edges = edges if edges is not None else materialize(import_edges(files), "edges")
     related = graph.bidirectional(selections, files, edges, transitive)
     return _with_related(files, selections, related, config, only_if_found=True)
 
@@ -138,14 +145,14 @@ def export_tests(files, selections, config=ExportConfig(), cap: int | None = Non
 
 
 def export_all_tests(files, selections, config=ExportConfig(), cap: int | None = None) -> tuple[Export, DataFrame]:
-    related = relate.all_related_tests(selections, files)
+    related = materialize(relate.all_related_tests(selections, files), "related")
     related = related if cap is None else cap_related(related, cap)
     picked = selections.join(related.select("export_id").distinct(), "export_id", "left_semi")
     return _with_related(files, picked, related, config), relate.test_categories(related)
 
 
 def export_resources(files, selections, config=ExportConfig(), strategies=None) -> Export:
-    related = relate.related_resources(selections, files, strategies)
+    related = materialize(relate.related_resources(selections, files, strategies), "related")
     picked = selections.join(related.select("export_id").distinct(), "export_id", "left_semi")
     return _with_related(files, picked, related, config)
 

@@ -31,11 +31,12 @@ def _ext(n: str) -> str:
 
 
 def _stem(n: str) -> str:
-    """Files of odd blocks are tests of the block before."""
+    """Files of odd blocks are tests of the block before; styles and pages share the stem of a source."""
     before = _str(f"({n} - 10)")
     odd = f"{_b(n)} % 2 = 1"
     return (
-        f"(case when {odd} and {_s(n)} in (0, 1) then 'f' || {before} || '.test' "
+        f"(case when {n} = 33 then 'BaseTest' when {_s(n)} in (5, 6) then 'f' || {_str(f'({n} - 4)')} "
+        f"when {odd} and {_s(n)} in (0, 1) then 'f' || {before} || '.test' "
         f"when {odd} and {_s(n)} in (2, 3) then 'f' || {before} || 'Test' "
         f"when {odd} and {_s(n)} = 4 then 'test_f' || {before} else 'f' || {_str(n)} end)"
     )
@@ -76,12 +77,14 @@ export abstract class C@n extends C@t2 {
 }
 export const W@n = (p) => <W@t2 />
 memo(W@t2)
+export default {
+}
 """,
     "kt": """import @dot1
 import @dot2
 @Controller
 open class C@n : C@t2() {
-fun v() = run { return "f@t6" }
+fun v() = run { return "@view" }
 }
 """,
     "java": """import @dot1;
@@ -134,7 +137,7 @@ def files_sql(dialect: str, documents: str = "documents") -> str:
         "@own5": "own5", "@own6": "own6",
         "@dot1": "replace(p1, '/', '.')", "@dot2": "replace(p2, '/', '.')",
         "@p2": "p2", "@p0": "p0", "@p5": "p5",
-        "@t1": _str("t1"), "@t2": _str("t2"), "@t6": _str(b6), "@n": _str("n"),
+        "@t1": _str("t1"), "@t2": _str("t2"), "@view": _stem(b6), "@n": _str("n"),
     }
     filled = "head"
     for mark, value in marks.items():
@@ -162,7 +165,7 @@ from (
         select *, {_ext('n')} as e, {_stem('n')} as st, {_dir('n')} as d_, {_ext('t1')} as e1,
           {_dir('t1')} || '/' || {_stem('t1')} as p1, {_dir('t2')} || '/' || {_stem('t2')} as p2,
           {_dir(b0)} || '/' || {_stem(b0)} as p0, {_dir(b5)} || '/' || {_stem(b5)} as p5,
-          {_own_dir(b5)} || '/f' || {_str(b5)} as own5, {_own_dir(b6)} || '/f' || {_str(b6)} as own6
+          {_own_dir(b5)} || '/' || {_stem(b5)} as own5, {_own_dir(b6)} || '/' || {_stem(b6)} as own6
         from (
           select *, 'repo' || {_str('r')} as repo, n % 10 as s,
             b * 10 + (n % 10) + 1 - 2 * (n % 2) as t1,

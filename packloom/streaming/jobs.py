@@ -14,8 +14,8 @@ def stream_recent_changes(changes: DataFrame, hours: int = 24, slide: str = "1 h
     return (
         changes.withWatermark("ts", delay)
         .groupBy(F.window("ts", f"{hours} hours", slide).alias("w"), "repo")
-        .agg(F.count(F.lit(1)).alias("n_changes"), F.approx_count_distinct("path").alias("approx_files"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "repo", "n_changes", "approx_files")
+        .agg(F.count(F.lit(1)).alias("n_changes"))
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "repo", "n_changes")
     )
 
 
