@@ -245,7 +245,7 @@ def _summary(kind: str, source: str, stats: str, url: str) -> str:
     """Summary text of one format over a stats CTE."""
     esc = lambda e: f"replace(replace(replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
     nl = "chr(10)"
-    line = f"chars || ' chars | ' || tokens || ' tokens | ' || printf('%.1f', pct) || '%'"
+    line = f"chars || ' chars | ' || tokens || ' tokens | ' || printf('%.1f', round(pct, 1)) || '%'"
     if kind == "plain":
         item = f"'    ' || path || {nl} || '    ' || {line} || {nl}"
         text = (f"'**Repository Info**' || {nl} || {nl} || 'Repository' || {nl} || '    ' || {url} || {nl} || 'Generated At' || {nl} || '    01.03.2024, 12:00:00' || {nl} "
@@ -258,7 +258,7 @@ def _summary(kind: str, source: str, stats: str, url: str) -> str:
                 f"|| '## Total Size' || {nl} || c || ' chars' || {nl} || '## Total Tokens' || {nl} || t || ' tokens' || {nl} || {nl} || '## Top 10 Files' || {nl} || {nl} || items")
     else:
         item = (f"'      <file>' || {nl} || '        <path>' || {esc('path')} || '</path>' || {nl} || '        <chars>' || chars || '</chars>' || {nl} "
-                f"|| '        <tokens>' || tokens || '</tokens>' || {nl} || '        <percentage>' || printf('%.1f', pct) || '</percentage>' || {nl} || '      </file>' || {nl}")
+                f"|| '        <tokens>' || tokens || '</tokens>' || {nl} || '        <percentage>' || printf('%.1f', round(pct, 1)) || '</percentage>' || {nl} || '      </file>' || {nl}")
         text = (f"'<repository-summary>' || {nl} || '  <repository-info>' || {nl} || '    <repository-url>' || {esc(url)} || '</repository-url>' || {nl} "
                 f"|| '    <generated-at>01.03.2024, 12:00:00</generated-at>' || {nl} || '    <format>xml</format>' || {nl} || '  </repository-info>' || {nl} "
                 f"|| '  <pack-summary>' || {nl} || '    <total-files>' || n || '</total-files>' || {nl} || '    <total-chars>' || c || '</total-chars>' || {nl} "
@@ -567,7 +567,7 @@ cte("changed", """
 select distinct c.export_id, c.repo, c.path from cur_p c
 where not exists (select 1 from last_p l where l.export_id = c.export_id and l.path = c.path)
   and exists (select 1 from files f where f.repo = c.repo and f.path = c.path)""", "cur_p", "last_p", "files")
-_KB = lambda b: f"case when {b} / 1024.0 < 1024 then printf('%.1f KB', {b} / 1024.0) else printf('%.1f MB', {b} / 1024.0 / 1024.0) end"
+_KB = lambda b: f"case when {b} / 1024.0 < 1024 then printf('%.1f KB', round({b} / 1024.0, 1)) else printf('%.1f MB', round({b} / 1024.0 / 1024.0, 1)) end"
 _LINE = lambda n, b, t: f"{n} || ' files, ' || {_KB(b)} || ', ~' || format('{{:,}}', cast({t} as bigint)) || ' tokens'"
 _CATEGORY = f"""case
   when not coalesce(ext in {_in(K.TEST_CODE_EXTENSIONS)}, false) and (contains(lower('/' || path), '/test/') or contains(lower('/' || path), '/tests/')) then 'resource'
@@ -626,7 +626,7 @@ from entries group by export_id""", "entries")
     q["directory_tree"] = sql("select export_id, text from tree_wide", "tree_wide")
     q["token_count"] = sql(f"select repo, path, {_TOKENS('content')} as approx_tokens from files", "files")
     q["size_display"] = sql(f"""
-select repo, path, {_KB('b')} as history, case when b / 1048576.0 >= 1 then printf('%.1fMB', b / 1048576.0) else printf('%.1fKB', b / 1024.0) end as notice,
+select repo, path, {_KB('b')} as history, case when b / 1048576.0 >= 1 then printf('%.1fMB', round(b / 1048576.0, 1)) else printf('%.1fKB', round(b / 1024.0, 1)) end as notice,
   format('{{:,}}', b) as grouped from (select *, size_bytes * 97 as b from files) z""", "files")
     q["normalize_paths"] = sql("select doc_id, case when repo = 'repo1' then '' else path end as path from files", "files")
     q["extract_imports"] = sql("select repo, src, language, import_str from imports", "imports")
