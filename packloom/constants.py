@@ -217,7 +217,8 @@ ALWAYS_FOLD_PREFIXES = [
 NEVER_FOLD_PREFIXES = ["org.springframework.test.context.", "com.mycompany.myapp."]
 RAW_TRACE_MARKER = "--- folded above; raw trace below ---"
 
-# Approximate token pattern: a word, up to three digits, or one other visible character.
+# A token, approximately: a word, up to three digits, or one other visible character. The library
+# counts without building the list; the SQL checks use the pattern.
 TOKEN_PATTERN = r"[A-Za-z]+|[0-9]{1,3}|[^ \t\r\n\f\x0BA-Za-z0-9]"
 
 LINE_BREAK = r"\r\n|\n|\r"

@@ -12,10 +12,9 @@ from packloom.functions.paths import let
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Value of ``key`` in a constant map, null when missing."""
-    flat: list[Column] = []
-    for k, v in mapping.items():
-        flat += [F.lit(k), F.lit(v)]
-    return F.try_element_at(F.create_map(*flat), key)
+    flat = [item for pair in mapping.items() for item in pair]
+    quoted = ", ".join("'" + item.replace("\\", "\\\\").replace("'", "\\'") + "'" for item in flat)
+    return F.try_element_at(F.expr(f"map({quoted})"), key)
 
 
 def detect_language(ext: Column) -> Column:
@@ -121,8 +120,13 @@ def escape_xml(text: Column) -> Column:
 
 
 def approx_tokens(text: Column) -> Column:
-    """Approximate token count; the exact vocabulary is not part of the library."""
-    return F.regexp_count(text, F.lit(K.TOKEN_PATTERN)).cast("bigint")
+    """Approximate token count; the exact vocabulary is not part of the library.
+
+    Words and groups of up to three digits shrink to one character, every other visible character is a
+    token already, so the count is a length and no list of tokens is built.
+    """
+    marks = F.regexp_replace(text, r"[A-Za-z]+|[0-9]{1,3}", "x")
+    return F.length(F.translate(marks, " \t\r\n\f\x0b", "")).cast("bigint")
 
 
 def history_size(n_bytes: Column) -> Column:
@@ -163,13 +167,22 @@ _CLEAN_BYTES = (
 )
 
 
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
 def is_binary_content(content: Column) -> Column:
-    """Binary test on the first 1024 bytes: a NUL, or more than 30 % suspicious bytes."""
+    """Binary test on the first 1024 bytes: a NUL, or more than 30 % suspicious bytes.
+
+    Valid text without control characters cannot be binary (only a character cut off at the end of the
+    sample would count), so almost every file is decided by the first test.
+    """
+    start = F.substring(content.cast("string"), 1, 1024)
+    clean = F.is_valid_utf8(start) & ~start.rlike(_CONTROL)
     sample = F.hex(F.substring(content.cast("binary"), 1, 1024))
     body = F.regexp_replace(sample, "^(?:EFBBBF|FFFE|FEFF)", "")
     spaced = F.regexp_replace(body, "(..)", "$1 ")
     suspicious = F.length(F.regexp_replace(spaced, _CLEAN_BYTES, "")) / 3
     total = F.length(body) / 2
-    return F.when(total == 0, F.lit(False)).otherwise(
+    return F.when(clean | (total == 0), F.lit(False)).otherwise(
         spaced.rlike("(?:^| )00 ") | (suspicious / total > F.lit(0.30))
     )

@@ -31,55 +31,64 @@ def extract_imports(files: DataFrame) -> DataFrame:
     )
 
 
-def _entry(family: str, key: Column, prio: int, when: Column, exact: bool = False) -> Column:
+def _entry(family: str, key: Column, prio: Column | int, when: Column, exact: bool = False) -> Column:
+    rank = prio if isinstance(prio, Column) else F.lit(prio)
     return F.when(
         when,
-        F.struct(F.lit(family).alias("family"), key.alias("key"), F.lit(prio).alias("prio"), F.lit(exact).alias("exact")),
+        F.struct(F.lit(family).alias("family"), key.alias("key"), rank.cast("int").alias("prio"), F.lit(exact).alias("exact")),
     )
 
 
-def _cut(path: Column, n: int) -> Column:
-    """``path`` without its last ``n`` characters."""
-    return F.substring(path, F.lit(1), F.length(path) - n)
-
-
-def _under(path: Column, root: str) -> tuple[Column, Column]:
-    """(is below root, path below root)."""
-    if root == "":
-        return F.lit(True), path
-    return F.startswith(path, F.lit(root + "/")), F.substring(path, F.lit(len(root) + 2), F.length(path))
+def _rank(value: Column, listed: list[str]) -> Column:
+    """1-based position in a fixed list, 0 when it is not there."""
+    return F.coalesce(F.array_position(F.expr("array(" + ", ".join(f"'{v}'" for v in listed) + ")"), value), F.lit(0))
 
 
 def lookup_keys(files: DataFrame) -> DataFrame:
     """(repo, family, key, prio, exact, dst, dst_is_dir): the names files and directories answer to."""
     nodes = N.expand_nodes(files.select("repo", "path", "size_bytes")).select("repo", "path", "name", "is_dir")
-    path, name, is_file = F.col("path"), F.col("name"), ~F.col("is_dir")
-    entries: list[Column] = [_entry("path", path, 0, F.lit(True), exact=True)]
-    for i, ext in enumerate(K.SCRIPT_RELATIVE_EXTENSIONS):
-        entries.append(_entry("script", _cut(path, len(ext)), 1 + i, is_file & F.endswith(path, F.lit(ext))))
-    for i, index in enumerate(K.SCRIPT_INDEX_FILES):
-        entries.append(_entry("script", P.dir_name(path), 10 + i, is_file & (name == index)))
-    for r, root in enumerate(K.SCRIPT_ROOTS):
-        inside, below = _under(path, root)
-        entries.append(_entry("root", below, 20 * r, inside, exact=True))
-        for i, ext in enumerate(K.SCRIPT_ROOT_EXTENSIONS):
-            entries.append(_entry("root", _cut(below, len(ext)), 20 * r + 1 + i, is_file & inside & F.endswith(path, F.lit(ext))))
-        for i, index in enumerate(K.SCRIPT_INDEX_FILES):
-            entries.append(_entry("root", P.dir_name(below), 20 * r + 10 + i, is_file & inside & (name == index)))
-    for family, root in (("alias_src", "src"), ("alias_top", "")):
-        inside, below = _under(path, root)
-        entries.append(_entry(family, below, 200, inside, exact=True))
-        for i, ext in enumerate(K.SCRIPT_ALIAS_EXTENSIONS):
-            entries.append(_entry(family, _cut(below, len(ext)), 201 + i, is_file & inside & F.endswith(path, F.lit(ext))))
-    for r, root in enumerate(K.JVM_ROOTS):
-        inside, below = _under(path, root)
-        entries.append(_entry("jvm", below, 3 * r, inside, exact=True))
-        for i, ext in enumerate(K.JVM_EXTENSIONS):
-            entries.append(_entry("jvm", _cut(below, len(ext)), 3 * r + 1 + i, is_file & inside & F.endswith(path, F.lit(ext))))
-    entries.append(_entry("python", _cut(path, 3), 0, is_file & F.endswith(path, F.lit(".py"))))
-    entries.append(_entry("package", P.dir_name(path), 0, is_file & (name == "__init__.py")))
-    for i, ext in enumerate(K.CSS_EXTENSIONS):
-        entries.append(_entry("style", _cut(path, len(ext)), 1 + i, is_file & F.endswith(path, F.lit(ext))))
+    path = F.col("path")
+    suffix = F.when(~F.col("is_dir"), F.concat(F.lit("."), P.extension(F.col("name"))))
+    nodes = nodes.select(
+        "repo", "path", "is_dir", suffix.alias("suffix"), F.substring_index("path", "/", 1).alias("top"),
+        F.when(F.instr("path", "/") > 0, F.expr("substring(path, instr(path, '/') + 1)")).alias("below"),
+        F.when(~F.col("is_dir"), _rank(F.col("name"), K.SCRIPT_INDEX_FILES)).otherwise(F.lit(0)).alias("index_rank"),
+        (F.col("name") == "__init__.py").alias("is_init"),
+    )
+    below, suffix, index_rank = F.col("below"), F.col("suffix"), F.col("index_rank")
+
+    def bare(p: Column) -> Column:
+        return F.substring(p, F.lit(1), F.length(p) - F.length(suffix))
+
+    def under(root: str) -> tuple[Column, Column]:
+        if root == "":
+            return F.lit(True), path
+        return F.startswith(path, F.lit(root + "/")), F.substring(path, F.lit(len(root) + 2), F.length(path))
+
+    script, rooted = _rank(suffix, K.SCRIPT_RELATIVE_EXTENSIONS), _rank(suffix, K.SCRIPT_ROOT_EXTENSIONS)
+    alias, style, jvm = _rank(suffix, K.SCRIPT_ALIAS_EXTENSIONS), _rank(suffix, K.CSS_EXTENSIONS), _rank(suffix, K.JVM_EXTENSIONS)
+    root = _rank(F.col("top"), K.SCRIPT_ROOTS)
+    in_root = (root > 0) & below.isNotNull()
+    in_src = (F.col("top") == "src") & below.isNotNull()
+    entries = [
+        _entry("path", path, 0, F.lit(True), exact=True),
+        _entry("script", bare(path), script, script > 0),
+        _entry("script", P.dir_name(path), index_rank + 9, index_rank > 0),
+        _entry("root", below, 20 * root, in_root, exact=True),
+        _entry("root", bare(below), 20 * root + rooted, in_root & (rooted > 0)),
+        _entry("root", P.dir_name(below), 20 * root + 9 + index_rank, in_root & (index_rank > 0)),
+        _entry("alias_src", below, 200, in_src, exact=True),
+        _entry("alias_src", bare(below), 200 + alias, in_src & (alias > 0)),
+        _entry("alias_top", path, 200, F.lit(True), exact=True),
+        _entry("alias_top", bare(path), 200 + alias, alias > 0),
+        _entry("python", bare(path), 0, suffix == ".py"),
+        _entry("package", P.dir_name(path), 0, F.col("is_init") & ~F.col("is_dir")),
+        _entry("style", bare(path), style, style > 0),
+    ]
+    for r, jvm_root in enumerate(K.JVM_ROOTS):
+        inside, rest = under(jvm_root)
+        entries.append(_entry("jvm", rest, 3 * r, inside, exact=True))
+        entries.append(_entry("jvm", bare(rest), 3 * r + jvm, inside & (jvm > 0)))
     return nodes.select(
         "repo", path.alias("dst"), F.col("is_dir").alias("dst_is_dir"),
         F.explode(F.array_compact(F.array(*entries))).alias("e"),
@@ -89,8 +98,10 @@ def lookup_keys(files: DataFrame) -> DataFrame:
 def lookup_requests(imports: DataFrame) -> DataFrame:
     """Add ``requests``: the lookups one import stands for, each with the rank it starts at."""
     s, lang = F.col("import_str"), F.col("family")
-    rel = P.resolve_relative(F.col("dir"), s)
-    plain = P.resolve_relative(F.lit(""), s)
+    imports = imports.withColumn("_rel", P.resolve_relative(F.col("dir"), s)).withColumn(
+        "_plain", P.resolve_relative(F.lit(""), s)
+    )
+    rel, plain = F.col("_rel"), F.col("_plain")
     # After a trailing slash or dot segment only the exact path can still be meant.
     open_end = s.rlike(r"(^|/)\.{0,2}$")
 
@@ -125,7 +136,7 @@ def lookup_requests(imports: DataFrame) -> DataFrame:
             ask("style", rel, 0, (lang == "CSS") & ~open_end),
         )
     )
-    return imports.withColumn("requests", requests)
+    return imports.withColumn("requests", requests).drop("_rel", "_plain")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from packloom import constants as K
 from packloom.config import FoldConfig
 from packloom.functions import text as T
 from packloom.operators.filters import cap_per_group
+from packloom.session import materialize
 
 SLICE_LINES = 4096
 
@@ -25,7 +26,8 @@ def raw_lines(traces: DataFrame) -> DataFrame:
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """Add ``kind`` (caused_by, suppressed, frame, ellipsis, other), ``class_name`` and ``indent``."""
+    """Add ``solid`` (not blank), ``kind`` (caused_by, suppressed, frame, ellipsis, other), ``class_name``
+    and ``indent``."""
     trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
     kind = (
         F.when(trimmed.rlike(K.CAUSED_BY_PATTERN), F.lit("caused_by"))
@@ -34,7 +36,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(trimmed.rlike(K.ELLIPSIS_PATTERN), F.lit("ellipsis"))
         .otherwise(F.lit("other"))
     )
-    return lines.withColumn("kind", kind).withColumn(
+    return lines.withColumn("solid", F.col("line").rlike(r"\S")).withColumn("kind", kind).withColumn(
         "class_name", F.when(F.col("kind") == "frame", F.regexp_extract("line", K.FRAME_PATTERN, 1))
     ).withColumn("indent", F.regexp_extract("line", r"^[ \t]*", 0))
 
@@ -70,16 +72,10 @@ def project_class_lookup(classified: DataFrame, project_classes: DataFrame, conf
     return marked.join(own, "_class", "left").withColumn("foldable", foldable).drop("_open", "_never", "_class", "_own")
 
 
-def _solid(line: Column) -> Column:
-    return line.rlike(r"\S")
-
-
 def fold_blocks(lines: DataFrame) -> DataFrame:
     """Add ``pos`` (position among the non-blank lines), ``block`` (position before the run, null for
     lines that do not fold), ``block_len`` and ``block_indent`` (of the first line of the run)."""
-    marked = lines.withColumn("solid", _solid(F.col("line"))).withColumn(
-        "_slice", F.floor(F.col("line_no") / SLICE_LINES)
-    )
+    marked = lines.withColumn("_slice", F.floor(F.col("line_no") / SLICE_LINES))
     inside = Window.partitionBy("trace_id", "_slice").orderBy("line_no")
     local = marked.withColumn("_rn", F.sum(F.col("solid").cast("bigint")).over(inside)).withColumn(
         "_break", F.max(F.when(F.col("solid") & ~F.col("foldable"), F.col("_rn"))).over(inside)
@@ -140,23 +136,32 @@ def package_hints(blocks: DataFrame, config: FoldConfig = FoldConfig(), max_grou
 
 
 def fold_rows(lines: DataFrame, project_classes: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
-    """Every line with what is shown in its place: (trace_id, line_no, line, solid, shown, mark).
+    """Every line with what is shown in its place: (trace_id, line_no, line, solid, shown).
 
-    The first line of a folded stretch shows the placeholder, the others show nothing (null).
+    The first line of a folded stretch shows the placeholder, the others show nothing (null). Lines are
+    read and classified once; blocks are worked out without the texts, and only folded lines come back.
     """
-    blocks = fold_blocks(project_class_lookup(classify_lines(lines), project_classes, config))
-    folded, first = _is_folded(config), F.col("pos") == F.col("block") + _head(config) + 1
+    looked = materialize(project_class_lookup(classify_lines(lines), project_classes, config), "lines")
+    narrow = looked.select("trace_id", "line_no", "solid", "foldable", "class_name", "indent")
+    blocks = materialize(
+        fold_blocks(narrow).where(F.col("block_len") >= config.min_frames).where(_is_folded(config)), "folded"
+    )
+    first = F.col("pos") == F.col("block") + _head(config) + 1
+    marks = blocks.where(first)
     if config.package_hints:
-        blocks = blocks.join(package_hints(blocks, config), ["trace_id", "block"], "left")
+        marks = marks.join(package_hints(blocks, config), ["trace_id", "block"], "left")
         note = F.coalesce(F.concat(F.lit(" ("), F.col("hints"), F.lit(")")), F.lit(""))
     else:
         note = F.lit("")
     indent = F.col("block_indent") if config.preserve_indent else F.lit("    ")
     n = (F.col("block_len") - _head(config) - _tail(config)).cast("string")
     mark = F.concat(indent, F.lit("... "), n, F.lit(" folded frames"), note, F.lit(" ..."))
-    return blocks.select(
+    changed = marks.select("trace_id", "line_no", mark.alias("mark")).unionByName(
+        blocks.where(~first).select("trace_id", "line_no", F.lit(None).cast("string").alias("mark"))
+    ).withColumn("gone", F.lit(True))
+    return looked.select("trace_id", "line_no", "line", "solid").join(changed, ["trace_id", "line_no"], "left").select(
         "trace_id", "line_no", "line", "solid",
-        F.when(~folded, F.col("line")).when(first, mark).alias("shown"), folded.alias("mark"),
+        F.when(F.col("gone").isNull(), F.col("line")).otherwise(F.col("mark")).alias("shown"),
     )
 
 

@@ -38,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     return made_up
 
 
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/packloom/{label}-{uuid.uuid4().hex}"
 
@@ -47,7 +50,8 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     loss of executors, unlike a block kept on them."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    # Small row groups, so that a table of texts can be read back by many tasks.
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
