@@ -5,8 +5,6 @@ prefixes, the file limit by a running sum, folding by plain windows.
 """
 from __future__ import annotations
 
-import re
-
 from packloom import constants as K
 from packloom.sources import views as V
 
@@ -286,12 +284,6 @@ select export_id, substr(split_part(body, chr(10), 1), 14) as path, length(inner
 from (select *, {_AFTER('body')} as inner_text from entries where starts_with(body, '// filename: ')) s0""", "entries")
 
 # --- imports -----------------------------------------------------------------------------------------------
-_CANON = lambda e: e
-_EXTRACT = "case family " + " ".join(
-    f"when '{fam}' then list_concat({', '.join(f'regexp_extract_all(content, {_lit(p)}, 1)' for p in pats)})"
-    if len(pats) > 1 else "" for fam, pats in K.IMPORT_PATTERNS.items()
-) + " end"
-
 
 def _concat_all(pats) -> str:
     out = f"regexp_extract_all(content, {_lit(pats[0])}, 1)"
@@ -318,7 +310,6 @@ def _cands(base: str, suffixes) -> str:
 
 
 _INDEX = ["/" + i for i in K.SCRIPT_INDEX_FILES]
-_SCRIPT_ABS = "list_concat(" + "[]::varchar[]" + ")"
 _abs = []
 for _root in K.SCRIPT_ROOTS:
     _abs += [f"'{_root}/' || import_str || {_lit(s)}" for s in ["", *K.SCRIPT_ROOT_EXTENSIONS, *_INDEX]]

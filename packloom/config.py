@@ -19,7 +19,7 @@ class ExportConfig:
     repo_summary: bool = False
     line_numbers: bool = True
     output_format: str = "plain"  # plain | markdown | xml
-    # (reason, callable(files DataFrame) -> boolean Column) pairs, evaluated after the built-in chain
+    # (reason, callable(files DataFrame) -> boolean Column[, position in the chain])
     extra_filters: tuple = field(default=())
 
 

@@ -32,9 +32,10 @@ def language_family(language: Column) -> Column:
 
 
 def read_text(content: Column, path: Column) -> Column:
-    """UTF-8 text of a binary column; undecodable bytes give the marker that drops the row."""
-    marker = F.concat(F.lit("// Error reading file: "), path, F.lit(" (malformed input)"))
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(marker)
+    """UTF-8 text of a binary column, malformed bytes replaced; without content the marker that drops
+    the row."""
+    marker = F.concat(F.lit("// Error reading file: "), path)
+    return F.coalesce(F.make_valid_utf8(content.cast("string")), marker)
 
 
 def number_lines(text: Column) -> Column:

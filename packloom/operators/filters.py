@@ -45,34 +45,40 @@ def measured(files: DataFrame, config: ExportConfig) -> DataFrame:
     """
     df = P.with_path_columns(files)
     cheap = is_known_binary(F.col("ext")) | is_too_big(F.col("size_bytes"), config.max_file_size_kb)
+    # A scan of raw files has already tested the bytes before decoding them.
+    by_content = F.col("binary_bytes") if "binary_bytes" in files.columns else T.is_binary_content(F.col("content"))
     df = df.withColumn(
-        "binary_content", F.when(cheap, F.lit(False)).otherwise(T.is_binary_content(F.col("content")))
+        "binary_content", F.when(cheap, F.lit(False)).otherwise(by_content)
     ).withColumn("dropped", T.is_dropped(F.col("content"), config.line_numbers))
     extra = []
-    for i, (_, test) in enumerate(config.extra_filters):
+    for i, (_, test, *_) in enumerate(config.extra_filters):
         df = df.withColumn(f"extra_{i}", test(df))
         extra.append(f"extra_{i}")
     return df.select("repo", "path", "size_bytes", "binary_content", "dropped", *extra)
 
 
 def exclusion_reason(config: ExportConfig) -> Column:
-    """First failing filter; needs ``gitignored`` and ``explicit`` next to the node columns."""
+    """First failing filter; needs ``gitignored`` and ``explicit`` next to the node columns.
+
+    Own filters stand at the position they ask for, at the end without one.
+    """
     is_file = ~F.col("is_dir")
-    chain = (
-        F.when(is_ignored_name(F.col("name"), config.ignored_names), F.lit("IGNORED_NAME"))
-        .when(F.col("gitignored") & ~F.col("explicit"), F.lit("GITIGNORE"))
-        .when(is_file & is_known_binary(F.col("ext")), F.lit("BINARY_CONTENT"))
-        .when(is_file & is_too_big(F.col("size_bytes"), config.max_file_size_kb), F.lit("SIZE_LIMIT"))
-        .when(is_file & F.col("binary_content"), F.lit("BINARY_CONTENT"))
-    )
+    chain = [
+        ("IGNORED_NAME", is_ignored_name(F.col("name"), config.ignored_names)),
+        ("GITIGNORE", F.col("gitignored") & ~F.col("explicit")),
+        ("BINARY_CONTENT", is_file & is_known_binary(F.col("ext"))),
+        ("SIZE_LIMIT", is_file & is_too_big(F.col("size_bytes"), config.max_file_size_kb)),
+        ("BINARY_CONTENT", is_file & F.col("binary_content")),
+    ]
     if config.filters_enabled:
-        chain = chain.when(
-            is_file & fails_filename_filter(F.col("name"), config.filename_filters),
-            F.lit("FILENAME_FILTER"),
-        )
-    for i, (reason, _) in enumerate(config.extra_filters):
-        chain = chain.when(is_file & F.col(f"extra_{i}"), F.lit(reason))
-    return chain
+        failed = fails_filename_filter(F.col("name"), config.filename_filters)
+        chain.append(("FILENAME_FILTER", is_file & failed))
+    for i, (reason, _, *position) in enumerate(config.extra_filters):
+        chain.insert(position[0] if position else len(chain), (reason, is_file & F.col(f"extra_{i}")))
+    first = F
+    for reason, failed in chain:
+        first = first.when(failed, F.lit(reason))
+    return first
 
 
 def blocked_depths(bad_dirs: DataFrame, all_dirs: DataFrame) -> DataFrame:

@@ -103,40 +103,47 @@ def stem_terms(starts: DataFrame) -> DataFrame:
     )
 
 
-def dependents_candidates(
-    selections: DataFrame, files: DataFrame, max_bytes: int = K.DEPENDENT_MAX_BYTES
-) -> DataFrame:
-    """Files whose text holds the stem of a selected file as a whole word.
+def stem_hits(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(repo, path, stem): which of the stems each text holds as a whole word.
 
     Texts are split into distinct words and word pairs, which meet the distinct stems of their
     repository in an equi-join; no text is tested against a list of stems.
     """
-    start = P.with_path_columns(selected_files(selections))
-    terms = stem_terms(start.select("export_id", "repo", "stem").distinct())
-    terms_in_repo = terms.select("repo", "stem", "term", "verify").distinct()
-    texts = searchable(files, max_bytes)
+    wanted = terms.select("repo", "stem", "term", "verify").distinct()
     tokens = F.array_distinct(
         F.concat(F.regexp_extract_all("content", F.lit(_WORD), 0), F.regexp_extract_all("content", F.lit(_PAIR), 1))
     )
     found = materialize(
         texts.select("repo", "path", F.explode(tokens).alias("term"))
-        .join(terms_in_repo, ["repo", "term"])
+        .join(wanted, ["repo", "term"])
         .select("repo", "path", "stem", "verify"),
         "found",
     )
-    sure = found.where(~F.col("verify")).select("repo", "path", "stem")
     checked = (
         found.where("verify").select("repo", "path", "stem")
         .join(texts.select("repo", "path", "content"), ["repo", "path"])
         .where(F.rlike("content", _whole_word(F.col("stem"))))
         .select("repo", "path", "stem")
     )
-    per_stem = sure.unionByName(checked)
+    return found.where(~F.col("verify")).select("repo", "path", "stem").unionByName(checked)
+
+
+def _selected_terms(selections: DataFrame) -> DataFrame:
+    start = P.with_path_columns(selected_files(selections))
+    return stem_terms(start.select("export_id", "repo", "stem").distinct())
+
+
+def dependents_candidates(
+    selections: DataFrame, files: DataFrame, max_bytes: int = K.DEPENDENT_MAX_BYTES
+) -> DataFrame:
+    """Files whose text holds the stem of a selected file as a whole word."""
+    terms = _selected_terms(selections)
     return (
-        per_stem.join(terms.select("export_id", "repo", "stem"), ["repo", "stem"])
+        stem_hits(terms, searchable(files, max_bytes))
+        .join(terms.select("export_id", "repo", "stem"), ["repo", "stem"])
         .select("export_id", "repo", "path")
         .distinct()
-        .join(start.select("export_id", "repo", "path"), ["export_id", "repo", "path"], "left_anti")
+        .join(selected_files(selections), ["export_id", "repo", "path"], "left_anti")
     )
 
 
@@ -145,15 +152,23 @@ def dependents(
 ) -> DataFrame:
     """Files that import a selected file and whose text names one, the first ``cap`` by path.
 
-    The reversed edges come first: only files that import something selected have their text searched.
+    The reversed edges come first: only files that import something selected have their text searched,
+    and a hit only counts for the exports that file already belongs to. A stem that occurs everywhere
+    thus never multiplies exports with files.
     """
     start = selected_files(selections)
     importers = edges.join(start, (edges.repo == start.repo) & (edges.dst == start.path)).select(
         start.export_id, edges.repo, F.col("src").alias("path")
     ).distinct()
-    scope = files.join(importers.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    named = dependents_candidates(selections, scope)
-    confirmed = importers.join(named, ["export_id", "repo", "path"], "left_semi")
+    importers = materialize(importers.join(start, ["export_id", "repo", "path"], "left_anti"), "importers")
+    scope = searchable(files).join(importers.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    terms = _selected_terms(selections)
+    confirmed = (
+        importers.join(stem_hits(terms, scope), ["repo", "path"])
+        .join(terms.select("export_id", "repo", "stem"), ["export_id", "repo", "stem"], "left_semi")
+        .select("export_id", "repo", "path")
+        .distinct()
+    )
     return cap_per_group(confirmed, ["export_id"], [F.col("path"), F.col("repo")], cap)
 
 

@@ -13,7 +13,7 @@ from packloom.operators import filters, graph, ignore, imports, inherit, nodes,
 from packloom.plans import exports
 from packloom.session import materialize, scratch_path
 from packloom.sources import corpus_io
-from packloom.sources.views import Corpus
+from packloom.sources.views import EXPORT_HISTORY_SQL, Corpus, trace_lines_sql
 from packloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +75,8 @@ def load_ignore_files(c):
 def load_commits(c):
     path = scratch_path(c.spark, "commits")
     c.commits.write.parquet(path)
-    return corpus_io.load_commits(c.spark, path)
+    loaded = corpus_io.load_commits(c.spark, path)
+    return loaded.withColumn("committed_at", F.col("committed_at").cast("timestamp_ntz"))
 
 
 @query
@@ -708,16 +709,15 @@ def stream_recent_changes(c):
 
 @query
 def stream_fold_traces(c):
-    lines = _event_stream(c)
-    lines.createOrReplaceTempView("event_stream")
-    from packloom.sources.views import trace_lines_sql
+    def lines(source: DataFrame, view: str) -> DataFrame:
+        source.createOrReplaceTempView(view)
+        text = trace_lines_sql("spark").replace("from events", f"from {view}")
+        return c.spark.sql(text.replace("select event_id as", "select cast(ts as timestamp) as ts, event_id as"))
 
-    text = trace_lines_sql("spark").replace("from events", "from event_stream").replace(
-        "select event_id as trace_id", "select cast(ts as timestamp) as ts, event_id as trace_id"
-    )
     out = scratch_path(c.spark, "folded")
     jobs.stream_fold_traces(
-        c.spark.sql(text), c.project_classes, out, scratch_path(c.spark, "stream"), config=FOLD
+        lines(_event_stream(c), "event_stream"), lines(c.table("events"), "event_table"), c.project_classes, out,
+        scratch_path(c.spark, "stream"), config=FOLD,
     ).awaitTermination()
     return c.spark.read.schema("trace_id bigint, text string").parquet(f"{out}/batch=*")
 
@@ -725,8 +725,6 @@ def stream_fold_traces(c):
 @query
 def stream_history(c):
     _event_stream(c).createOrReplaceTempView("event_stream")
-    from packloom.sources.views import EXPORT_HISTORY_SQL
-
     stream = c.spark.sql(EXPORT_HISTORY_SQL.replace("from events", "from event_stream"))
     out = scratch_path(c.spark, "history")
     jobs.stream_history(stream, out, scratch_path(c.spark, "stream")).awaitTermination()

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from packloom.config import FoldConfig
 from packloom.operators import summary, traces
+from packloom.session import materialize
 
 
 def stream_recent_changes(changes: DataFrame, hours: int = 24, slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -20,22 +21,31 @@ def stream_recent_changes(changes: DataFrame, hours: int = 24, slide: str = "1 h
 
 
 def stream_fold_traces(
-    lines: DataFrame, project_classes: DataFrame, out_path: str, checkpoint: str,
+    lines: DataFrame, archive: DataFrame, project_classes: DataFrame, out_path: str, checkpoint: str,
     gap: str = "10 minutes", delay: str = "1 hour", config: FoldConfig = FoldConfig(),
 ) -> StreamingQuery:
     """Fold each trace once no line has arrived for ``gap``; (trace_id, line_no, line, ts) in.
 
-    The stream only gathers the lines of a closed session, in one row; folding is the batch job. A
-    batch is written under its id, so a repeated batch replaces itself.
+    The state is one small row per open trace, never its lines: the stream only finds out which traces
+    are closed, and their lines are read from ``archive``, the same lines as a table. Folding is the
+    batch job. A batch is written under its id, so a repeated batch replaces itself.
     """
     closed = (
         lines.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("session"), "trace_id")
-        .agg(F.collect_list(F.struct("line_no", "line")).alias("rows"))
+        .agg(F.count(F.lit(1)).alias("n_lines"))
+        .select("trace_id", F.col("session.start").alias("start"), F.col("session.end").alias("end"))
     )
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        gathered = batch.select("trace_id", F.inline("rows"))
+        done = materialize(batch, "closed")
+        span = done.agg(F.min("start").alias("start"), F.max("end").alias("end")).first()
+        if span.start is None:
+            return
+        recent = archive.where((F.col("ts") >= F.lit(span.start)) & (F.col("ts") < F.lit(span.end)))
+        gathered = recent.join(done, "trace_id").where(
+            (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))
+        ).select("trace_id", "line_no", "line")
         folded = traces.fold_traces(gathered, project_classes, config)
         folded.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 

@@ -79,6 +79,15 @@ def test_custom_filter(corpus, select):
     assert reasons(filters.walk(files, select("s/"), config)) == {"s": None, "s/a.txt": "HAS_TODO", "s/b.txt": None}
 
 
+def test_custom_filter_position(corpus, select):
+    files = corpus({"s/a.png": "TODO"})
+    todo = lambda df: F.contains(df.content, F.lit("TODO"))
+    last = ExportConfig(extra_filters=(("HAS_TODO", todo),))
+    first = ExportConfig(extra_filters=(("HAS_TODO", todo, 0),))
+    assert reasons(filters.walk(files, select("s/"), last))["s/a.png"] == "BINARY_CONTENT"
+    assert reasons(filters.walk(files, select("s/"), first))["s/a.png"] == "HAS_TODO"
+
+
 def test_cap_per_group_equals_a_plain_window_on_a_hot_group(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"), (F.col("id") * 7919 % 20011).alias("v"))
     for n in (3, 1500):
