@@ -489,22 +489,33 @@ cte("peers", """
 select distinct s.export_id, f.repo, f.path from sources s join files f on f.repo = s.repo and f.dir = s.dir and f.path <> s.path""", "sources", "files")
 
 
+_PASSES = (
+    f"f.name not in {_in(K.IGNORED_NAMES)} and not coalesce(lower(f.ext) in {_in(K.BINARY_EXTENSIONS)}, false) "
+    f"and f.size_bytes <= 16 * 1024 and not {_BINARY.replace('content', 'f.content')}"
+)
+
+
 def _kept_of(related: str, selection: str = "sel", only_if_found: bool = False) -> str:
-    """Kept set of an export of explicitly named files (directories among the relations are walked: none here)."""
+    """First 200 kept files of an export of explicitly named files, the selection before the related
+    files (directories among the relations are walked: none here)."""
     found = f" where export_id in (select export_id from {related})" if only_if_found else ""
     return f"""
-select u.export_id, f.repo, f.path, b.approx_tokens from (
-  select export_id, repo, path from {selection}{found} union select export_id, repo, path from {related}) u
-join files f using (repo, path) join bodies b using (repo, path)
-where f.name not in {_in(K.IGNORED_NAMES)} and not coalesce(lower(f.ext) in {_in(K.BINARY_EXTENSIONS)}, false)
-  and f.size_bytes <= 16 * 1024 and not {_BINARY.replace('content', 'f.content')}"""
+select export_id, repo, path, approx_tokens from (
+  select u.export_id, f.repo, f.path, b.approx_tokens,
+    row_number() over (partition by u.export_id order by u.o, string_split(f.path, '/')) as rk
+  from (select export_id, repo, path, min(o) as o from (
+    select export_id, repo, path, 0 as o from {selection}{found}
+    union all select export_id, repo, path, 1 as o from {related}) u0 group by all) u
+  join files f using (repo, path) join bodies b using (repo, path) where {_PASSES}) k0
+where rk <= 200"""
 
 
-def _kept_only(chosen: str) -> str:
+def _kept_only(chosen: str, group: str = "repo") -> str:
     return f"""
-select c.*, b.approx_tokens from ({chosen}) c join files f using (repo, path) join bodies b using (repo, path)
-where f.name not in {_in(K.IGNORED_NAMES)} and not coalesce(lower(f.ext) in {_in(K.BINARY_EXTENSIONS)}, false)
-  and f.size_bytes <= 16 * 1024 and not {_BINARY.replace('content', 'f.content')}"""
+select * exclude (rk) from (
+  select c.*, b.approx_tokens, row_number() over (partition by c.{group} order by string_split(f.path, '/')) as rk
+  from ({chosen}) c join files f using (repo, path) join bodies b using (repo, path) where {_PASSES}) k0
+where rk <= 200"""
 
 
 # --- traces ------------------------------------------------------------------------------------------------
@@ -714,7 +725,7 @@ select export_id, count(*) filter (status = 'added') as added, count(*) filter (
     q["export_package"] = sql(_kept_of("peers"), "peers", "sel", "files", "bodies")
     q["export_recent_changes"] = sql(_kept_only(f"select repo, path from times where mtime > {NOW} - interval 24 hours"), "times", "files", "bodies")
     q["export_last_commit"] = sql(_kept_only("select repo, path from latest"), "latest", "files", "bodies")
-    q["export_changes_only"] = sql(_kept_only("select export_id, repo, path from changed"), "changed", "files", "bodies")
+    q["export_changes_only"] = sql(_kept_only("select export_id, repo, path from changed", "export_id"), "changed", "files", "bodies")
     # Windows that end before the newest event minus the allowed delay.
     q["stream_recent_changes"] = sql("""
 select w as window_start, w + interval 24 hours as window_end, 'repo' || (user_id % 20) as repo, count(*) as n_changes

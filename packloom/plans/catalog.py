@@ -246,7 +246,8 @@ def render_xml(c):
 
 @query
 def directory_tree(c):
-    kept = materialize(_walk(c, WIDE).where("kept").select("export_id", "path"), "kept")
+    walked = filters.file_limit(materialize(_walk(c, WIDE), "walked"), WIDE.file_limit)
+    kept = materialize(walked.where("kept").select("export_id", "path"), "kept")
     return render.directory_tree(kept, include_files=True)
 
 
