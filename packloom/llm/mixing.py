@@ -2,7 +2,7 @@
 
 A target of 2.3 times a document's share is met by two whole copies and an inclusion probability of 0.3.
 The flight phase moves the vector of probabilities through the null space of the two constraints, documents
-and words, until at most eight per block are fractional, small ones for the most part; leftovers of many blocks meet in fewer, larger
+and words, until at most eight per block are fractional; leftovers of many blocks meet in fewer, larger
 blocks until one per source is left, where landing takes the rounding nearest to the words due.
 
 Sources are ordered by code point, null last. A null text has size 0. Empty tables give empty ones;
@@ -100,11 +100,10 @@ def _land(p: list[float], x: list[float]) -> list[float]:
 
 
 def _block(pdf: pd.DataFrame, seed: int, land: bool) -> pd.DataFrame:
-    # Large documents first: what stays loose at the end is small.
-    pdf = pdf.sort_values(["size", "salt", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["salt", "doc_id", "size"], kind="stable").reset_index(drop=True)
     rng = np.random.Generator(np.random.PCG64([seed, len(pdf), int(pdf["size"].sum())]))
     p, x = pdf["p"].tolist(), pdf["size"].astype(float).tolist()
-    held = max(0, len(p) - (LANDED if land else HELD))  # the smallest stay loose, to land on
+    held = max(0, len(p) - (LANDED if land else HELD))  # a few of all sizes stay loose, to land on
     p = _fly(p[:held], x[:held], rng.random) + p[held:]
     return pdf.assign(p=_land(p, x) if land else p)
 
