@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packloom.llm import mixing, piece_counts, token_files
+from packloom.llm import language, licenses, mixing, piece_counts, quality, token_files
 from packloom.session import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +18,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = language.train(docs, F.coalesce(_fold(4) != 2, F.lit(False)))
+    return language.identify(docs, chain).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    network = quality.train(docs, labels, F.coalesce(_fold(3) != 1, F.lit(False)))
+    return quality.score(docs, network).select(
+        "doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -32,6 +55,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,

@@ -85,7 +85,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word: polynomial prefix sums over random byte values."""
+    """64-bit hash of each word, given in order of place: polynomial prefix sums over random byte values."""
     values, out = _LOWERED if lower else _BYTE, np.empty(len(starts), _U)
     a = 0
     while a < len(starts):
