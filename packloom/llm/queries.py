@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import language, licenses, mixing, piece_counts, quality, token_files
+from packloom.llm import language, licenses, mixing, piece_counts, quality, shingle_join, token_files
 from packloom.session import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def _fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shingle_join": op1_shingle_join,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
