@@ -20,7 +20,8 @@ its own band and of the one below.
   a signature; two such sets that are linked share one.
 
 So every linked pair of different sets shares a signature. Buckets of two or more nodes are kept (a hot
-signature costs time in proportion to its rows and no memory), and nodes in them have their sets fetched.
+signature costs time in proportion to its rows and no memory). A node that shares fewer signatures in an instance
+than any linked pair must, m_j + 1 less its empty parts, is left out. The rest have their sets fetched.
 
 Links. In a few rounds every node of an unresolved bucket is compared with one leader, the one with which it shares
 most signatures; verified links merge components, and buckets within one component are done. In what is left all
@@ -43,11 +44,11 @@ from pyspark.sql import functions as F
 
 from packloom.llm import words as W
 from packloom.llm.components import components
-from packloom.session import materialize
+from packloom.session import materialize, scratch_path
 
 SKETCH_BITS = 1024
 FILTER_WORDS = 1 << 18
-ROUNDS, BLOCK, HELD = 3, 2048, 2_000_000
+ROUNDS, BLOCK, SMALL, HELD = 2, 2048, 64, 2_000_000
 _U = np.uint64
 _WEIGHTS = W.mix(np.arange(101, 133, dtype=_U)) | _U(1)
 
@@ -118,12 +119,13 @@ def node_ids(owner: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, W.mix(_sums(owner, W.mix(code ^ _U(0xA5A5A5A5)), n) + size.astype(_U)).view(np.int64)
 
 
-def signatures(owner: np.ndarray, code: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, signature) of all sets; empty sets have none."""
-    out_doc, out_sig = [], []
+def signatures(owner: np.ndarray, code: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, signature, need) of all sets; empty sets have none. ``need`` is twice the number of
+    signatures that a linked set shares at least within this instance, plus 1 for the instance of the band below."""
+    out_doc, out_sig, out_need = [], [], []
     some = np.flatnonzero(size)
     if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     band = np.zeros(len(size), np.int64)
     band[some] = bands.of(size[some])
     values = W.mix(code + _U(0x1234567))
@@ -142,9 +144,10 @@ def signatures(owner: np.ndarray, code: np.ndarray, size: np.ndarray, bands: Ban
         tag = W.mix(inst.astype(_U) + _U(1 << 20) )
         large = (k > 3)[doc_of]
         use = np.flatnonzero(large & (counts > 0))
+        empty = np.bincount(doc_of[large & (counts == 0)], minlength=len(size))
+        need = 2 * np.where(k > 3, np.maximum(m + 1 - empty, 1), 1) + below
         out_doc.append(doc_of[use])
         out_sig.append(W.mix(sums[use] + tag[doc_of[use]] + part_of[use].astype(_U) * _U(0x9E3779B97F4A7C15)))
-        empty = np.bincount(doc_of[large & (counts == 0)], minlength=len(size))
         thin = ok & (k > 3) & (empty > m)
         for kk in range(4):
             docs = np.flatnonzero(ok & (k == kk))
@@ -159,7 +162,8 @@ def signatures(owner: np.ndarray, code: np.ndarray, size: np.ndarray, bands: Ban
         each = np.flatnonzero(thin[owner])
         out_doc.append(owner[each])
         out_sig.append(W.mix(code[each] ^ tag[owner[each]] ^ _U(0x77777777)))
-    return np.concatenate(out_doc), np.concatenate(out_sig).view(np.int64)
+        out_need += [need[d] for d in out_doc[len(out_need):]]
+    return np.concatenate(out_doc), np.concatenate(out_sig).view(np.int64), np.concatenate(out_need).astype(np.int32)
 
 
 def parity(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
@@ -203,11 +207,12 @@ def signature_rows(docs: DataFrame, width: int, similarity: Fraction) -> DataFra
                 fresh &= ~np.isin(node, recent)
                 recent = np.concatenate([recent[-100_000:], node[fresh]])
                 keep = fresh[owner]
-                doc, sig = signatures(owner[keep], code[keep], np.where(fresh, size, 0), bands)
+                doc, sig, need = signatures(owner[keep], code[keep], np.where(fresh, size, 0), bands)
                 for a in range(0, len(sig), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[a: a + (1 << 17)]), pa.array(node[doc[a: a + (1 << 17)]])], names=["sig", "node"])
+                    b = a + (1 << 17)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[a:b]), pa.array(node[doc[a:b]]), pa.array(need[a:b])], names=["sig", "node", "need"])
 
-    return docs.mapInArrow(run, "sig bigint, node bigint")
+    return docs.mapInArrow(run, "sig bigint, node bigint, need int")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -215,37 +220,44 @@ def buckets(rows: DataFrame) -> DataFrame:
     signature of its part and a bounded buffer, however many rows one signature has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_sig, first_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        first = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held: list[list[np.ndarray]] = []
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first_sig, first_node, held, n
-            sig = np.concatenate([first_sig, *(x for x, _ in held)])
-            node = np.concatenate([first_node, *(y for _, y in held)])
+            nonlocal first, held, n
+            sig, node, need = (np.concatenate(c) for c in zip(first, *held))
             held, n = [], 0
             order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
+            sig, node, need = sig[order], node[order], need[order]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node = sig[new], node[new]
+            sig, node, need = sig[new], node[new], need[new]
             head = np.ones(len(sig), bool)
             head[1:] = sig[1:] != sig[:-1]
             shared = ~head
             shared[:-1] |= ~head[1:]
-            first_sig, first_node = sig[head], node[head]
+            first = [sig[head], node[head], need[head]]
             if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(node[shared])], names=["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (sig, node, need)], names=["sig", "node", "need"])
 
         for batch in batches:
-            held.append((batch.column("sig").to_numpy(), batch.column("node").to_numpy()))
+            held.append([batch.column(c).to_numpy() for c in ("sig", "node", "need")])
             n += len(batch)
-            if n >= max(HELD, len(first_sig)):
+            if n >= max(HELD, len(first[0])):
                 yield from flush()
         if n:
             yield from flush()
 
-    return rows.repartition("sig").mapInArrow(run, "sig bigint, node bigint")
+    return rows.repartition("sig").mapInArrow(run, "sig bigint, node bigint, need int")
+
+
+def enough(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that share as many signatures, with anyone, as a link takes; what is left alone in its
+    bucket goes too."""
+    per = rows.groupBy("node", "need").agg(F.count("*").alias("c")).where(F.col("c") >= F.floor(F.col("need") / 2)).select("node", "need")
+    kept = rows.join(per, ["node", "need"]).select("sig", "node")
+    return kept.join(kept.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"), "sig")
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -310,6 +322,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFra
     return pairs.join(x, "a").join(y, "b").where(lengths).select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """A table in the shared folder, bucketed by ``key``: joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _unresolved(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows (sig, node, comp) of buckets that still hold two components."""
     known = rows.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
@@ -345,22 +366,41 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
+    small = rows.where(F.col("m") <= SMALL).select("sig", "node", "comp")
+    x, y = small.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca")), small.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    near = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y")]
+            apart = np.bitwise_count(s[0] ^ s[1]).sum(1)
+            keep = apart * (down + up) <= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (down - up)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    sketches = materialize(sets.select("node", "n", "sketch"), "sketches")
+    xs = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    ys = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    near = near.join(xs, "a").join(ys, "b").where(
+        (F.col("na") * down >= F.col("nb") * up) & (F.col("nb") * down >= F.col("na") * up)).mapInArrow(sift, "a bigint, b bigint")
+    rows = rows.where(F.col("m") > SMALL)
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
-    sized = rows.distinct().join(sets.select("node", "n", "sketch"), "node").withColumn("own", own)
+    sized = rows.join(sketches, "node").withColumn("own", own)
     # Block i meets block j for all i, j; a pair of nodes is taken where the smaller one is on the left.
     spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     lefts = spread.select("sig", F.col("own").alias("i"), F.col("other").alias("j"), "node", "comp", "n", "sketch", F.lit(True).alias("l"), (F.col("own") == F.col("other")).alias("r"))
     rights = spread.where("own <> other").select("sig", F.col("other").alias("i"), F.col("own").alias("j"), "node", "comp", "n", "sketch", F.lit(False).alias("l"), F.lit(True).alias("r"))
-    return lefts.unionByName(rights).groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    far = lefts.unionByName(rights).groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return near.unionByName(far).distinct()
 
 
 def node_links(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """Verified links (a, b) between nodes: all that components need."""
     spark = docs.sparkSession
-    rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets")
+    rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets").distinct()
+    rows = materialize(enough(rows), "buckets")
     nodes = materialize(rows.select("node").distinct(), "nodes")
-    sets = materialize(node_sets(docs, nodes, width), "sets")
+    sets = bucketed(node_sets(docs, nodes, width), "node", "sets")
     links = spark.createDataFrame([], "a bigint, b bigint")
     comps = nodes.select("node", F.col("node").alias("comp"))
     for turn in range(ROUNDS + 1):
