@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import decontaminate, language, licenses, mixing, piece_counts, quality, shingle_join, token_files
+from packloom.llm import decontaminate, embedding_join, language, licenses, mixing, piece_counts, quality, shingle_join, token_files
 from packloom.session import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shingle_join": op1_shingle_join,
+    "op2_embedding_join": op2_embedding_join,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
