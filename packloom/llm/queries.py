@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import decontaminate, embedding_join, language, licenses, mixing, piece_counts, quality, shingle_join, token_files
+from packloom.llm import attention_lm, decontaminate, embedding_join, language, licenses, mixing, piece_counts, quality, shingle_join, token_files
 from packloom.session import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,6 +52,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = attention_lm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2, public_tokenizers.path(WORD_BPE))
+    return scored.select("doc_id", F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
+    "op7_lm_scores": op7_lm_scores,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
