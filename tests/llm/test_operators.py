@@ -314,9 +314,10 @@ def test_mixing(docs, none, texts):
     assert all(r["size"] == sizes[r.doc_id] and 0 <= r.taken <= 2 * r["size"] for r in out)
     source = {}
     for r in out:
-        source.setdefault((r.source_size, r.target), []).append(r.taken)
+        source.setdefault((r.source_size, r.target), []).append((r.taken, r["size"]))
     assert sum(t for _, t in source) == pytest.approx(1.5 * sum(s for s, _ in source)) and all(t <= 2 * s for s, t in source)
-    assert all(abs(sum(v) - t) <= 100 for (_, t), v in source.items())
+    # No draw of whole documents can come nearer than half of one that holds most of its source.
+    assert all(abs(sum(x for x, _ in v) - t) <= 100 + max(n for _, n in v) / 2 for (_, t), v in source.items())
     assert mixing.mix(none).count() == 0
     assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
 
