@@ -23,18 +23,21 @@ def local_session(app: str = "packloom", cores: str = "*", partitions: int = 8)
     )
 
 
+_MADE_UP = "spark.packloom.madeUpDir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
     A temporary folder is only made up for a local master; on a cluster the setting is required.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_MADE_UP, None)
     if configured:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made_up = tempfile.mkdtemp(prefix="packloom-")
-    spark.conf.set("spark.checkpoint.dir", made_up)
+    spark.conf.set(_MADE_UP, made_up)  # the core setting cannot be set once a session runs
     return made_up
 
 
