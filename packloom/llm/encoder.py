@@ -88,18 +88,22 @@ class WordEncoder:
             j = np.searchsorted(self.keys, unique)
         return self.place[j][inverse] if len(unique) else np.zeros(0, np.int64)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text). ``found``: (text index, start, end, hash) of the words, if known."""
         n_texts = len(offsets) - 1
-        doc, starts, ends = W.spans(data, offsets, W.NOT_SPACE)
+        if found is None:
+            doc, starts, ends = W.spans(data, offsets, W.NOT_SPACE)
+            key = W.hashes(data, starts, ends)
+        else:
+            doc, starts, ends, key = found
         special = np.zeros(n_texts, bool)
         if len(data) > 1:
             hit = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
             special[np.searchsorted(offsets, hit, "right") - 1] = True
         if special.any():
             keep = ~special[doc]
-            doc, starts, ends = doc[keep], starts[keep], ends[keep]
-        place = self._places(data, starts, ends, W.hashes(data, starts, ends))
+            doc, starts, ends, key = doc[keep], starts[keep], ends[keep], key[keep]
+        place = self._places(data, starts, ends, key)
         n = self.n[place] if len(place) else np.zeros(0, np.int64)
         total = int(n.sum())
         step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
