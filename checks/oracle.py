@@ -347,7 +347,7 @@ select distinct s.export_id, f.repo, f.path from (select distinct export_id, rep
 join files f on f.repo = s.repo
 where f.ext in {_in(K.DEPENDENT_EXTENSIONS)} and f.size_bytes <= {K.DEPENDENT_MAX_BYTES}
   and not list_has_any(string_split(f.dir, '/'), {_list(K.DEPENDENT_SKIP_DIRS)})
-  and regexp_matches(f.content, '\b' || replace(s.stem, '.', '\.') || '\b')
+  and regexp_matches(f.content, '(?:^|[^\p{L}\p{M}\p{Nd}\p{Pc}])' || replace(s.stem, '.', '\.') || '(?:$|[^\p{L}\p{M}\p{Nd}\p{Pc}])')
   and not exists (select 1 from sel o where o.export_id = s.export_id and o.repo = f.repo and o.path = f.path)""", "sources", "files", "sel")
 cte("dependents", f"""
 select export_id, repo, path from (
@@ -567,7 +567,7 @@ select distinct c.repo, c.path from commits c join (
 join files f on f.repo = c.repo and f.path = c.path where c.change_type <> 'deleted'""", "commits", "files")
 cte("changed", """
 select distinct c.export_id, c.repo, c.path from cur_p c
-where not exists (select 1 from last_p l where l.export_id = c.export_id and l.path = c.path)
+where not exists (select 1 from last_p l where l.export_id = c.export_id and l.repo = c.repo and l.path = c.path)
   and exists (select 1 from files f where f.repo = c.repo and f.path = c.path)""", "cur_p", "last_p", "files")
 _KB = lambda b: f"case when {b} / 1024.0 < 1024 then printf('%.1f KB', round({b} / 1024.0, 1)) else printf('%.1f MB', round({b} / 1024.0 / 1024.0, 1)) end"
 _LINE = lambda n, b, t: f"{n} || ' files, ' || {_KB(b)} || ', ~' || format('{{:,}}', cast({t} as bigint)) || ' tokens'"
@@ -699,12 +699,12 @@ select repo, export_id, ts, {_LINE('file_count', 'size_bytes', 'tokens')} as sum
     q["last_commit_files"] = sql("select repo, path from latest", "latest")
     q["cap_related"] = sql("select export_id, repo, path from (select *, row_number() over (partition by export_id order by path, repo) as rk from peers) p where rk <= 5", "peers")
     q["union_selection"] = sql("select export_id, repo, path from sel union select export_id, repo, path from peers", "sel", "peers")
-    q["diff_added"] = sql("select export_id, path from cur_p except select export_id, path from last_p", "cur_p", "last_p")
-    q["diff_removed"] = sql("select export_id, path from last_p except select export_id, path from cur_p", "cur_p", "last_p")
-    q["diff_unchanged"] = sql("select export_id, path from last_p intersect select export_id, path from cur_p", "cur_p", "last_p")
+    q["diff_added"] = sql("select export_id, repo, path from cur_p except select export_id, repo, path from last_p", "cur_p", "last_p")
+    q["diff_removed"] = sql("select export_id, repo, path from last_p except select export_id, repo, path from cur_p", "cur_p", "last_p")
+    q["diff_unchanged"] = sql("select export_id, repo, path from last_p intersect select export_id, repo, path from cur_p", "cur_p", "last_p")
     status = """
-select export_id, path, case when l.p is null then 'added' when c.p is null then 'removed' else 'unchanged' end as status
-from (select *, path as p from cur_p) c full outer join (select *, path as p from last_p) l using (export_id, path)"""
+select export_id, repo, path, case when l.p is null then 'added' when c.p is null then 'removed' else 'unchanged' end as status
+from (select *, path as p from cur_p) c full outer join (select *, path as p from last_p) l using (export_id, repo, path)"""
     q["export_diff"] = sql(status, "cur_p", "last_p")
     q["diff_counts"] = sql(f"""
 select export_id, count(*) filter (status = 'added') as added, count(*) filter (status = 'removed') as removed,

@@ -19,6 +19,9 @@ class ExportConfig:
     repo_summary: bool = False
     line_numbers: bool = True
     output_format: str = "plain"  # plain | markdown | xml
+    dependent_cap: int = K.DEPENDENT_CAP
+    dependent_max_bytes: int = K.DEPENDENT_MAX_BYTES
+    dependent_expand_limit: int = K.DEPENDENT_EXPAND_LIMIT
     # (reason, callable(files DataFrame) -> boolean Column[, position in the chain])
     extra_filters: tuple = field(default=())
 

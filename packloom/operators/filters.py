@@ -121,13 +121,12 @@ def cap_per_group(df: DataFrame, group: list[str], order: list, n: int, rank: st
     """First ``n`` rows of each group.
 
     A first cut within hashed slices keeps a hot group out of one task: every slice sends at most
-    ``n`` rows on. (Up to 1000 rows Spark also cuts map-side, before the shuffle.)
+    ``n`` rows on. The plan is the same for every ``n``.
     """
-    if n > 1000:
-        slice_of = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64))
-        df = df.withColumn("_slice", slice_of)
-        within = Window.partitionBy(*group, "_slice").orderBy(*order)
-        df = df.withColumn("_rn", F.row_number().over(within)).where(F.col("_rn") <= n).drop("_slice", "_rn")
+    slice_of = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64))
+    within = Window.partitionBy(*group, "_slice").orderBy(*order)
+    df = df.withColumn("_slice", slice_of).withColumn("_rn", F.row_number().over(within))
+    df = df.where(F.col("_rn") <= n).drop("_slice", "_rn")
     name = rank or "_rank"
     over = Window.partitionBy(*group).orderBy(*order)
     top = df.withColumn(name, F.row_number().over(over)).where(F.col(name) <= n)
@@ -135,13 +134,13 @@ def cap_per_group(df: DataFrame, group: list[str], order: list, n: int, rank: st
 
 
 def file_limit(walked: DataFrame, limit: int = 200) -> DataFrame:
-    """Stop each export after its ``limit``-th kept file in walk order.
+    """Stop each export after its ``limit``-th kept file in walk order; equal paths follow by repository.
 
     Only the position of that file is needed. The kept nodes are cut to the first ``limit`` per export
     (map-side, see ``cap_per_group``), the last of them is the cut-off, and one row per export joins
     back: no export is ever ordered as a whole in one task.
     """
-    order = F.struct(F.col("root_ordinal"), P.dfs_key(F.col("path")).alias("key"))
+    order = F.struct(F.col("root_ordinal"), P.dfs_key(F.col("path")).alias("key"), F.col("repo"))
     kept = walked.where("kept").select("export_id", order.alias("position"))
     first = cap_per_group(kept, ["export_id"], [F.col("position")], limit)
     cut = (

@@ -68,9 +68,12 @@ def transitive_imports(
     return reached
 
 
-_WORD = r"\w+"
+# Word characters are those of Unicode, in texts, stems and the final test alike.
+_WORD = r"(?U)\w+"
 # Two neighbouring words with the short separator between them, overlapping.
-_PAIR = r"\b(?=(\w+[^\w\s]{1,3}\w+))"
+_PAIR = r"(?U)\b(?=(\w+[^\w\s]{1,3}\w+))"
+# All that stands between two words, for stems made of such characters only.
+_BETWEEN = r"(?U)(?<=\w)\W+(?=\w)"
 
 
 def searchable(files: DataFrame, max_bytes: int = K.DEPENDENT_MAX_BYTES) -> DataFrame:
@@ -82,36 +85,40 @@ def searchable(files: DataFrame, max_bytes: int = K.DEPENDENT_MAX_BYTES) -> Data
 
 
 def _whole_word(stem: Column) -> Column:
-    quoted = F.regexp_replace(stem, r"([^A-Za-z0-9_])", r"\\$1")
-    return F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))
+    quoted = F.regexp_replace(stem, r"([\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F])", r"\\$1")
+    return F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b"))
 
 
 def stem_terms(starts: DataFrame) -> DataFrame:
-    """Search key of every selected stem: a word, or a pair of words, that any match must contain.
+    """Search key of every selected stem: a word, a pair of words, or, for a stem without word characters,
+    the stem itself, which then is all that stands between two words.
 
-    ``verify`` marks stems the key does not decide alone. A stem without a word character has no
-    useful key and is not searched.
+    ``verify`` marks stems the key does not decide alone. The empty stem (``.env``) is no name and is not
+    searched for.
     """
     stem = F.col("stem")
     words = F.regexp_extract_all(stem, F.lit(_WORD), 0)
     pairs = F.regexp_extract_all(stem, F.lit(_PAIR), 1)
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return starts.where(F.size(words) > 0).select(
+    return starts.where(stem != "").select(
         "*",
-        F.when(stem.rlike(r"^\w+$"), stem).when(F.size(pairs) > 0, F.try_element_at(pairs, F.lit(1))).otherwise(longest).alias("term"),
-        (~stem.rlike(r"^\w+$") & ~stem.rlike(r"^\w+[^\w\s]{1,3}\w+$")).alias("verify"),
+        F.when(F.size(words) == 0, stem).when(stem.rlike(r"(?U)^\w+$"), stem).when(F.size(pairs) > 0, F.try_element_at(pairs, F.lit(1))).otherwise(longest).alias("term"),
+        ((F.size(words) > 0) & ~stem.rlike(r"(?U)^\w+$") & ~stem.rlike(r"(?U)^\w+[^\w\s]{1,3}\w+$")).alias("verify"),
     )
 
 
 def stem_hits(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """(repo, path, stem): which of the stems each text holds as a whole word.
 
-    Texts are split into distinct words and word pairs, which meet the distinct stems of their
+    Texts are split into distinct words, word pairs and separators, which meet the distinct stems of their
     repository in an equi-join; no text is tested against a list of stems.
     """
     wanted = terms.select("repo", "stem", "term", "verify").distinct()
     tokens = F.array_distinct(
-        F.concat(F.regexp_extract_all("content", F.lit(_WORD), 0), F.regexp_extract_all("content", F.lit(_PAIR), 1))
+        F.concat(
+            F.regexp_extract_all("content", F.lit(_WORD), 0), F.regexp_extract_all("content", F.lit(_PAIR), 1),
+            F.regexp_extract_all("content", F.lit(_BETWEEN), 0),
+        )
     )
     found = materialize(
         texts.select("repo", "path", F.explode(tokens).alias("term"))
@@ -148,7 +155,8 @@ def dependents_candidates(
 
 
 def dependents(
-    selections: DataFrame, files: DataFrame, edges: DataFrame, cap: int = K.DEPENDENT_CAP
+    selections: DataFrame, files: DataFrame, edges: DataFrame, cap: int = K.DEPENDENT_CAP,
+    max_bytes: int = K.DEPENDENT_MAX_BYTES,
 ) -> DataFrame:
     """Files that import a selected file and whose text names one, the first ``cap`` by path.
 
@@ -161,7 +169,7 @@ def dependents(
         start.export_id, edges.repo, F.col("src").alias("path")
     ).distinct()
     importers = materialize(importers.join(start, ["export_id", "repo", "path"], "left_anti"), "importers")
-    scope = searchable(files).join(importers.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    scope = searchable(files, max_bytes).join(importers.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     terms = _selected_terms(selections)
     confirmed = (
         importers.join(stem_hits(terms, scope), ["repo", "path"])
@@ -174,11 +182,12 @@ def dependents(
 
 def bidirectional(
     selections: DataFrame, files: DataFrame, edges: DataFrame, transitive: bool = True,
-    limit: int = K.DEPENDENT_EXPAND_LIMIT,
+    limit: int = K.DEPENDENT_EXPAND_LIMIT, used_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Dependents, imports of the selection, and direct imports of the first dependents. ``edges`` is
-    read several times: pass a written table."""
-    used_by = materialize(dependents(selections, files, edges), "dependents")
+    """Dependents, imports of the selection, and direct imports of the first dependents. ``edges`` and
+    ``used_by``, the dependents where they are known, are read several times: pass written tables."""
+    if used_by is None:
+        used_by = materialize(dependents(selections, files, edges), "dependents")
     if transitive:
         uses = transitive_imports(selections, edges).select("export_id", "repo", "path", "is_dir")
         first = cap_per_group(used_by, ["export_id"], [F.col("path"), F.col("repo")], limit)

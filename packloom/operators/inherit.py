@@ -113,8 +113,14 @@ def implementations(
 
 
 _JVM_DECLARED = r"\b(?:class|interface|object)\s+([A-Z]\w*)"
-_JVM_HEADER = r"(?s)\b(?:class|interface|object)\s+[A-Z]\w*[^{;]*"
-_JVM_SUPERS = r"(?s)^\w+\s+[A-Z]\w*(?:<[^>]*>)?\s*(?:\([^)]*\))?\s*(?::|\bextends\b|\bimplements\b)(.*)$"
+# Call and type arguments without further ones inside; taken out level by level.
+_ARGUMENTS = r"\([^()]*\)|<[^()<>{};=]*>"
+ARGUMENT_LEVELS = 8
+_TYPE = r"\s*(?:@[\w.]+\s+)*[\w.]+(?:\s+by\s+[\w.]+)?"
+_LIST = rf"(?::|\bextends\b|\bimplements\b){_TYPE}(?:\s*,{_TYPE})*"
+# A declaration and its super-types; it ends where the list of types ends.
+_JVM_HEADER = rf"\b(?:class|interface|object)\s+([A-Z]\w*)(?:\s+[@\w. ]*\bconstructor\b)?\s*({_LIST}(?:\s+{_LIST})*)"
+_JVM_SUPER = r"(?:[:,]|\bextends\b|\bimplements\b)\s*(?:@[\w.]+\s+)*(?:\w+\.)*([A-Z]\w*)"
 
 
 def _jvm(files: DataFrame) -> DataFrame:
@@ -129,28 +135,39 @@ def jvm_declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def jvm_edges(files: DataFrame) -> DataFrame:
-    """(repo, src = super file, dst = subtype file): textual, by short name within a repository."""
-    headers = _jvm(files).select("repo", "path", F.explode(F.regexp_extract_all("content", F.lit(_JVM_HEADER), 0)).alias("header"))
-    supers = headers.select(
-        "repo", "path",
-        F.explode(F.regexp_extract_all(F.regexp_extract("header", _JVM_SUPERS, 1), F.lit(r"\b([A-Z]\w*)"), 1)).alias("name"),
+def jvm_supers(files: DataFrame) -> DataFrame:
+    """(repo, path, name, super_name): which type states which super-types, textual and by short name.
+
+    Call and type arguments count for nothing; up to ``ARGUMENT_LEVELS`` of them may be nested.
+    """
+    bare = F.replace("content", F.lit("->"), F.lit(" "))
+    for _ in range(ARGUMENT_LEVELS):
+        bare = F.regexp_replace(bare, _ARGUMENTS, "")
+    headers = _jvm(files).select("repo", "path", F.explode(F.regexp_extract_all(bare, F.lit(_JVM_HEADER), 0)).alias("header"))
+    supers = F.regexp_extract_all(F.regexp_extract("header", _JVM_HEADER, 2), F.lit(_JVM_SUPER), 1)
+    return headers.select(
+        "repo", "path", F.regexp_extract("header", _JVM_HEADER, 1).alias("name"), F.explode(supers).alias("super_name")
     ).distinct()
-    declared = jvm_declarations(files).withColumnRenamed("path", "declared_in")
-    return (
-        supers.join(declared, ["repo", "name"])
-        .where(F.col("path") != F.col("declared_in"))
-        .select("repo", F.col("declared_in").alias("src"), F.col("path").alias("dst"))
-        .distinct()
-    )
 
 
-def jvm_implementations(selections: DataFrame, files: DataFrame, include_tests: bool = True) -> DataFrame:
-    """Direct and indirect subtypes of the JVM types in the selected files."""
-    edges = materialize(jvm_edges(files), "subtypes")
+def jvm_implementations(
+    selections: DataFrame, files: DataFrame, include_tests: bool = True, names: list[str] | None = None
+) -> DataFrame:
+    """Files with direct and indirect subtypes of the JVM types in the selected files, without those files.
+
+    The closure runs over the names of types, so what else a file declares does not count, and a name that
+    many files declare is followed once. ``names`` narrows the start to the given types.
+    """
+    supers = materialize(jvm_supers(files), "supers")
     start = selected_files(selections)
-    start = start.where(T.detect_language(P.extension(P.base_name(F.col("path")))).isin(K.JVM_LANGUAGES))
-    found = closure(start, edges).where(F.col("depth") > 0).select("export_id", "repo", "path")
+    declared = jvm_declarations(files.join(start.select("repo", "path").distinct(), ["repo", "path"], "left_semi"))
+    if names is not None:
+        declared = declared.where(F.col("name").isin(names))
+    types = start.join(declared, ["repo", "path"]).select("export_id", "repo", F.col("name").alias("path")).distinct()
+    edges = supers.select("repo", F.col("super_name").alias("src"), F.col("name").alias("dst")).distinct()
+    reached = closure(types, edges).select("export_id", "repo", F.col("path").alias("super_name"))
+    found = reached.join(supers, ["repo", "super_name"]).select("export_id", "repo", "path").distinct()
+    found = found.join(start, ["export_id", "repo", "path"], "left_anti")
     return _without_tests(found, include_tests)
 
 

@@ -120,24 +120,27 @@ def recent_exports(history: DataFrame, n: int = 10) -> DataFrame:
     return cap_per_group(history, ["repo"], [F.col("ts").desc(), F.col("export_id").desc()], n)
 
 
+_FILE_KEY = ["export_id", "repo", "path"]
+
+
 def _paths(df: DataFrame) -> DataFrame:
-    return df.select("export_id", "path").distinct()
+    return df.select(*_FILE_KEY).distinct()
 
 
 def diff_added(current: DataFrame, last: DataFrame) -> DataFrame:
-    return _paths(current).join(_paths(last), ["export_id", "path"], "left_anti")
+    return _paths(current).join(_paths(last), _FILE_KEY, "left_anti")
 
 
 def diff_removed(current: DataFrame, last: DataFrame) -> DataFrame:
-    return _paths(last).join(_paths(current), ["export_id", "path"], "left_anti")
+    return _paths(last).join(_paths(current), _FILE_KEY, "left_anti")
 
 
 def diff_unchanged(current: DataFrame, last: DataFrame) -> DataFrame:
-    return _paths(current).join(_paths(last), ["export_id", "path"], "left_semi")
+    return _paths(current).join(_paths(last), _FILE_KEY, "left_semi")
 
 
 def export_diff(current: DataFrame, last: DataFrame) -> DataFrame:
-    """(export_id, path, status) from one full outer join."""
+    """(export_id, repo, path, status) from one full outer join."""
     now = _paths(current).withColumn("in_current", F.lit(True))
     then = _paths(last).withColumn("in_last", F.lit(True))
     status = (
@@ -145,7 +148,7 @@ def export_diff(current: DataFrame, last: DataFrame) -> DataFrame:
         .when(F.col("in_current").isNull(), F.lit("removed"))
         .otherwise(F.lit("unchanged"))
     )
-    return now.join(then, ["export_id", "path"], "full_outer").select("export_id", "path", status.alias("status"))
+    return now.join(then, _FILE_KEY, "full_outer").select(*_FILE_KEY, status.alias("status"))
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:
@@ -155,11 +158,8 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 
 def changes_only(current: DataFrame, last: DataFrame, files: DataFrame) -> DataFrame:
-    """Added paths that exist in the repository of their export."""
-    added = diff_added(current, last).join(
-        current.select("export_id", "path", "repo").distinct(), ["export_id", "path"]
-    )
-    return added.join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select("export_id", "repo", "path")
+    """Added paths that exist in their repository."""
+    return diff_added(current, last).join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select(*_FILE_KEY)
 
 
 def last_commit_files(commits: DataFrame, files: DataFrame) -> DataFrame:

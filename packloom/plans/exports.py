@@ -1,13 +1,11 @@
 """One call per user-level export: select, relate, unite, filter, render."""
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom import constants as K
 from packloom.config import ExportConfig
 from packloom.functions import paths as P
 from packloom.functions import text as T
@@ -18,11 +16,15 @@ from packloom.session import materialize
 
 @dataclass(frozen=True)
 class Export:
-    """What an export produces, all of it lazy."""
+    """What an export produces. Building one writes its metadata tables; texts are rendered when read.
+
+    ``truncated`` (export_id, truncated) tells, for exports over a capped relation, where the cap was reached.
+    """
 
     walked: DataFrame
     entries: DataFrame
     config: ExportConfig
+    truncated: DataFrame | None = None
 
     def kept(self) -> DataFrame:
         return self.entries.select("export_id", "repo", "path", "approx_tokens")
@@ -91,8 +93,9 @@ def export_direct_imports(files, selections, config=ExportConfig(), edges=None)
 
 def export_transitive_imports(files, selections, config=ExportConfig(), edges=None, max_depth=None, cap=None) -> Export:
     edges = edges if edges is not None else materialize(import_edges(files), "edges")
-    related = graph.transitive_imports(selections, edges, max_depth, cap)
-    return _with_related(files, selections, related, config)
+    related = materialize(graph.transitive_imports(selections, edges, max_depth, cap), "imports")
+    export = _with_related(files, selections, related, config)
+    return export if cap is None else replace(export, truncated=truncated(related, cap))
 
 
 def truncated(related: DataFrame, cap: int) -> DataFrame:
@@ -100,17 +103,22 @@ def truncated(related: DataFrame, cap: int) -> DataFrame:
     return related.groupBy("export_id").agg((F.count(F.lit(1)) >= F.lit(cap)).alias("truncated"))
 
 
-def export_dependents(files, selections, config=ExportConfig(), edges=None, cap=K.DEPENDENT_CAP) -> Export:
+def export_dependents(files, selections, config=ExportConfig(), edges=None) -> Export:
     """Selected files, without directories, and what depends on them."""
     edges = edges if edges is not None else materialize(import_edges(files), "edges")
     picked = selections.where(~F.col("is_dir"))
-    return _with_related(files, picked, graph.dependents(picked, files, edges, cap), config)
+    found = graph.dependents(picked, files, edges, config.dependent_cap, config.dependent_max_bytes)
+    found = materialize(found, "dependents")
+    return replace(_with_related(files, picked, found, config), truncated=truncated(found, config.dependent_cap))
 
 
 def export_bidirectional(files, selections, config=ExportConfig(), edges=None, transitive=True) -> Export:
     edges = edges if edges is not None else materialize(import_edges(files), "edges")
-    related = graph.bidirectional(selections, files, edges, transitive)
-    return _with_related(files, selections, related, config, only_if_found=True)
+    found = graph.dependents(selections, files, edges, config.dependent_cap, config.dependent_max_bytes)
+    found = materialize(found, "dependents")
+    related = graph.bidirectional(selections, files, edges, transitive, config.dependent_expand_limit, found)
+    export = _with_related(files, selections, related, config, only_if_found=True)
+    return replace(export, truncated=truncated(found, config.dependent_cap))
 
 
 def export_implementations(files, selections, config=ExportConfig(), include_tests=True) -> Export:
@@ -128,7 +136,7 @@ def export_implementations_of(files, type_names, config=ExportConfig(), include_
         F.xxhash64("repo", "path").alias("export_id"), "repo", F.lit(0).alias("root_ordinal"), "path", F.lit(False).alias("is_dir")
     )
     related = inherit.implementations(chosen, files, include_tests, list(type_names)).unionByName(
-        inherit.jvm_implementations(chosen, files, include_tests)
+        inherit.jvm_implementations(chosen, files, include_tests, list(type_names))
     ).distinct()
     return _with_related(files, chosen, related, config)
 
@@ -192,5 +200,3 @@ def notice(export: Export, bundles: DataFrame) -> DataFrame:
     sized = render.export_size(bundles)
     return sized.select("export_id", T.notice_size(F.col("size_bytes")).alias("size"), T.grouped_number(F.col("tokens")).alias("tokens"))
 
-
-Relation = Callable[[DataFrame, DataFrame], DataFrame]

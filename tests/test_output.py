@@ -84,6 +84,14 @@ def test_diff(spark, corpus):
     assert paths(exports.export_changes_only(files, cur, last).entries) == ["src/New.kt"]
 
 
+def test_diff_of_two_repositories(spark):
+    schema = "export_id bigint, repo string, path string"
+    cur = spark.createDataFrame([(1, "p", "a.ts"), (1, "q", "a.ts")], schema)
+    last = spark.createDataFrame([(1, "p", "a.ts")], schema)
+    assert [r.repo for r in summary.diff_added(cur, last).collect()] == ["q"]
+    assert {r.repo: r.status for r in summary.export_diff(cur, last).collect()} == {"p": "unchanged", "q": "added"}
+
+
 def test_recent_and_last_commit(spark, corpus):
     t = dt.datetime(2024, 3, 1, 12)
     times = spark.createDataFrame([("r", "a", t), ("r", "b", t - dt.timedelta(hours=24)), ("r", "c", t - dt.timedelta(days=7))], "repo string, path string, mtime timestamp")

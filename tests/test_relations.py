@@ -171,6 +171,30 @@ def test_jvm_subtypes_transitively(corpus, select):
     assert paths(found.entries) == ["B.kt", "C.java"]
 
 
+def test_jvm_subtypes_leave_arguments_and_neighbours_out(corpus, select):
+    files = corpus({
+        "User.kt": "open class User", "Repo.kt": "interface Repo : CrudRepository<User, Map<String, List<User>>>",
+        "Free.kt": "class Free : Base()\nfun foo(x: User) = 1", "Held.kt": "class Held(val u: User = make(f(1))) : Base(User()) {",
+        "Admin.kt": "class Admin @Inject constructor(val b: (User) -> Int) :\n  Base<User>(), a.b.User(1), Other by other {",
+        "Root.java": "public class Root<T extends Free> extends Admin implements X, Y {",
+    })
+    assert paths(inherit.jvm_implementations(select("User.kt"), files)) == ["Admin.kt", "Root.java"]
+
+
+def test_jvm_subtypes_follow_names_not_files(corpus):
+    files = corpus({
+        "Two.kt": "open class A\nopen class Z", "X.kt": "open class X : A()\nopen class Q", "W.kt": "class W : Z()", "Y.kt": "class Y : Q()", "V.kt": "class V : X()",
+    })
+    assert paths(exports.export_implementations_of(files, ["A"]).entries) == ["Two.kt", "V.kt", "X.kt"]
+
+
+def test_words_of_any_script(spark, corpus, select):
+    files = corpus({"日本.ts": "", "b.ts": "use 日本 here", "c.ts": "日本語", "na.ts": "", "d.ts": "naïve", "e.ts": "(na)", "$.ts": "", "f.ts": "a$b", "g.ts": "a $b"})
+    assert paths(graph.dependents_candidates(select("日本.ts"), files)) == ["b.ts"]
+    assert paths(graph.dependents_candidates(select("na.ts"), files)) == ["e.ts"]
+    assert paths(graph.dependents_candidates(select("$.ts"), files)) == ["f.ts"]
+
+
 def test_tests_by_name_and_folder(corpus, select):
     files = corpus({p: "" for p in [
         "s/User.kt", "t/UserTest.kt", "t/UserIT.kt", "t/TestUser.kt", "t/UserTest.java", "s/btn.tsx", "q/btn.test.js", "q/btn.ts",

@@ -112,3 +112,10 @@ def test_export_keeps_every_file_it_should(corpus, select):
         "s/a.ts": "// filename: s/a.ts\n1: one\n2: two", "s/c.md": "// filename: s/c.md\n1: t",
     }
     assert export.bundles().first().text == "// filename: s/a.ts\n1: one\n2: two\n// filename: s/c.md\n1: t"
+
+
+def test_limit_counts_equal_paths_of_two_repositories(corpus, select):
+    files = corpus({("p", "a.ts"): "x", ("q", "a.ts"): "y"})
+    both = select("a.ts", repo="p").unionByName(select("a.ts", repo="q"))
+    kept = exports.export_selected(files, both, ExportConfig(file_limit=1)).kept().collect()
+    assert [(r.repo, r.path) for r in kept] == [("p", "a.ts")]
