@@ -347,7 +347,7 @@ select distinct s.export_id, f.repo, f.path from (select distinct export_id, rep
 join files f on f.repo = s.repo
 where f.ext in {_in(K.DEPENDENT_EXTENSIONS)} and f.size_bytes <= {K.DEPENDENT_MAX_BYTES}
   and not list_has_any(string_split(f.dir, '/'), {_list(K.DEPENDENT_SKIP_DIRS)})
-  and regexp_matches(f.content, '(?:^|[^\p{L}\p{M}\p{Nd}\p{Pc}])' || replace(s.stem, '.', '\.') || '(?:$|[^\p{L}\p{M}\p{Nd}\p{Pc}])')
+  and regexp_matches(f.content, '(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])' || replace(s.stem, '.', '\.') || '(?:$|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])')
   and not exists (select 1 from sel o where o.export_id = s.export_id and o.repo = f.repo and o.path = f.path)""", "sources", "files", "sel")
 cte("dependents", f"""
 select export_id, repo, path from (
@@ -379,6 +379,25 @@ where f.language in ('JAVASCRIPT','TYPESCRIPT','JSX','TSX') and case
   when d.kind = 'INTERFACE' then regexp_matches(f.content, '(?:implements|extends)\s+(?:[^,\s{]*,\s*)*' || d.name || '(?:\s|<|,|\{)')
   else regexp_matches(f.content, '(?:withRouter|connect|memo|forwardRef)\s*\(\s*' || d.name || '\s*\)')
     or regexp_matches(f.content, 'const\s+[A-Z][a-zA-Z0-9_]*\s*=\s*\([^)]*\)\s*=>\s*<' || d.name) end"""
+# JVM types: arguments go from the innermost outwards, then the list of super-types is read name by name.
+_BARE = "replace(content, '->', ' ')"
+for _ in range(8):
+    _BARE = f"regexp_replace({_BARE}, '\\([^()]*\\)|<[^()<>{{}};=]*>', '', 'g')"
+_JT = r"\s*(?:@[\w.]+\s+)*[\w.]+(?:\s+by\s+[\w.]+)?"
+_JL = rf"(?::|\bextends\b|\bimplements\b){_JT}(?:\s*,{_JT})*"
+_JH = rf"\b(?:class|interface|object)\s+([A-Z]\w*)(?:\s+[@\w. ]*\bconstructor\b)?\s*({_JL}(?:\s+{_JL})*)"
+cte("jvm_supers", f"""
+select distinct repo, path, regexp_extract(h, '{_JH}', 1) as name,
+  unnest(regexp_extract_all(regexp_extract(h, '{_JH}', 2), '(?:[:,]|\\bextends\\b|\\bimplements\\b)\\s*(?:@[\\w.]+\\s+)*(?:\\w+\\.)*([A-Z]\\w*)', 1)) as super_name
+from (select repo, path, unnest(regexp_extract_all({_BARE}, '{_JH}', 0)) as h from files where language in ('JAVA', 'KOTLIN')) h0""", "files")
+cte("jvm_closed", r"""
+select distinct s.export_id, s.repo, unnest(regexp_extract_all(f.content, '\b(?:class|interface|object)\s+([A-Z]\w*)', 1)) as name
+from sel s join files f using (repo, path) where f.language in ('JAVA', 'KOTLIN')
+union
+select c.export_id, c.repo, u.name from jvm_closed c join jvm_supers u on u.repo = c.repo and u.super_name = c.name""", "sel", "files", "jvm_supers")
+cte("jvm_subtypes", """
+select distinct c.export_id, c.repo, u.path from jvm_closed c join jvm_supers u on u.repo = c.repo and u.super_name = c.name
+where not exists (select 1 from sel o where o.export_id = c.export_id and o.repo = c.repo and o.path = u.path)""", "jvm_closed", "jvm_supers", "sel")
 cte("implementing", _IMPL, "sel", "declared", "files")
 _IS_TEST = (
     "(contains('/' || path, '/test/') or contains('/' || path, '/tests/') or contains('/' || path, '/__tests__/') "
@@ -640,6 +659,7 @@ select repo, path, {_KB('b')} as history, case when b / 1048576.0 >= 1 then prin
     q["dependents"] = sql("select export_id, repo, path from dependents", "dependents")
     q["inheritable_elements"] = sql("select repo, path, name, kind from declared", "declared")
     q["implementations"] = sql(f"select i.export_id, i.repo, i.path from implementing i join files f using (repo, path) where not {_IS_TEST.replace('path', 'f.path')}", "implementing", "files")
+    q["jvm_implementations"] = sql("select export_id, repo, path from jvm_subtypes", "jvm_subtypes")
     q["tests_by_name"] = sql("select * from named_tests", "named_tests")
     q["tests_in_folders"] = sql("select * from folder_tests", "folder_tests")
     q["tests_extended"] = sql("select * from ext_tests", "ext_tests")
@@ -721,6 +741,8 @@ select export_id, count(*) filter (status = 'added') as added, count(*) filter (
     q["export_tests"] = sql(_kept_of("tests5"), "tests5", "sel", "files", "bodies")
     q["export_all_tests"] = sql(_kept_of("app_tests", "appsel", True), "app_tests", "appsel", "files", "bodies")
     q["export_resources"] = sql(_kept_of("related_res", only_if_found=True), "related_res", "sel", "files", "bodies")
+    cte("all_subtypes", "select export_id, repo, path from implementing union select export_id, repo, path from jvm_subtypes", "implementing", "jvm_subtypes")
+    q["export_implementations"] = sql(_kept_of("all_subtypes"), "all_subtypes", "sel", "files", "bodies")
     q["export_configs"] = sql(_kept_of("configs"), "configs", "sel", "files", "bodies")
     q["export_package"] = sql(_kept_of("peers"), "peers", "sel", "files", "bodies")
     q["export_recent_changes"] = sql(_kept_only(f"select repo, path from times where mtime > {NOW} - interval 24 hours"), "times", "files", "bodies")
