@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm import words as W
-from packloom.llm.components import components
+from packloom.llm.components import merged
 from packloom.session import materialize, scratch_path
 
 SKETCH_BITS = 1024
@@ -394,14 +394,12 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
     return near.unionByName(far).distinct()
 
 
-def node_links(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """Verified links (a, b) between nodes: all that components need."""
-    spark = docs.sparkSession
+def node_classes(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """(node, comp) of all nodes with signatures in common with others: each node's class by verified links."""
     rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets").distinct()
     rows = materialize(enough(rows), "buckets")
     nodes = materialize(rows.select("node").distinct(), "nodes")
     sets = bucketed(node_sets(docs, nodes, width), "node", "sets")
-    links = spark.createDataFrame([], "a bigint, b bigint")
     comps = nodes.select("node", F.col("node").alias("comp"))
     for turn in range(ROUNDS + 1):
         open_ = materialize(_unresolved(rows, comps), "open")
@@ -409,25 +407,22 @@ def node_links(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
             break
         pairs = _leader_pairs(open_, turn) if turn < ROUNDS else _cross_pairs(open_, sets, similarity)
         found = materialize(verified(pairs, sets, similarity), "found")
-        links = links.unionByName(found)
         rows = open_.select("sig", "node")
-        if turn < ROUNDS:
-            comps = components(links)
-    return links
+        comps = merged(comps, found)
+    return comps
 
 
 def classes(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per document."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     owned = materialize(document_nodes(docs, width), "document-nodes")
-    links = node_links(docs.where("doc_id is not null"), width, similarity)
-    comps = components(links)
+    comps = node_classes(docs.where("doc_id is not null"), width, similarity)
     some = owned.where("node is not null and doc_id is not null")
     # Rows of one doc_id belong together, whatever their texts.
     first = some.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     if not first.isEmpty():
         again = some.join(first.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
-        comps = components(links.unionByName(again))
+        comps = merged(comps, again)
     smallest = some.groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").select(
         "node", "least", F.coalesce("comp", "node").alias("comp"))
     smallest = materialize(smallest, "smallest")

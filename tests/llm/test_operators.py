@@ -13,7 +13,7 @@ import corpus_pipeline
 from packloom.llm import (
     attention_lm, decontaminate, embedding_join, language, licenses, mixing, piece_counts, quality, shingle_join, token_files, words,
 )
-from packloom.llm.components import components
+from packloom.llm.components import components, merged
 from packloom.llm.elias_fano import EliasFano
 from packloom.llm.encoder import WordEncoder
 
@@ -77,6 +77,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_after_more_links(spark):
+    schema = "a bigint, b bigint"
+    old, new = [(1, 2), (3, 4), (5, 6)], [(2, 3), (2, 3), (5, 5), (7, 8), (8, 6), (9, 9), (None, 1)]
+    got = {r.node: r.comp for r in merged(components(spark.createDataFrame(old, schema)), spark.createDataFrame(new, schema)).collect()}
+    assert set(got) == set(range(1, 10))
+    classes = {}
+    for node, comp in got.items():
+        classes.setdefault(comp, set()).add(node)
+    assert sorted(map(sorted, classes.values())) == [[1, 2, 3, 4], [5, 6, 7, 8], [9]]
+    assert all(comp in nodes for comp, nodes in classes.items())
+
+
 def test_shingle_join(docs, none, texts):
     got = {r.doc_id: r for r in shingle_join.classes(docs).collect()}
     sets = {i: shingle_set(t) for i, t in enumerate(texts)}
