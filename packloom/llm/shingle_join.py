@@ -388,9 +388,13 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
     sized = rows.join(sketches, "node").withColumn("own", own)
     # Block i meets block j for all i, j; a pair of nodes is taken where the smaller one is on the left.
     spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    lefts = spread.select("sig", F.col("own").alias("i"), F.col("other").alias("j"), "node", "comp", "n", "sketch", F.lit(True).alias("l"), (F.col("own") == F.col("other")).alias("r"))
-    rights = spread.where("own <> other").select("sig", F.col("other").alias("i"), F.col("own").alias("j"), "node", "comp", "n", "sketch", F.lit(False).alias("l"), F.lit(True).alias("r"))
-    far = lefts.unionByName(rights).groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    own, other = F.col("own"), F.col("other")
+    left = F.struct(own.alias("i"), other.alias("j"), F.lit(True).alias("l"), (own == other).alias("r"))
+    right = F.struct(other.alias("i"), own.alias("j"), F.lit(False).alias("l"), F.lit(True).alias("r"))
+    # Both sides come from one pass, so that the sketches are joined once.
+    sides = F.when(own == other, F.array(left)).otherwise(F.array(left, right))
+    spread = spread.withColumn("side", F.explode(sides)).select("sig", "side.*", "node", "comp", "n", "sketch")
+    far = spread.groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint")
     return near.unionByName(far).distinct()
 
 
