@@ -294,6 +294,30 @@ def test_attention_is_a_distribution_and_causal():
     assert np.allclose(a.ravel()[:61], b.ravel()[:61], atol=1e-5)
 
 
+def test_attention_learns_from_all_training_rows(spark):
+    """Ids seen three times anywhere get a class of their neighbours, beyond any 1500 texts."""
+    encoder = WordEncoder(PATH)
+    names = sorted(t.removesuffix("</w>") for t in encoder.tok.get_vocab() if re.fullmatch("[a-z]{4,9}</w>", t))[:600]
+    table = spark.createDataFrame([(i, f"{names[i % 600]} {names[i // 600]}") for i in range(1800)], "doc_id bigint, text string")
+    model, encoded = attention_lm.train(attention_lm._rows(table, F.lit(True)), PATH)
+    ids = np.concatenate([encoder.whole(n) for n in names])
+    assert (model.class_of[ids] < attention_lm.CLASSES - 1).all() and (model.class_of == attention_lm.CLASSES - 1).any()
+    assert encoded.where("kind = 0 and learn").count() == 1800
+
+
+def test_attention_blocks_each_fitted_once():
+    rng, n_ids, count = np.random.default_rng(12), 40, [0, 31, 32, 5000, 7]
+    texts = [rng.integers(0, n_ids - 1, n) for n in count]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([-3, 2, 9, 4, 70_000]), pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())], names=["salt", "ids"])
+    source, target, _ = attention_lm.blocks(np.concatenate(texts), np.array(count), n_ids - 1)
+    want, got, seen = [x.tobytes() + y.tobytes() for x, y in zip(source, target)], [], [0]
+    for turn in range(attention_lm.ROUNDS):
+        for x, y in attention_lm._batches(iter([batch]), n_ids, turn, 2, seen):
+            got += [a.tobytes() + b.tobytes() for a, b in zip(x, y)]
+    assert seen == [len(want)] and sorted(got) == sorted(want * 2)
+
+
 def test_piece_counts(docs, none, texts):
     vocabulary = set(piece_counts.vocabulary(PATH))
     longest = max(map(len, vocabulary))
