@@ -294,6 +294,14 @@ def test_attention_is_a_distribution_and_causal():
     assert np.allclose(a.ravel()[:61], b.ravel()[:61], atol=1e-5)
 
 
+def test_attention_tells_many_texts_of_one_id_apart(spark):
+    """Of 1,500 different texts without an id, some agree in 16 bits of their hash."""
+    table = spark.createDataFrame([(None, "one " * (i + 1)) for i in range(1500)], "doc_id bigint, text string")
+    rows = attention_lm._rows(table, F.lit(True))
+    got = attention_lm.base_scores(rows, attention_lm._encoded_table(rows, PATH, WordEncoder(PATH).n_ids + 1)).collect()
+    assert sorted(r.n_tokens for r in got) == list(range(2, 1502))
+
+
 def test_attention_learns_from_all_training_rows(spark):
     """Ids seen three times anywhere get a class of their neighbours, beyond any 1500 texts."""
     encoder = WordEncoder(PATH)
