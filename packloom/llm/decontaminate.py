@@ -9,12 +9,11 @@ as often as it occurs; with fewer than five words the whole sequence is one shin
    without any are left out; nothing else is.
 2. Fingerprints. Every window that holds an anchor found gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index. Fingerprints are cut into eight blocks of eight bits; items are listed under each block's value
-   and its eight neighbours at one bit. Two fingerprints within ``RADIUS`` = 15 bits agree on a block up to one
-   bit, so the join on (L, block, value) finds all of them.
+   and its 36 neighbours at one and two bits. Two fingerprints within ``RADIUS`` = 23 bits agree on a block up to two
+   bits, so the join on (L, block, value) finds all of them.
 4. Candidates within the radius are verified by the exact similarity.
 
-A window beyond the radius is not reported: at similarity 0.8 that is a few in a hundred, at 0.9 about one in
-ten thousand. Null texts and items count as empty and match nothing; rows with a null doc_id are reported with it. Equal texts are
+A window beyond the radius is not reported; at similarity 0.8 or more that hardly occurs. Null texts and items count as empty and match nothing; rows with a null doc_id are reported with it. Equal texts are
 worked on once. Repeated items are reported under each item_id. Columns other than doc_id, text, item_id are not read.
 """
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from packloom.session import materialize
 
-RADIUS, WIDTH = 15, 5
+RADIUS, WIDTH = 23, 5
 SIMILARITY = 0.8
 BROADCAST_ROWS = 100_000
 _BLOCKS = 8
@@ -133,7 +132,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = ["h", "length", "start"]
     prints = materialize(_fingerprints(cut, keys), "prints")
     marked = items.join(_fingerprints(items.select("item_id", "codes").dropDuplicates(["item_id", "codes"]), ["item_id", "codes"]), ["item_id", "codes"])
-    flips = [0] + [1 << i for i in range(8)]
+    flips = [x for x in range(256) if x.bit_count() <= RADIUS // _BLOCKS]
     index = marked.select("item_id", "length", "codes", F.col("fp").alias("item_fp"), F.posexplode("fp").alias("block", "value")).select(
         "item_id", "length", "codes", "item_fp", "block", F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(f)) for f in flips])).alias("value"))
     probes = prints.select(*keys, "fp", F.posexplode("fp").alias("block", "value"))
