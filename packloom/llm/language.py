@@ -6,7 +6,8 @@ neighbouring labels are learned with them. Words are labelled by the marginals o
 the whole document; the document gets the label with the largest sum of marginals, ties to the first by
 name, and the score is its share.
 
-Fitted on the driver on a bounded sample: at most ``sample`` texts with a non-null label, chosen by hash of doc_id, up
+The labels are those of all rows to learn from. Fitted on the driver on a bounded sample: ``sample`` texts with a non-null
+label, chosen by hash of doc_id, and of each label at least its share of ``sample`` among all labels alike, or all it has; up
 to ``PIECES`` runs of ``RUN`` words spread over each whole text. Prediction reads whole texts and no other column.
 
 A null text, or one without a letter, is ``und`` with score 0. A text with letters always has words. Without
@@ -14,11 +15,12 @@ training rows every text is ``und``. Repeated rows get equal results.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.llm import words as W
@@ -200,11 +202,19 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Chain | None:
     edge = usable.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if edge is None:
         return None
-    rows = (
-        usable.where(order <= edge).orderBy(order, "doc_id", "text", "lang").limit(sample)
-        .selectExpr("text", "cast(lang as string) lang").mapInArrow(cut, "runs string, lang string").collect()
-    )
-    names = sorted({r.lang for r in rows})
+    ranked = [order, F.col("doc_id"), F.col("text"), F.col("lang")]
+    label = F.col("lang").cast("string")
+    short = lambda some: some.select("text", label.alias("lang")).mapInArrow(cut, "runs string, lang string").collect()
+    rows = short(usable.where(order <= edge).orderBy(*ranked).limit(sample))
+    # One row a label reaches the driver.
+    have = {r.lang: r.n for r in usable.groupBy(label.alias("lang")).agg(F.count("*").alias("n")).collect()}
+    names = sorted(have)
+    got, least = Counter(r.lang for r in rows), -(-sample // len(names))
+    scarce = [x for x in names if got[x] < min(have[x], least)]
+    if scarce:
+        place = F.row_number().over(Window.partitionBy(label).orderBy(*ranked))
+        more = usable.where(label.isin(scarce)).withColumn("place", place).where(F.col("place") <= least)
+        rows = [r for r in rows if r.lang not in scarce] + sorted(short(more))
     lines = [(line, names.index(r.lang)) for r in rows for line in r.runs.split("\n")]
     data, offsets = W.text_bytes(pa.array([x for x, _ in lines], pa.string()))
     doc, starts, ends = W.spans(data, offsets, W.ALNUM)
