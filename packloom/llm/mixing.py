@@ -112,19 +112,28 @@ def _flight(seed: int, land: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda pdf: _block(pdf.drop(columns="piece"), seed, land)
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """The same rows with ``copy``, which numbers equal ones. Counted first and listed in slices, so no task gets all copies of a row."""
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    slices = counted.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / BLOCK)))).repartition("doc_id", "source", "size", "slice")
+    first = F.col("slice") * BLOCK
+    return slices.select("doc_id", "source", "size", F.explode(F.sequence(first, F.least(first + BLOCK, "n") - 1)).alias("copy"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken. Texts are read once; the rest is one small row a document."""
     sized = materialize(word_sizes(docs), "sizes")
     goal = materialize(targets(sized, weights, share, limit), "targets")
     key = (F.coalesce("source", F.lit("")), F.col("source").isNull())
-    dealt = sized.select("*", key[0].alias("k0"), key[1].alias("k1")).join(
+    dealt = numbered(sized).select("*", key[0].alias("k0"), key[1].alias("k1")).join(
         goal.select(key[0].alias("k0"), key[1].alias("k1"), "source_size", "target", "n_docs"), ["k0", "k1"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A ratio within rounding of a whole number is that number.
     near = F.when(F.abs(ratio - F.round(ratio)) < 1e-12, F.round(ratio)).otherwise(ratio)
+    salt = F.xxhash64("doc_id", "size", F.lit(seed))
     state = dealt.select(
         "doc_id", "size", "k0", "k1", "source_size", "target", "n_docs", F.floor(near).cast("bigint").alias("whole"),
-        (near - F.floor(near)).alias("p"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("salt"))
+        (near - F.floor(near)).alias("p"), F.when(F.col("copy") == 0, salt).otherwise(F.xxhash64(salt, "copy")).alias("salt"))
     columns = "doc_id bigint, size bigint, k0 string, k1 boolean, source_size bigint, target double, n_docs bigint, whole bigint, p double, salt bigint"
     most = goal.agg(F.max("n_docs")).first()[0] or 0
     done, n, left = [], 0, state
