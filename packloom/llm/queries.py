@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import attention_lm, decontaminate, embedding_join, language, licenses, mixing, piece_counts, quality, shingle_join, token_files
+from packloom.llm import (
+    attention_lm, decontaminate, embedding_join, language, licenses, mixing, piece_counts, quality, repeats, shingle_join, spelling, token_files, turn_trie,
+)
+from packloom.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 from packloom.session import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -71,6 +74,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(*turn_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shingle_join": op1_shingle_join,
     "op2_embedding_join": op2_embedding_join,
@@ -82,5 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_turn_trie": op13_turn_trie,
 }
-ORACLE_SQL: dict[str, str] = {}
