@@ -212,7 +212,8 @@ def repeats(docs: DataFrame, anchored: DataFrame, length: int = LENGTH) -> DataF
     places = anchored.select("doc_id", "text_hash", F.explode("anchors").alias("at")).select("doc_id", "text_hash", "at.*")
     often = places.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    places = materialize(places.join(often.select("anchor", (F.col("least") != F.col("most")).alias("open")), "anchor"), "anchors")
+    often = materialize(often.select("anchor", (F.col("least") != F.col("most")).alias("open")), "repeated")
+    places = materialize(places.join(often, "anchor"), "anchors")  # both sides are written tables, so a hot anchor is split
     whole = places.where("not open").select("doc_id", "text_hash", "run")
     classes = places.where("open").groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "run")).alias("at"))
