@@ -6,8 +6,11 @@ prefixes, the file limit by a running sum, folding by plain windows.
 from __future__ import annotations
 
 from packloom import constants as K
+from packloom.config import ExportConfig
 from packloom.sources import views as V
 
+LIMITS = ExportConfig()
+
 NOW = "timestamp '2024-03-01 12:00:00'"
 
 
@@ -173,8 +176,8 @@ left join (select repo, path, {_BINARY} as bin from files) f on f.repo = r.repo
         "reached", "ignored", "files")
 
 
-_walked("walked", 16)
-_walked("walkedf", 16, [".ts", "py", "JAVA", "md"])
+_walked("walked", LIMITS.max_file_size_kb)
+_walked("walkedf", LIMITS.max_file_size_kb, [".ts", "py", "JAVA", "md"])
 
 
 def _limited(name: str, source: str, n: int) -> None:
@@ -185,9 +188,7 @@ select * from (
 where coalesce(before, 0) < {n}""", source)
 
 
-_limited("limited", "walked", 25)
-_limited("limited41", "walked", 41)
-_limited("limited200", "walked", 200)
+_limited("limited", "walked", LIMITS.file_limit)
 
 # --- rendering --------------------------------------------------------------------------------------------
 _HEADERS = {key: prefix for prefix, keys in K.HEADER_KEYS.items() for key in keys}
@@ -208,7 +209,7 @@ from (select *, cast(length(cast(len(ls) as varchar)) as integer) as w
   from (select *, string_split_regex(content, '\r\n|\n|\r') as ls from files) n0) n1""", "files")
 cte("bodies", f"select *, {_TOKENS('body')} as approx_tokens from (select repo, path, {_HEADER} || chr(10) || numbered as body from numbered) b0", "numbered")
 cte("entries", "select l.export_id, b.repo, b.path, b.body, b.approx_tokens from limited l join bodies b using (repo, path) where l.kept", "limited", "bodies")
-cte("wide", "select l.export_id, b.repo, b.path, b.body, b.approx_tokens from limited200 l join bodies b using (repo, path) where l.kept", "limited200", "bodies")
+cte("wide", "select l.export_id, b.repo, b.path, b.body, b.approx_tokens from limited l join bodies b using (repo, path) where l.kept", "limited", "bodies")
 _AFTER = lambda e: f"case when contains({e}, chr(10)) then substr({e}, instr({e}, chr(10)) + 1) else {e} end"
 cte("stats", f"""
 select export_id, substr(split_part(body, chr(10), 1), 14) as path, length(inner_text) as chars, {_TOKENS('inner_text')} as tokens
@@ -510,7 +511,7 @@ select distinct s.export_id, f.repo, f.path from sources s join files f on f.rep
 
 _PASSES = (
     f"f.name not in {_in(K.IGNORED_NAMES)} and not coalesce(lower(f.ext) in {_in(K.BINARY_EXTENSIONS)}, false) "
-    f"and f.size_bytes <= 16 * 1024 and not {_BINARY.replace('content', 'f.content')}"
+    f"and f.size_bytes <= {LIMITS.max_file_size_kb} * 1024 and not {_BINARY.replace('content', 'f.content')}"
 )
 
 
@@ -697,7 +698,7 @@ select *, 'All Tests Export (' || concat_ws(', ', {', '.join(f"case when n_{c} >
     select t.export_id, {_CATEGORY} as cat from app_tests t join files f using (repo, path)) c0 group by export_id) c1""", "app_tests", "files")
     q["package_hints"] = sql("select trace_id, block, hints from hints", "hints")
     q["estimate_files"] = sql("""
-select export_id, least(count(distinct path), 45) as n_files from (
+select export_id, least(count(distinct path), 1000) as n_files from (
   select s.export_id, f.path from walksel s join files f on f.repo = s.repo and (s.path = f.path or (s.is_dir and starts_with(f.path, s.path || '/')))) e0 group by export_id""", "walksel", "files")
     q["export_size"] = sql(f"select export_id, strlen(text) as size_bytes, {_TOKENS('text')} as tokens from plain", "plain")
     q["classify_lines"] = sql("select trace_id, line_no, kind, class_name, indent from classified", "classified")
@@ -709,7 +710,7 @@ select trace_id, text, length(text) as chars, {_TOKENS('text')} as tokens from (
   select trace_id, text || chr(10) || '{K.RAW_TRACE_MARKER}' || chr(10) || raw as text from folded join raws using (trace_id)) e""", "folded", "raws")
     q["dfs_order"] = sql("select repo, path, lag(path) over (partition by repo, dir order by string_split(path, '/')) as sibling_before from nodes", "nodes")
     q["file_limit"] = sql("select export_id, repo, path, kept from limited", "limited")
-    q["limit_reached"] = sql("select export_id, count(*) filter (kept) >= 41 as limit_reached from limited41 group by export_id", "limited41")
+    q["limit_reached"] = sql(f"select export_id, count(*) filter (kept) >= {LIMITS.file_limit} as limit_reached from limited group by export_id", "limited")
     q["sort_entries"] = sql("select export_id, path, approx_tokens from entries order by export_id, path", "entries")
     q["top_files"] = sql("""
 select * from (select export_id, path, chars, tokens, row_number() over (partition by export_id order by chars desc, path) as rank from stats) r where rank <= 10""", "stats")

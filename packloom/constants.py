@@ -1,6 +1,7 @@
 """Fixed values. They decide results, so they are stated plainly and must not be changed."""
 
 # --- fixed values: names, extensions ------------------------------------------------------------
+IGNORE_FILE = ".gitignore"
 IGNORED_NAMES = [".git", "node_modules", "build", "target", "__pycache__"]
 
 BINARY_EXTENSIONS = [

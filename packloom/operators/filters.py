@@ -38,7 +38,7 @@ def fails_filename_filter(name: Column, filters) -> Column:
 
 
 def measured(files: DataFrame, config: ExportConfig) -> DataFrame:
-    """Reduce the text of each file to the flags the walk needs, in the scan stage.
+    """Reduce the text of each file to the flags the walk needs, in the scan stage; ignore files keep theirs.
 
     Content is dropped here, before any shuffle. The binary test runs only when the cheaper metadata
     filters have not already excluded the file.
@@ -54,7 +54,8 @@ def measured(files: DataFrame, config: ExportConfig) -> DataFrame:
     for i, (_, test, *_) in enumerate(config.extra_filters):
         df = df.withColumn(f"extra_{i}", test(df))
         extra.append(f"extra_{i}")
-    return df.select("repo", "path", "size_bytes", "binary_content", "dropped", *extra)
+    rules = F.when(F.col("name") == K.IGNORE_FILE, F.col("content")).alias("ignore_text")
+    return df.select("repo", "path", "size_bytes", "binary_content", "dropped", rules, *extra)
 
 
 def exclusion_reason(config: ExportConfig) -> Column:
@@ -100,8 +101,10 @@ def walk(files: DataFrame, selections: DataFrame, config: ExportConfig = ExportC
     """
     flags = measured(files, config)
     extra = [c for c in flags.columns if c.startswith("extra_")]
-    tree = materialize(N.expand_nodes(flags, "binary_content", "dropped", *extra), "tree")
-    ignored = materialize(ignore.ignored_nodes(tree, files), "ignored")
+    tree = materialize(N.expand_nodes(flags, "binary_content", "dropped", "ignore_text", *extra), "tree")
+    rules = tree.where("ignore_text is not null").select("repo", F.col("dir").alias("gi_dir"), F.col("ignore_text").alias("text"))
+    tree = tree.drop("ignore_text")
+    ignored = materialize(ignore.ignored_nodes(tree, rules), "ignored")
     dirs = tree.where("is_dir").select("repo", "path", "name")
     named = dirs.where(is_ignored_name(F.col("name"), config.ignored_names)).select("repo", "path")
     ignored_dirs = dirs.select("repo", "path").join(ignored, ["repo", "path"], "left_semi")

@@ -1,7 +1,8 @@
 """Ignore files: parse rules, compile them to match columns, decide per node.
 
-Matching is an equi-join of directories to the ignore files above them. Each node then tests the rules
-of one ignore file inside a single row, so rules are never multiplied into rows.
+Matching is an equi-join of directories to the ignore files above them. Most rules are then found by a
+literal: the path or name they equal, or the extension they end in, looked up with the node's own. Only the
+rest are tested as patterns, by the nodes below their ignore file, inside a single row.
 """
 from __future__ import annotations
 
@@ -14,8 +15,10 @@ from packloom.session import materialize
 
 
 def load_ignore_files(files: DataFrame) -> DataFrame:
-    """(repo, gi_dir, text) of every ignore file."""
-    return files.where(P.base_name(F.col("path")) == ".gitignore").select(
+    """(repo, gi_dir, text) of every ignore file. A table partitioned by ``ignore_file`` is not read beyond these."""
+    if "ignore_file" in files.columns:
+        files = files.where("ignore_file")
+    return files.where(P.base_name(F.col("path")) == K.IGNORE_FILE).select(
         "repo", P.dir_name(F.col("path")).alias("gi_dir"), F.col("content").alias("text")
     )
 
@@ -162,6 +165,39 @@ _RULE_FIELDS = [
 ]
 
 
+def _verdict(negated: Column) -> Column:
+    return F.when(negated, F.lit(-1)).otherwise(F.lit(1))
+
+
+def _literal_key(path: Column, name: Column, suffix: Column) -> Column:
+    """What a rule without a pattern is found by. The letter keeps paths, names and endings apart."""
+    return (
+        F.when(path.isNotNull(), F.concat(F.lit("p"), path))
+        .when(name.isNotNull(), F.concat(F.lit("n"), name))
+        .otherwise(F.concat(F.lit("e"), F.substring_index(suffix, ".", -1)))
+    )
+
+
+def literal_rules(rules: DataFrame) -> DataFrame:
+    """(repo, gi_dir, key, rule_no, verdict, suffix) of the rules that equal a path or name, or are ``*.`` and an
+    ending, which the names below must end in."""
+    suffix = F.when(F.col("pattern").rlike(_ENDING) & ~F.col("rooted") & ~F.col("dir_only"), F.substring("pattern", F.lit(2), F.length("pattern")))
+    return rules.withColumn("suffix", suffix).where(F.col("simple") | F.col("suffix").isNotNull()).select(
+        "repo", "gi_dir", _literal_key(F.col("eq_path"), F.col("eq_name"), F.col("suffix")).alias("key"), "rule_no",
+        _verdict(F.col("negated")).alias("verdict"), "suffix",
+    )
+
+
+def pattern_rules(rules: DataFrame) -> DataFrame:
+    """The other rules."""
+    ending = F.col("pattern").rlike(_ENDING) & ~F.col("rooted") & ~F.col("dir_only")
+    return rules.where(~F.col("simple") & ~ending)
+
+
+#: ``*.`` and an ending without any further pattern character.
+_ENDING = r"^\*\.[^*?\[\]{}\\/,]+$"
+
+
 def rule_sets(rules: DataFrame) -> DataFrame:
     """Compiled rules of an ignore file in one row, last rule first. The array is as long as the file."""
     grouped = rules.groupBy("repo", "gi_dir").agg(
@@ -175,54 +211,54 @@ def _below(path: Column, gi_dir: Column) -> Column:
     return F.when(gi_dir == "", path).otherwise(F.substring(path, F.length(gi_dir) + 2, F.length(path)))
 
 
-def applicable(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Nodes with the rule set of each ignore file on their directory chain.
+def applicable(nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Nodes with each ignore file of ``placed`` (repo, gi_dir) on their directory chain.
 
     Which ignore files apply is resolved on distinct directories, so a node is only multiplied by the
-    files that really lie above it, and the rules travel once per ignore file, not once per directory.
+    files that really lie above it.
     """
-    placed = sets.select("repo", "gi_dir")
     dirs = nodes.select("repo", "dir").distinct()
     chain = (
         dirs.select("repo", "dir", F.explode(P.dir_chain(F.col("dir"))).alias("gi_dir"))
-        .join(placed, ["repo", "gi_dir"])
+        .join(placed.select("repo", "gi_dir").distinct(), ["repo", "gi_dir"])
         .groupBy("repo", "dir")
         .agg(F.collect_list("gi_dir").alias("gi_dirs"))
     )
     levels = nodes.select("repo", "path", "name", "dir", "is_dir").join(chain, ["repo", "dir"]).select(
         "repo", "path", "name", "is_dir", F.explode("gi_dirs").alias("gi_dir")
     )
-    return levels.join(sets, ["repo", "gi_dir"]).withColumn("rel", _below(F.col("path"), F.col("gi_dir")))
+    return levels.withColumn("rel", _below(F.col("path"), F.col("gi_dir")))
 
 
 def match_ignore_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every (node, rule) match: (repo, path, gi_dir, gi_depth, rule_no, verdict)."""
-    pairs = applicable(nodes, rule_sets(rules))
+    """Every (node, rule) match: (repo, path, gi_dir, gi_depth, rule_no, verdict). ``rules`` is read several
+    times: pass a written table."""
+    literal = literal_rules(rules)
+    keys = F.array(
+        F.concat(F.lit("p"), F.col("rel")), F.concat(F.lit("n"), F.col("name")),
+        F.concat(F.lit("e"), F.substring_index("name", ".", -1)),
+    )
+    found = (
+        applicable(nodes, literal).select("repo", "path", "name", "gi_dir", F.explode(keys).alias("key"))
+        .join(literal, ["repo", "gi_dir", "key"])
+        .where(F.col("suffix").isNull() | F.endswith("name", F.col("suffix")))
+        .select("repo", "path", "gi_dir", "rule_no", "verdict")
+    )
+    patterns = pattern_rules(rules)
     hits = F.filter(
         "rules", lambda r: rule_hits(r, F.col("rel"), F.col("name"), F.col("is_dir"))
     )
-    return (
-        pairs.select("repo", "path", "gi_dir", F.explode(hits).alias("rule"))
-        .select(
-            "repo", "path", "gi_dir", P.depth(F.col("gi_dir")).alias("gi_depth"), "rule.rule_no",
-            F.when(F.col("rule.negated"), F.lit(-1)).otherwise(F.lit(1)).alias("verdict"),
-        )
+    tested = (
+        applicable(nodes, patterns).join(rule_sets(patterns), ["repo", "gi_dir"])
+        .select("repo", "path", "gi_dir", F.explode(hits).alias("rule"))
+        .select("repo", "path", "gi_dir", "rule.rule_no", _verdict(F.col("rule.negated")).alias("verdict"))
     )
+    return found.unionByName(tested).withColumn("gi_depth", P.depth(F.col("gi_dir")))
 
 
-def file_verdicts(nodes: DataFrame, rules: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def file_verdicts(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Verdict of each ignore file that matched, from its last matching rule."""
-    pairs = applicable(nodes, rule_sets(rules) if sets is None else sets)
-    hits = F.filter(
-        "rules", lambda r: rule_hits(r, F.col("rel"), F.col("name"), F.col("is_dir"))
-    )
-    decided = pairs.select(
-        "repo", "path", "gi_dir", F.try_element_at(hits, F.lit(1)).alias("rule")
-    ).where(F.col("rule").isNotNull())
-    return decided.select(
-        "repo", "path", "gi_dir", P.depth(F.col("gi_dir")).alias("gi_depth"),
-        F.when(F.col("rule.negated"), F.lit(-1)).otherwise(F.lit(1)).alias("verdict"),
-    )
+    return last_match_wins(match_ignore_rules(nodes, rules))
 
 
 def last_match_wins(matches: DataFrame) -> DataFrame:
@@ -239,8 +275,10 @@ def ignore_hierarchy(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def ignored_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, path) of the nodes that ignore rules exclude."""
-    rules = compile_ignore_rules(parse_ignore_rules(load_ignore_files(files)))
-    sets = materialize(rule_sets(rules), "rules")
-    return ignore_hierarchy(file_verdicts(nodes, rules, sets)).where("ignored").select("repo", "path")
+def ignored_nodes(nodes: DataFrame, ignore_files: DataFrame) -> DataFrame:
+    """(repo, path) of the nodes that ignore rules exclude. The last rule of the deepest ignore file decides, so
+    one aggregation does for both."""
+    rules = materialize(compile_ignore_rules(parse_ignore_rules(ignore_files)), "rules")
+    return match_ignore_rules(nodes, rules).groupBy("repo", "path").agg(
+        F.max_by("verdict", F.struct("gi_depth", "rule_no")).alias("verdict")
+    ).where("verdict = 1").select("repo", "path")

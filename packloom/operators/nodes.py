@@ -44,26 +44,34 @@ def reach(nodes: DataFrame, selections: DataFrame, blocked: DataFrame | None = N
     ``blocked(repo, dir, blocked_depth)`` gives, per directory, the depth of the deepest excluded
     directory on its chain. A node is reached from a root only when nothing from the root down to its
     parent is excluded, so a node is hidden when that depth is not above the root.
+
+    Which roots reach a directory is worked out on the distinct directories and reduced to one row per export
+    and directory; nodes only meet these by their parent, and roots that name them by their path.
     """
-    if blocked is not None:
-        nodes = nodes.join(blocked, ["repo", "dir"], "left")
-    else:
-        nodes = nodes.withColumn("blocked_depth", F.lit(None).cast("int"))
     roots = selections.select(
         "export_id", "repo", F.col("path").alias("root"), "root_ordinal",
         F.col("is_dir").alias("root_is_dir"),
     )
-    chained = nodes.withColumn(
-        "root", F.explode(F.concat(F.array(F.lit("")), P.self_and_ancestors(F.col("path"))))
+    dirs = nodes.select("repo", "dir").distinct()
+    if blocked is None:
+        dirs = dirs.withColumn("blocked_depth", F.lit(-1))
+    else:
+        dirs = dirs.join(blocked, ["repo", "dir"], "left").withColumn("blocked_depth", F.coalesce("blocked_depth", F.lit(-1)))
+    open_root = P.depth(F.col("root")) > F.col("blocked_depth")
+    below = (
+        dirs.withColumn("root", F.explode(P.dir_chain(F.col("dir"))))
+        .join(roots.where("root_is_dir"), ["repo", "root"])
+        .where(open_root)
+        .groupBy("export_id", "repo", "dir")
+        .agg(F.min("root_ordinal").alias("root_ordinal"))
     )
-    reached = chained.join(roots, ["repo", "root"]).where(
-        F.col("root_is_dir") | (F.col("root") == F.col("path"))
-    ).where(P.depth(F.col("root")) > F.coalesce(F.col("blocked_depth"), F.lit(-1)))
+    # A root is at least one deeper than the directory it lies in, so nothing above hides it.
+    named = nodes.join(roots.withColumnRenamed("root", "path"), ["repo", "path"]).withColumn("explicit", ~F.col("root_is_dir"))
+    reached = nodes.join(below, ["repo", "dir"]).withColumn("explicit", F.lit(False)).unionByName(named.drop("root_is_dir"))
     # The node columns depend on (repo, path); as grouping keys they keep the aggregation hash-based.
-    payload = [c for c in nodes.columns if c not in ("repo", "path", "root", "blocked_depth")]
+    payload = [c for c in nodes.columns if c not in ("repo", "path")]
     return reached.groupBy("export_id", "repo", "path", *payload).agg(
-        F.min("root_ordinal").alias("root_ordinal"),
-        F.max((F.col("root") == F.col("path")) & ~F.col("root_is_dir")).alias("explicit"),
+        F.min("root_ordinal").alias("root_ordinal"), F.max("explicit").alias("explicit"),
     )
 
 

@@ -20,12 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 NOW = "2024-03-01 12:00:00"
-# Settings of the queries: limits low enough to be reached on small tables.
-CONFIG = ExportConfig(max_file_size_kb=16, file_limit=25)
-FILTERED = ExportConfig(
-    max_file_size_kb=16, filters_enabled=True, filename_filters=(".ts", "py", "JAVA", "md")
-)
-WIDE = ExportConfig(max_file_size_kb=16)
+# The queries run on the library's own limits; the SQL reads them from here.
+CONFIG = ExportConfig()
+FILTERED = ExportConfig(filters_enabled=True, filename_filters=(".ts", "py", "JAVA", "md"))
 FOLD = FoldConfig()
 
 
@@ -105,7 +102,7 @@ def _nodes(c):
 
 
 def _rules(c):
-    return ignore.compile_ignore_rules(ignore.parse_ignore_rules(ignore.load_ignore_files(c.files)))
+    return materialize(ignore.compile_ignore_rules(ignore.parse_ignore_rules(ignore.load_ignore_files(c.files))), "rules")
 
 
 def _walk(c, config=CONFIG):
@@ -203,7 +200,7 @@ def render_entries(c):
 
 @query
 def pack_bundles(c):
-    config = ExportConfig(max_file_size_kb=16, file_limit=25, directory_tree=True, files_in_tree=True, repo_summary=True)
+    config = ExportConfig(directory_tree=True, files_in_tree=True, repo_summary=True)
     entries = materialize(_entries(c, config), "entries")
     return render.pack_bundles(entries, config, summary.repo_summary(entries, None, NOW))
 
@@ -236,7 +233,7 @@ def render_plain(c):
 
 @query
 def render_markdown(c):
-    return render.render_markdown(_entries(c, ExportConfig(max_file_size_kb=16, file_limit=25, line_numbers=False)))
+    return render.render_markdown(_entries(c, ExportConfig(line_numbers=False)))
 
 
 @query
@@ -246,7 +243,7 @@ def render_xml(c):
 
 @query
 def directory_tree(c):
-    walked = filters.file_limit(materialize(_walk(c, WIDE), "walked"), WIDE.file_limit)
+    walked = filters.file_limit(materialize(_walk(c, CONFIG), "walked"), CONFIG.file_limit)
     kept = materialize(walked.where("kept").select("export_id", "path"), "kept")
     return render.directory_tree(kept, include_files=True)
 
@@ -424,7 +421,7 @@ def excluded_extensions(c):
 
 
 def _stats(c):
-    return summary.entry_stats(_entries(c, WIDE))
+    return summary.entry_stats(_entries(c, CONFIG))
 
 
 @query
@@ -440,7 +437,7 @@ def pct_of_total(c):
 
 @query
 def repo_summary(c):
-    entries = materialize(_entries(c, WIDE), "entries")
+    entries = materialize(_entries(c, CONFIG), "entries")
     urls = relate.best_repo(entries, c.repos)
     kinds = [
         summary.repo_summary(entries, urls, NOW, kind).select("export_id", F.lit(kind).alias("format"), "text")
@@ -476,7 +473,7 @@ def package_hints(c):
 
 @query
 def estimate_files(c):
-    counted = filters.estimate_files(c.files, c.walk_selections, 45)
+    counted = filters.estimate_files(c.files, c.walk_selections)
     return counted.select("export_id", F.col("n_files").cast("bigint").alias("n_files"))
 
 
@@ -520,7 +517,7 @@ def file_limit(c):
 
 @query
 def limit_reached(c):
-    return filters.limit_reached(filters.file_limit(materialize(_walk(c), "walked"), 41), 41)
+    return filters.limit_reached(filters.file_limit(materialize(_walk(c), "walked"), CONFIG.file_limit), CONFIG.file_limit)
 
 
 @query
@@ -608,72 +605,72 @@ def export_selected(c):
 
 @query
 def export_direct_imports(c):
-    return exports.export_direct_imports(c.files, c.file_selections, WIDE).kept()
+    return exports.export_direct_imports(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_transitive_imports(c):
-    return exports.export_transitive_imports(c.files, c.file_selections, WIDE).kept()
+    return exports.export_transitive_imports(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_dependents(c):
-    return exports.export_dependents(c.files, c.file_selections, WIDE).kept()
+    return exports.export_dependents(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_bidirectional(c):
-    return exports.export_bidirectional(c.files, c.file_selections, WIDE).kept()
+    return exports.export_bidirectional(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_implementations(c):
-    return exports.export_implementations(c.files, c.file_selections, WIDE).kept()
+    return exports.export_implementations(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_implementations_of(c):
-    return exports.export_implementations_of(c.files, ["C1", "C2", "I3"], WIDE).kept()
+    return exports.export_implementations_of(c.files, ["C1", "C2", "I3"], CONFIG).kept()
 
 
 @query
 def export_tests(c):
-    return exports.export_tests(c.files, c.file_selections, WIDE, cap=5).kept()
+    return exports.export_tests(c.files, c.file_selections, CONFIG, cap=5).kept()
 
 
 @query
 def export_all_tests(c):
-    return exports.export_all_tests(c.files, c.app_selections, WIDE)[0].kept()
+    return exports.export_all_tests(c.files, c.app_selections, CONFIG)[0].kept()
 
 
 @query
 def export_resources(c):
-    return exports.export_resources(c.files, c.file_selections, WIDE).kept()
+    return exports.export_resources(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_configs(c):
-    return exports.export_configs(c.files, c.file_selections, WIDE).kept()
+    return exports.export_configs(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_package(c):
-    return exports.export_package(c.files, c.file_selections, WIDE).kept()
+    return exports.export_package(c.files, c.file_selections, CONFIG).kept()
 
 
 @query
 def export_recent_changes(c):
-    return exports.export_recent_changes(c.files, c.file_times, NOW, 24, WIDE).kept().drop("export_id")
+    return exports.export_recent_changes(c.files, c.file_times, NOW, 24, CONFIG).kept().drop("export_id")
 
 
 @query
 def export_last_commit(c):
-    return exports.export_last_commit(c.files, c.commits, WIDE).kept().drop("export_id")
+    return exports.export_last_commit(c.files, c.commits, CONFIG).kept().drop("export_id")
 
 
 @query
 def export_changes_only(c):
-    return exports.export_changes_only(c.files, c.current_paths, c.last_paths, WIDE).kept()
+    return exports.export_changes_only(c.files, c.current_paths, c.last_paths, CONFIG).kept()
 
 
 @query

@@ -62,7 +62,9 @@ def union_selection(selections: DataFrame, related: DataFrame) -> DataFrame:
 
 def _export_explicit(files: DataFrame, chosen: DataFrame, config: ExportConfig) -> Export:
     """Export of explicitly named files. Nothing above them is looked at and ignore rules do not apply,
-    so the tree of directories is not needed."""
+    so the tree of directories is not needed, and no other text is measured or rendered."""
+    chosen = materialize(chosen, "chosen")
+    files = materialize(files.join(chosen.select("repo", "path").distinct(), ["repo", "path"], "left_semi"), "picked")
     flags = filters.measured(files, config)
     nodes = P.with_path_columns(flags).withColumn("is_dir", F.lit(False))
     walked = nodes.join(chosen.where(~F.col("is_dir")).drop("is_dir"), ["repo", "path"])
@@ -82,7 +84,9 @@ def _with_related(
         selections = selections.join(found, "export_id", "left_semi")
     chosen = union_selection(selections, related)
     if "is_dir" in related.columns:
-        return export_selected(files, chosen, config)
+        chosen = materialize(chosen, "chosen")
+        if not chosen.where("is_dir").isEmpty():  # imports of a folder are walked
+            return export_selected(files, chosen, config)
     return _export_explicit(files, chosen, config)
 
 

@@ -48,13 +48,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/packloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives the
     loss of executors, unlike a block kept on them."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     # Small row groups, so that a table of texts can be read back by many tasks.
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.partitionBy(*partition_by).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,9 @@ byte-length function and the row generator.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from packloom import constants as K
 from packloom.session import data_path, materialize
 
 NL = "chr(10)"
@@ -225,7 +227,7 @@ PROJECT_CLASSES_SQL = "select 'com.shop.Core' as class_name"
 EXPORT_HISTORY_SQL = """
 select 'repo' || cast(user_id % 20 as varchar(20)) as repo, event_id as export_id, ts,
   cast(1 + event_id % 30 as int) as file_count, event_id * 917 as size_bytes, event_id * 131 as tokens
-from events where event_type = 'signup'"""
+from events"""
 
 
 def trace_lines_sql(dialect: str) -> str:
@@ -245,7 +247,7 @@ select event_id as trace_id, cast(i as bigint) as line_no,
               when 2 then 'com.vendor.Lib' when 3 then 'org.hibernate.Session'
               when 4 then 'java.base/java.util.HashMap' else 'java.util.ArrayList' end ||
             '.run(Src.java:' || cast(10 + i as varchar(20)) || ')' end as line
-{rows} where event_type = 'error'"""
+{rows}"""
 
 
 _INGESTED: dict[tuple[str, str], DataFrame] = {}
@@ -274,11 +276,13 @@ class Corpus:
     @property
     def raw_files(self) -> DataFrame:
         """The file table, ingested once per session: written to the shared folder so that metadata
-        queries prune the content column and every later query reads columnar data."""
+        queries prune the content column and every later query reads columnar data. Ignore files lie apart,
+        so that rules are read without the other texts."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _INGESTED:
             self.table("documents").createOrReplaceTempView("documents")
-            _INGESTED[key] = materialize(self.spark.sql(files_sql("spark")), "files")
+            files = self.spark.sql(files_sql("spark")).withColumn("ignore_file", F.substring_index("path", "/", -1) == K.IGNORE_FILE)
+            _INGESTED[key] = materialize(files, "files", "ignore_file")
         return _INGESTED[key]
 
     @property
@@ -286,7 +290,7 @@ class Corpus:
         """repo, path, size_bytes, content and the path columns."""
         from packloom.functions.paths import with_path_columns
 
-        return with_path_columns(self.raw_files.select("repo", "doc_id", "path", "size_bytes", "content"))
+        return with_path_columns(self.raw_files.select("repo", "doc_id", "path", "size_bytes", "content", "ignore_file"))
 
     @property
     def file_selections(self) -> DataFrame:

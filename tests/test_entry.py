@@ -1,4 +1,6 @@
 """The driver contract, and Spark against DuckDB for a few whole queries on the smallest tables."""
+import sys
+
 import pytest
 
 import __spark_entry__ as contract
@@ -9,9 +11,15 @@ def test_keys():
     queries, sqls = contract.queries(), contract.oracle_sql()
     assert set(sqls) <= set(queries)
     own = {q for q in queries if q != "pipeline" and not q.startswith("op")}
-    assert own - set(sqls) == {
-        "jvm_implementations", "export_implementations", "export_implementations_of", "stream_fold_traces",
-    }
+    assert own - set(sqls) == {"export_implementations_of", "stream_fold_traces"}
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    """Whatever they need is missing: the other queries stay."""
+    monkeypatch.setitem(sys.modules, "packloom.llm", None)
+    queries = contract.queries()
+    assert "export_selected" in queries and not any(q == "pipeline" or q.startswith("op") for q in queries)
+    assert set(contract.oracle_sql()) <= set(queries)
 
 
 def test_entry(spark):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from packloom.operators import ignore, nodes
 from tests.conftest import paths
@@ -84,13 +85,29 @@ def test_deeper_files_override(spark):
 
 def test_rules_stay_in_their_repository(spark, corpus):
     files = corpus({("a", ".gitignore"): "*.log", ("a", "x.log"): "1", ("b", "x.log"): "1"})
-    hidden = ignore.ignored_nodes(nodes.expand_nodes(files), files)
+    hidden = ignore.ignored_nodes(nodes.expand_nodes(files), ignore.load_ignore_files(files))
     assert [(r.repo, r.path) for r in hidden.collect()] == [("a", "x.log")]
 
 
+def test_lookup_of_literals_equals_testing_every_rule(spark):
+    """Every rule against every node below its ignore file, with and without the index."""
+    rules = ["*.log", "*.tar.gz", "*.", "*..", "log", "/log", "a/log", "*.l?g", "*.log/", "/*.log", "!*.log", "*.{a,b}", "*.a,b", "x.log", "**/log",
+             "*log", "*.\\a", "log/", "sub/*.log", "*.[l]og", ".log", "*.LOG"]
+    names = ["log", "a.log", ".log", "x.tar.gz", "tar.gz", "x.", "x..", "x.a,b", "x.a", "x.b", "x.LOG", "x.log", "l", "x.\\a"]
+    items = [(d + n, folder) for d in ("", "a/", "sub/", "sub/log/", "sub/x.log/") for n in names for folder in (False, True)]
+    df = spark.createDataFrame(
+        [("r", p, p.split("/")[-1], "/".join(p.split("/")[:-1]), d) for p, d in items], "repo string, path string, name string, dir string, is_dir boolean")
+    gi = spark.createDataFrame([("r", "", "\n".join(rules)), ("r", "sub", "\n".join(rules[::-1]))], "repo string, gi_dir string, text string")
+    compiled = ignore.compile_ignore_rules(ignore.parse_ignore_rules(gi))
+    got = [(r.path, r.gi_dir, r.rule_no) for r in ignore.match_ignore_rules(df, compiled).collect()]
+    rule = F.struct(*(F.col(f"rules.{c}").alias(c) for c in ignore._RULE_FIELDS))
+    pairs = df.join(compiled.alias("rules"), "repo").where((F.col("gi_dir") == "") | F.startswith("path", F.lit("sub/")))
+    rel = F.when(F.col("gi_dir") == "", F.col("path")).otherwise(F.substring("path", 5, 100))
+    want = [(r.path, r.gi_dir, r.rule_no) for r in pairs.where(ignore.rule_hits(rule, rel, F.col("name"), F.col("is_dir"))).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 300
+
+
 @pytest.mark.parametrize("glob,regex", [("**/*.txt", r"^.*/[^/]*\.txt$"), ("a[!b]{c,d}", "^a[^/b](?:(?:c)|(?:d))$"), ("a{b", None), ("a\\", None)])
 def test_path_regex(spark, glob, regex):
     df = spark.createDataFrame([(glob,)], "g string")
-    from pyspark.sql import functions as F
-
     assert df.select(ignore._path_regex(F.col("g"))).first()[0] == regex
