@@ -704,6 +704,14 @@ select export_id, least(count(distinct path), 1000) as n_files from (
     q["classify_lines"] = sql("select trace_id, line_no, kind, class_name, indent from classified", "classified")
     q["fold_blocks"] = sql("select trace_id, line_no, pos, block, block_len from blocks where foldable", "blocks")
     q["fold_traces"] = sql("select trace_id, text from folded", "folded")
+    q["fold_lines"] = sql("""
+select s.trace_id, s.line_no, case when not s.folded then s.line else s.block_indent || '... ' || (s.block_len - 2) || ' folded frames'
+  || coalesce(' (' || h.hints || ')', '') || ' ...' end as line
+from shown s left join hints h using (trace_id, block) where not s.folded or s.nth = 2""", "shown", "hints")
+    # Sessions that ended an hour and ten minutes before the newest event; all lines of a trace carry one time.
+    q["stream_fold_traces"] = sql("""
+select f.trace_id, e.ts as session_start, f.text from folded f join events e on e.event_id = f.trace_id
+where e.ts + interval 10 minute <= (select max(ts) from events) - interval 1 hour""", "folded")
     q["append_raw"] = sql(f"select trace_id, text || chr(10) || '{K.RAW_TRACE_MARKER}' || chr(10) || raw as text from folded join raws using (trace_id)", "folded", "raws")
     q["fold_and_emit"] = sql(f"""
 select trace_id, text, length(text) as chars, {_TOKENS('text')} as tokens from (

@@ -1,8 +1,9 @@
 """Stack-trace folding over a table of lines.
 
 Runs of foldable lines are found in two levels: inside slices of a few thousand lines, then over one
-row per slice. A trace of any length is therefore spread over tasks; only the final text of a trace is
-one row.
+row per slice, which tells how many lines it has, where its first and last break is, and how the run that is
+open at its end begins. A trace, or a run, of any length is therefore spread over tasks. ``fold_lines`` gives the
+folded lines as rows; only where the text of a trace is asked for is a trace one row.
 """
 from __future__ import annotations
 
@@ -74,25 +75,51 @@ def project_class_lookup(classified: DataFrame, project_classes: DataFrame, conf
 
 def fold_blocks(lines: DataFrame) -> DataFrame:
     """Add ``pos`` (position among the non-blank lines), ``block`` (position before the run, null for
-    lines that do not fold), ``block_len`` and ``block_indent`` (of the first line of the run)."""
+    lines that do not fold), ``block_len`` and ``block_indent`` (of the first line of the run).
+
+    A run lies between two breaks, so its length is the difference of their positions; no run is ever
+    gathered under a key of its own.
+    """
     marked = lines.withColumn("_slice", F.floor(F.col("line_no") / SLICE_LINES))
     inside = Window.partitionBy("trace_id", "_slice").orderBy("line_no")
-    local = marked.withColumn("_rn", F.sum(F.col("solid").cast("bigint")).over(inside)).withColumn(
-        "_break", F.max(F.when(F.col("solid") & ~F.col("foldable"), F.col("_rn"))).over(inside)
+    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = marked.withColumn("_rn", F.sum(F.col("solid").cast("bigint")).over(inside))
+    at_break = F.when(F.col("solid") & ~F.col("foldable"), F.col("_rn"))
+    local = local.withColumn("_break", F.max(at_break).over(inside)).withColumn("_next", F.min(at_break).over(onward))
+    opens = F.col("solid") & F.col("foldable") & (F.col("_rn") == F.coalesce("_break", F.lit(0)) + 1)
+    local = local.withColumn("_begin", F.last(F.when(opens, F.struct("_rn", "indent")), ignorenulls=True).over(inside))
+
+    slices = local.groupBy("trace_id", "_slice").agg(
+        F.max("_rn").alias("_n"), F.max("_break").alias("_last"), F.min("_next").alias("_first"),
+        F.max(F.when(F.col("_begin._rn") > F.coalesce("_break", F.lit(0)), F.struct("_rn", "_begin"))).alias("_end"),
     )
-    slices = local.groupBy("trace_id", "_slice").agg(F.max("_rn").alias("_n"), F.max("_break").alias("_last"))
-    before = Window.partitionBy("trace_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    slices = slices.withColumn("_carry", F.max(F.col("_offset") + F.col("_last")).over(before))
-    placed = local.join(slices.select("trace_id", "_slice", "_offset", "_carry"), ["trace_id", "_slice"])
+    # The run that is open at the end of the slice, if its last non-blank line folds.
+    ongoing = (F.col("_end._rn") == F.col("_n")) & (F.col("_end._begin._rn") == F.coalesce("_last", F.lit(0)) + 1)
+    slices = slices.withColumn("_open", F.when(ongoing, F.col("_end._begin.indent")))
+    by_trace = Window.partitionBy("trace_id").orderBy("_slice")
+    before = by_trace.rowsBetween(Window.unboundedPreceding, -1)
+    after = by_trace.rowsBetween(1, Window.unboundedFollowing)
+    slices = slices.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy("trace_id")))
+    slices = slices.withColumns({
+        "_carry": F.max(F.col("_offset") + F.col("_last")).over(before),
+        "_ahead": F.coalesce(F.min(F.col("_offset") + F.col("_first")).over(after), F.col("_total") + 1),
+        "_stretch": F.count("_last").over(by_trace),  # slices up to the next one with a break share a run
+    })
+    stretch = Window.partitionBy("trace_id", "_stretch").orderBy("_slice")
+    slices = slices.withColumn("_start", F.first("_open", ignorenulls=True).over(stretch))
+    slices = slices.withColumn("_indent", F.lag("_start").over(by_trace))
+
+    placed = local.join(slices.select("trace_id", "_slice", "_offset", "_carry", "_ahead", "_indent"), ["trace_id", "_slice"])
+    here = F.col("foldable") & F.col("solid")
     block = F.coalesce(F.col("_offset") + F.col("_break"), F.col("_carry"), F.lit(0)).cast("bigint")
-    placed = placed.withColumn("pos", (F.col("_offset") + F.col("_rn")).cast("bigint")).withColumn(
-        "block", F.when(F.col("foldable") & F.col("solid"), block)
-    ).drop("_slice", "_rn", "_break", "_offset", "_carry")
-    runs = placed.where(F.col("block").isNotNull()).groupBy("trace_id", "block").agg(
-        F.count(F.lit(1)).alias("block_len"), F.min_by("indent", "pos").alias("block_indent")
-    )
-    return placed.join(runs, ["trace_id", "block"], "left")
+    length = F.coalesce(F.col("_offset") + F.col("_next"), F.col("_ahead")) - F.col("block") - 1
+    began_here = F.col("block") >= F.col("_offset")
+    return placed.withColumn("pos", (F.col("_offset") + F.col("_rn")).cast("bigint")).withColumn(
+        "block", F.when(here, block)
+    ).withColumn("block_len", F.when(here, length.cast("bigint"))).withColumn(
+        "block_indent", F.when(here, F.when(began_here, F.col("_begin.indent")).otherwise(F.col("_indent")))
+    ).drop("_slice", "_rn", "_break", "_next", "_begin", "_offset", "_carry", "_ahead", "_indent")
 
 
 def _head(config: FoldConfig) -> Column:

@@ -498,6 +498,11 @@ def fold_traces(c):
     return traces.fold_traces(c.trace_lines, c.project_classes, FOLD)
 
 
+@query
+def fold_lines(c):
+    return traces.fold_lines(c.trace_lines, c.project_classes, FOLD)
+
+
 @query
 def append_raw(c):
     return traces.append_raw(traces.fold_traces(c.trace_lines, c.project_classes, FOLD), traces.raw_text(c.trace_lines))
@@ -707,17 +712,13 @@ def stream_recent_changes(c):
 
 @query
 def stream_fold_traces(c):
-    def lines(source: DataFrame, view: str) -> DataFrame:
-        source.createOrReplaceTempView(view)
-        text = trace_lines_sql("spark").replace("from events", f"from {view}")
-        return c.spark.sql(text.replace("select event_id as", "select cast(ts as timestamp) as ts, event_id as"))
-
+    _event_stream(c).createOrReplaceTempView("event_stream")
+    text = trace_lines_sql("spark").replace("from events", "from event_stream")
+    lines = c.spark.sql(text.replace("select event_id as", "select cast(ts as timestamp) as ts, event_id as"))
     out = scratch_path(c.spark, "folded")
-    jobs.stream_fold_traces(
-        lines(_event_stream(c), "event_stream"), lines(c.table("events"), "event_table"), c.project_classes, out,
-        scratch_path(c.spark, "stream"), config=FOLD,
-    ).awaitTermination()
-    return c.spark.read.schema("trace_id bigint, text string").parquet(f"{out}/batch=*")
+    jobs.stream_fold_traces(lines, c.project_classes, out, scratch_path(c.spark, "stream"), config=FOLD).awaitTermination()
+    folded = c.spark.read.schema("trace_id bigint, session_start timestamp, text string").parquet(f"{out}/batch=*")
+    return folded.withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
 @query

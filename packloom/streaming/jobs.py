@@ -21,33 +21,30 @@ def stream_recent_changes(changes: DataFrame, hours: int = 24, slide: str = "1 h
 
 
 def stream_fold_traces(
-    lines: DataFrame, archive: DataFrame, project_classes: DataFrame, out_path: str, checkpoint: str,
+    lines: DataFrame, project_classes: DataFrame, out_path: str, checkpoint: str,
     gap: str = "10 minutes", delay: str = "1 hour", config: FoldConfig = FoldConfig(),
 ) -> StreamingQuery:
-    """Fold each trace once no line has arrived for ``gap``; (trace_id, line_no, line, ts) in.
-
-    The state is one small row per open trace, never its lines: the stream only finds out which traces
-    are closed, and their lines are read from ``archive``, the same lines as a table. Folding is the
-    batch job. A batch is written under its id, so a repeated batch replaces itself.
+    """Fold each session of a trace once no line of it has arrived for ``gap``; (trace_id, line_no, line, ts)
+    in, (trace_id, session_start, text) out.
+
+    The state holds the lines of the open sessions by trace and session, and the watermark closes them: the
+    stream needs no second copy of its lines. A session is what the lines themselves make it, so batches may
+    be cut anywhere; lines more than ``delay`` behind the newest are dropped. An open session is one
+    row of state, so ``gap`` bounds what a row may hold. Folding is the batch job, with the session in the key. A batch is
+    written under its id, so a repeated batch replaces itself.
     """
     closed = (
         lines.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("session"), "trace_id")
-        .agg(F.count(F.lit(1)).alias("n_lines"))
-        .select("trace_id", F.col("session.start").alias("start"), F.col("session.end").alias("end"))
+        .agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
+        .select("trace_id", F.col("session.start").alias("session_start"), "lines")
     )
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         done = materialize(batch, "closed")
-        span = done.agg(F.min("start").alias("start"), F.max("end").alias("end")).first()
-        if span.start is None:
-            return
-        recent = archive.where((F.col("ts") >= F.lit(span.start)) & (F.col("ts") < F.lit(span.end)))
-        gathered = recent.join(done, "trace_id").where(
-            (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))
-        ).select("trace_id", "line_no", "line")
-        folded = traces.fold_traces(gathered, project_classes, config)
-        folded.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        keyed = done.select(F.struct("trace_id", "session_start").alias("trace_id"), F.explode("lines").alias("at"))
+        folded = traces.fold_traces(keyed.select("trace_id", "at.line_no", "at.line"), project_classes, config)
+        folded.select("trace_id.*", "text").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return (
         closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -66,7 +63,7 @@ def stream_history(exports: DataFrame, table_path: str, checkpoint: str, n: int
         spark = batch.sparkSession
         before = latest_history(spark, table_path, batch.schema, batch_id)
         both = batch if before is None else batch.unionByName(before.select(*batch.columns))
-        summary.recent_exports(both.dropDuplicates(["repo", "export_id"]), n).write.mode("overwrite").parquet(
+        summary.recent_exports(_newest(both), n).write.mode("overwrite").parquet(
             f"{table_path}/v={batch_id}"
         )
 
@@ -76,6 +73,13 @@ def stream_history(exports: DataFrame, table_path: str, checkpoint: str, n: int
     )
 
 
+def _newest(exports: DataFrame) -> DataFrame:
+    """One row per export: the newest, of equally new ones the last in the order of all columns."""
+    rest = [c for c in exports.columns if c not in ("repo", "export_id", "ts")]
+    newest = exports.groupBy("repo", "export_id").agg(F.max(F.struct("ts", *rest)).alias("row"))
+    return newest.select("repo", "export_id", "row.*").select(*exports.columns)
+
+
 def latest_history(spark: SparkSession, table_path: str, schema, before: int | None = None) -> DataFrame | None:
     """Newest complete version, below ``before`` when given; versions are the batch numbers."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table_path)

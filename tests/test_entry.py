@@ -11,7 +11,7 @@ def test_keys():
     queries, sqls = contract.queries(), contract.oracle_sql()
     assert set(sqls) <= set(queries)
     own = {q for q in queries if q != "pipeline" and not q.startswith("op")}
-    assert own - set(sqls) == {"export_implementations_of", "stream_fold_traces"}
+    assert own - set(sqls) == {"export_implementations_of"}
 
 
 def test_entry_without_the_training_data_operators(monkeypatch):

@@ -146,23 +146,49 @@ def test_history_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, summary.recent_exports(spark.createDataFrame(rows, schema), 10).collect()))
 
 
-def test_trace_stream_equals_batch_for_closed_sessions(spark, tmp_path):
+def _sessions(rows, gap):
+    """Lines of each (trace, session start), by brute force."""
+    found = {}
+    for trace in {r[1] for r in rows}:
+        last = None
+        for ts, _, n, line in sorted(r for r in rows if r[1] == trace):
+            if last is None or ts - last > gap:
+                start = ts
+            last = ts
+            found.setdefault((trace, start), []).append((n, line))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def test_trace_stream_is_the_same_for_any_batches(spark, tmp_path):
+    """One batch and many give the batch job's text of every closed session: several sessions of one trace,
+    lines of a session in several batches, and lines that come late but within the delay."""
     from packloom.operators import traces
 
-    t0 = dt.datetime(2024, 1, 1)
+    t0, minute = dt.datetime(2024, 1, 1), dt.timedelta(minutes=1)
     rows = []
     for i in range(30):
         lines = ["E: x"] + [f"\tat java.util.A{j}.run(S.java:{j})" for j in range(2 + i % 5)]
-        rows += [(t0 + dt.timedelta(hours=i), i, n, line) for n, line in enumerate(lines)]
+        rows += [(t0 + i * 60 * minute + n * minute, i % 25, n + 10 * (i // 25), line) for n, line in enumerate(lines)]
+    rows += [(t0 + (60 * i + 9) * minute, i % 25, 90, "late") for i in range(3, 30, 4)]
     schema = "ts timestamp, trace_id bigint, line_no bigint, line string"
-    source = str(tmp_path / "in")
-    spark.createDataFrame(rows, schema).write.parquet(source)
     classes = spark.createDataFrame([("q",)], "class_name string")
-    out = str(tmp_path / "out")
-    jobs.stream_fold_traces(
-        spark.readStream.schema(schema).parquet(source), spark.read.schema(schema).parquet(source), classes, out, str(tmp_path / "mark")
-    ).awaitTermination()
-    got = {r.trace_id: r.text for r in spark.read.schema("trace_id bigint, text string").parquet(f"{out}/batch=*").collect()}
-    batch = {r.trace_id: r.text for r in traces.fold_traces(spark.createDataFrame(rows, schema).drop("ts"), classes).collect()}
-    # the last sessions stay open: their end is not yet an hour behind the newest line
-    assert set(got) == set(range(28)) and all(batch[k] == v for k, v in got.items())
+    ordered = sorted(rows)
+    swapped = [ordered[i ^ 1] if i ^ 1 < len(ordered) else ordered[i] for i in range(len(ordered))]
+    results = []
+    for name, parts in {"one": [rows], "many": [swapped[i: i + 17] for i in range(0, len(swapped), 17)]}.items():
+        source, out, mark = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "mark"))
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+            jobs.stream_fold_traces(spark.readStream.schema(schema).parquet(source), classes, out, mark).awaitTermination()
+        got = spark.read.schema("trace_id bigint, session_start timestamp, text string").parquet(f"{out}/batch=*").collect()
+        results.append({(r.trace_id, r.session_start): r.text for r in got})
+        assert len(got) == len(results[-1])
+    sessions = _sessions(rows, 10 * minute)
+    closing = max(r[0] for r in rows) - 60 * minute
+    ends = {k: max(ts for ts, trace, n, line in rows if trace == k[0] and (n, line) in v and k[1] <= ts) for k, v in sessions.items()}
+    closed = {k: v for k, v in sessions.items() if ends[k] + 10 * minute <= closing}
+    keyed = [(f"{k}", n, line) for k, v in closed.items() for n, line in v]
+    batch = traces.fold_traces(spark.createDataFrame(keyed, "trace_id string, line_no bigint, line string"), classes).collect()
+    want = {r.trace_id: r.text for r in batch}
+    assert len(want) > 25 and results[0] == results[1]
+    assert {f"{k}": v for k, v in results[0].items()} == want

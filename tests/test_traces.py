@@ -131,6 +131,16 @@ def test_one_trace_holding_most_lines(spark):
     assert got == ["    ... 20000 folded frames ...", at(OWN, 1), "    ... 9999 folded frames ..."]
 
 
+def test_runs_over_slices_against_brute_force(spark, monkeypatch):
+    """Slices of two lines: runs that begin before, end after, and fill slices; blank slices; own indents."""
+    monkeypatch.setattr(traces, "SLICE_LINES", 2)
+    rng = random.Random(23)
+    pool = ["  " * rng.randint(0, 3) + at(c, 1).strip() for c in ["java.util.A", "com.lib.B", "org.y.C"] * 4] + ["", "log", at(OWN, 1)]
+    texts = ["\n".join(rng.choices(pool, weights=[6] * 12 + [8, 2, 1], k=rng.randint(1, 60))) for _ in range(120)]
+    config = FoldConfig(min_frames=2, fold_ellipsis=True)
+    assert fold(spark, texts, {OWN}, config) == [brute_fold(t, {OWN}, config) for t in texts]
+
+
 def test_raw_is_appended(spark):
     text = "E: x\n" + "\n".join(at("a.B", i) for i in range(3))
     df = spark.createDataFrame([(1, text)], "trace_id bigint, text string")
