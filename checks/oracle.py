@@ -55,7 +55,7 @@ def sql(final: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     parts = ",\n".join(
-        f"{n} as {'' if n in ('closed', 'jvm_closed') else 'materialized '}({CTES[n][0]})" for n in order
+        f"{n} as {'' if n in ('closed', 'jvm_closed', 'jvm_bare') else 'materialized '}({CTES[n][0]})" for n in order
     )
     return f"with recursive {parts}\n{final}" if parts else final
 
@@ -381,16 +381,18 @@ where f.language in ('JAVASCRIPT','TYPESCRIPT','JSX','TSX') and case
   else regexp_matches(f.content, '(?:withRouter|connect|memo|forwardRef)\s*\(\s*' || d.name || '\s*\)')
     or regexp_matches(f.content, 'const\s+[A-Z][a-zA-Z0-9_]*\s*=\s*\([^)]*\)\s*=>\s*<' || d.name) end"""
 # JVM types: arguments go from the innermost outwards, then the list of super-types is read name by name.
-_BARE = "replace(content, '->', ' ')"
-for _ in range(8):
-    _BARE = f"regexp_replace({_BARE}, '\\([^()]*\\)|<[^()<>{{}};=]*>', '', 'g')"
+_ARGS = r"'\([^()]*\)|<[^()<>{};=]*>'"
+cte("jvm_bare", f"""
+select repo, path, replace(content, '->', ' ') as bare from files where language in ('JAVA', 'KOTLIN')
+union all
+select repo, path, regexp_replace(bare, {_ARGS}, '', 'g') as bare from jvm_bare where regexp_matches(bare, {_ARGS})""", "files")
 _JT = r"\s*(?:@[\w.]+\s+)*[\w.]+(?:\s+by\s+[\w.]+)?"
 _JL = rf"(?::|\bextends\b|\bimplements\b){_JT}(?:\s*,{_JT})*"
 _JH = rf"\b(?:class|interface|object)\s+([A-Z]\w*)(?:\s+[@\w. ]*\bconstructor\b)?\s*({_JL}(?:\s+{_JL})*)"
 cte("jvm_supers", f"""
 select distinct repo, path, regexp_extract(h, '{_JH}', 1) as name,
   unnest(regexp_extract_all(regexp_extract(h, '{_JH}', 2), '(?:[:,]|\\bextends\\b|\\bimplements\\b)\\s*(?:@[\\w.]+\\s+)*(?:\\w+\\.)*([A-Z]\\w*)', 1)) as super_name
-from (select repo, path, unnest(regexp_extract_all({_BARE}, '{_JH}', 0)) as h from files where language in ('JAVA', 'KOTLIN')) h0""", "files")
+from (select repo, path, unnest(regexp_extract_all(bare, '{_JH}', 0)) as h from jvm_bare where not regexp_matches(bare, {_ARGS})) h0""", "jvm_bare")
 cte("jvm_closed", r"""
 select distinct s.export_id, s.repo, unnest(regexp_extract_all(f.content, '\b(?:class|interface|object)\s+([A-Z]\w*)', 1)) as name
 from sel s join files f using (repo, path) where f.language in ('JAVA', 'KOTLIN')
@@ -735,6 +737,18 @@ select repo, export_id, ts, {_LINE('file_count', 'size_bytes', 'tokens')} as sum
 select export_id, repo, path, case when l.p is null then 'added' when c.p is null then 'removed' else 'unchanged' end as status
 from (select *, path as p from cur_p) c full outer join (select *, path as p from last_p) l using (export_id, repo, path)"""
     q["export_diff"] = sql(status, "cur_p", "last_p")
+    q["export_diff_text"] = sql(f"""
+select c.export_id, 'Export Diff Summary' || chr(10) || '===================' || chr(10) || chr(10)
+  || 'Previous: ' || coalesce(h.line, '') || chr(10) || 'Current: ' || {_LINE('c.n', 'c.b', 'c.t')} || chr(10) || chr(10)
+  || coalesce('Added Files (' || d.added || '):' || chr(10) || d.plus || chr(10), '')
+  || coalesce('Removed Files (' || d.removed || '):' || chr(10) || d.minus, '') as text
+from (select p.export_id, count(*) as n, coalesce(sum(f.size_bytes), 0) as b, coalesce(sum({_TOKENS('f.content')}), 0) as t
+  from cur_p p left join files f using (repo, path) group by p.export_id) c
+join (select export_id, nullif(count(*) filter (status = 'added'), 0) as added, nullif(count(*) filter (status = 'removed'), 0) as removed,
+    string_agg('+ ' || path || chr(10), '' order by path, repo) filter (status = 'added') as plus,
+    string_agg('- ' || path || chr(10), '' order by path, repo) filter (status = 'removed') as minus
+  from ({status}) s group by export_id) d using (export_id)
+left join (select export_id, {_LINE('file_count', 'size_bytes', 'tokens')} as line from history) h using (export_id)""", "cur_p", "last_p", "files", "history")
     q["diff_counts"] = sql(f"""
 select export_id, count(*) filter (status = 'added') as added, count(*) filter (status = 'removed') as removed,
   count(*) filter (status = 'unchanged') as unchanged from ({status}) d group by export_id""", "cur_p", "last_p")

@@ -17,6 +17,7 @@ class ExportConfig:
     directory_tree: bool = False
     files_in_tree: bool = False
     repo_summary: bool = False
+    generated_at: str | None = None  # timestamp in the summary; without it, the time of the run
     line_numbers: bool = True
     output_format: str = "plain"  # plain | markdown | xml
     dependent_cap: int = K.DEPENDENT_CAP

@@ -31,11 +31,30 @@ def language_family(language: Column) -> Column:
     )
 
 
+def _utf16(content: Column, order: str) -> Column:
+    """The text behind a two-byte mark; null if it is not whole and well-formed UTF-16."""
+    units = F.regexp_replace(F.hex(F.substring(content, F.lit(3), F.length(content))), "(..)(..)", "$1$2" if order == "BE" else "$2$1")
+    # An odd last byte, or a surrogate without its other half.
+    broken = (F.length(units) % 4 != 0) | units.rlike(r"^(?:[0-9A-F]{4})*?(?:D[89AB]..(?!D[C-F])|(?<!D[89AB]..)D[C-F])")
+    return F.when(~broken, F.decode(F.substring(content, F.lit(3), F.length(content)), f"UTF-16{order}"))
+
+
 def read_text(content: Column, path: Column) -> Column:
-    """UTF-8 text of a binary column, malformed bytes replaced; without content the marker that drops
-    the row."""
+    """Text of a binary column; without content the marker that drops the row.
+
+    A byte order mark tells UTF-8 (without the mark then) or UTF-16. The rest is UTF-8, unless it is not valid
+    and has no character beyond ASCII that is: that is Latin-1. In other texts malformed bytes are replaced.
+    """
     marker = F.concat(F.lit("// Error reading file: "), path)
-    return F.coalesce(F.make_valid_utf8(content.cast("string")), marker)
+    start = F.hex(F.substring(content, F.lit(1), F.lit(3)))
+    marked = F.startswith(start, F.lit("EFBBBF"))
+    text = F.when(marked, F.substring(content, F.lit(4), F.length(content))).otherwise(content).cast("string")
+    valid = F.make_valid_utf8(text)
+    one_byte = ~marked & ~F.is_valid_utf8(text) & ~F.rlike(valid, F.lit("[^\\x00-\\x7F\uFFFD]"))
+    return F.coalesce(
+        F.when(F.startswith(start, F.lit("FEFF")), _utf16(content, "BE")).when(F.startswith(start, F.lit("FFFE")), _utf16(content, "LE")),
+        F.when(one_byte, F.decode(content, "ISO-8859-1")).otherwise(valid), marker,
+    )
 
 
 def number_lines(text: Column) -> Column:

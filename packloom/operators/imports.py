@@ -149,10 +149,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         "repo", "dir", F.col("family").alias("lang"), "import_str", F.explode("requests").alias("q")
     ).select("repo", "dir", "lang", "import_str", "q.lookup", "q.key", "q.base", "q.exact_only")
     keys = lookup_keys(files)
-    with_src = N.directories(files).where(F.col("path") == "src").select("repo", F.lit(True).alias("has_src"))
-    lookups = lookups.join(with_src, "repo", "left").where(
-        (F.col("lookup") != "alias_top") | F.col("has_src").isNull()
-    ).where((F.col("lookup") != "alias_src") | F.col("has_src"))
+    # Below a ``src`` folder the alias means that folder, so there the files at the top publish no alias.
+    with_src = N.directories(files).where(F.col("path") == "src").select("repo")
+    top = F.col("family") == "alias_top"
+    keys = keys.where(~top).unionByName(keys.where(top).join(with_src, "repo", "left_anti"))
     index_only = F.col("lookup") == "script_index"
     lookups = lookups.withColumn("index_only", index_only).withColumn(
         "lookup", F.when(index_only, F.lit("script")).otherwise(F.col("lookup"))

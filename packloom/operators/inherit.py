@@ -5,6 +5,8 @@ equi-join, so no declared name is ever tested against a text.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +117,7 @@ def implementations(
 _JVM_DECLARED = r"\b(?:class|interface|object)\s+([A-Z]\w*)"
 # Call and type arguments without further ones inside; taken out level by level.
 _ARGUMENTS = r"\([^()]*\)|<[^()<>{};=]*>"
-ARGUMENT_LEVELS = 8
+LEVELS_A_SCAN = 8
 _TYPE = r"\s*(?:@[\w.]+\s+)*[\w.]+(?:\s+by\s+[\w.]+)?"
 _LIST = rf"(?::|\bextends\b|\bimplements\b){_TYPE}(?:\s*,{_TYPE})*"
 # A declaration and its super-types; it ends where the list of types ends.
@@ -135,17 +137,39 @@ def jvm_declarations(files: DataFrame) -> DataFrame:
     )
 
 
+def _without_arguments(text: Column) -> Column:
+    for _ in range(LEVELS_A_SCAN):
+        text = F.regexp_replace(text, _ARGUMENTS, "")
+    return text
+
+
+def jvm_headers(files: DataFrame) -> DataFrame:
+    """(repo, path, header) of every declaration with super-types, without call and type arguments.
+
+    One scan takes out ``LEVELS_A_SCAN`` levels of arguments. The few texts that hold more are written and go
+    round again until none is left, however deep.
+    """
+    rest = _jvm(files).select("repo", "path", F.replace("content", F.lit("->"), F.lit(" ")).alias("text"))
+    found = []
+    while True:
+        bare = rest.withColumn("text", _without_arguments(F.col("text"))).withColumn("deeper", F.col("text").rlike(_ARGUMENTS))
+        scanned = materialize(bare.select(
+            "repo", "path", F.when(F.col("deeper"), F.col("text")).alias("text"),
+            F.when(~F.col("deeper"), F.regexp_extract_all("text", F.lit(_JVM_HEADER), 0)).alias("headers"),
+        ), "headers")
+        found.append(scanned.select("repo", "path", F.explode("headers").alias("header")))
+        rest = scanned.where("text is not null").select("repo", "path", "text")
+        if rest.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+
+
 def jvm_supers(files: DataFrame) -> DataFrame:
     """(repo, path, name, super_name): which type states which super-types, textual and by short name.
 
-    Call and type arguments count for nothing; up to ``ARGUMENT_LEVELS`` of them may be nested.
+    Call and type arguments count for nothing.
     """
-    bare = F.replace("content", F.lit("->"), F.lit(" "))
-    for _ in range(ARGUMENT_LEVELS):
-        bare = F.regexp_replace(bare, _ARGUMENTS, "")
-    headers = _jvm(files).select("repo", "path", F.explode(F.regexp_extract_all(bare, F.lit(_JVM_HEADER), 0)).alias("header"))
     supers = F.regexp_extract_all(F.regexp_extract("header", _JVM_HEADER, 2), F.lit(_JVM_SUPER), 1)
-    return headers.select(
+    return jvm_headers(files).select(
         "repo", "path", F.regexp_extract("header", _JVM_HEADER, 1).alias("name"), F.explode(supers).alias("super_name")
     ).distinct()
 

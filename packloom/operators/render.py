@@ -1,12 +1,15 @@
 """From kept files to entries, from entries to one text per export."""
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.config import ExportConfig
 from packloom.functions import paths as P
 from packloom.functions import text as T
+from packloom.operators import summary
 
 
 def render_entries(kept: DataFrame, files: DataFrame, config: ExportConfig = ExportConfig()) -> DataFrame:
@@ -139,8 +142,14 @@ def directory_tree(entries: DataFrame, include_files: bool = False) -> DataFrame
     )
 
 
-def pack_bundles(entries: DataFrame, config: ExportConfig = ExportConfig(), summaries: DataFrame | None = None) -> DataFrame:
-    """(export_id, text): tree, then summary, then entries."""
+def pack_bundles(
+    entries: DataFrame, config: ExportConfig = ExportConfig(), summaries: DataFrame | None = None, urls: DataFrame | None = None
+) -> DataFrame:
+    """(export_id, text): tree, then summary, then entries. The summary is made where the settings ask for it,
+    with ``urls`` (export_id, url), unless ``summaries`` (export_id, text) are given."""
+    if summaries is None and config.repo_summary:
+        now = config.generated_at or datetime.datetime.now().isoformat(" ", "seconds")
+        summaries = summary.repo_summary(entries, urls, now, config.output_format)
     bundles = _joined(entries, config.output_format, config.path_header)
     text = F.col("text")
     if summaries is not None:

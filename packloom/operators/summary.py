@@ -151,6 +151,32 @@ def export_diff(current: DataFrame, last: DataFrame) -> DataFrame:
     return now.join(then, _FILE_KEY, "full_outer").select(*_FILE_KEY, status.alias("status"))
 
 
+def diff_text(diff: DataFrame, previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(export_id, text): the diff as it is copied. ``diff`` as ``export_diff`` gives it, ``previous``
+    (export_id, summary) from the history, empty where there is none, and ``current`` (export_id, file_count,
+    size_bytes, tokens). Paths are ordered, then repositories; a text is as long as the two exports it compares.
+    """
+    def listed(status: str, sign: str):
+        chosen = F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("path", "repo"))))
+        return F.transform(chosen, lambda r: F.concat(F.lit(f"{sign} "), r["path"], F.lit("\n")))
+
+    lists = diff.groupBy("export_id").agg(listed("added", "+").alias("added"), listed("removed", "-").alias("removed"))
+
+    def block(title: str, column: str, end: str):
+        head = F.concat(F.lit(f"{title} Files ("), F.size(column).cast("string"), F.lit("):\n"))
+        return F.when(F.size(column) > 0, F.concat(head, F.array_join(column, ""), F.lit(end))).otherwise(F.lit(""))
+
+    line = T.export_line(F.col("file_count"), F.col("size_bytes"), F.col("tokens"))
+    return (
+        current.join(lists, "export_id")
+        .join(previous.select("export_id", F.col("summary").alias("_before")), "export_id", "left")
+        .select("export_id", F.concat(
+            F.lit("Export Diff Summary\n===================\n\nPrevious: "), F.coalesce("_before", F.lit("")), F.lit("\nCurrent: "), line,
+            F.lit("\n\n"), block("Added", "added", "\n"), block("Removed", "removed", ""),
+        ).alias("text"))
+    )
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("export_id").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "unchanged")]

@@ -200,9 +200,8 @@ def render_entries(c):
 
 @query
 def pack_bundles(c):
-    config = ExportConfig(directory_tree=True, files_in_tree=True, repo_summary=True)
-    entries = materialize(_entries(c, config), "entries")
-    return render.pack_bundles(entries, config, summary.repo_summary(entries, None, NOW))
+    config = ExportConfig(directory_tree=True, files_in_tree=True, repo_summary=True, generated_at=NOW)
+    return render.pack_bundles(materialize(_entries(c, config), "entries"), config)
 
 
 @query
@@ -581,6 +580,17 @@ def export_diff(c):
     return summary.export_diff(c.current_paths, c.last_paths)
 
 
+@query
+def export_diff_text(c):
+    here = c.current_paths.join(c.files.select("repo", "path", "size_bytes", "content"), ["repo", "path"], "left")
+    current = here.groupBy("export_id").agg(
+        F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"),
+        F.coalesce(F.sum(T.approx_tokens(F.col("content"))), F.lit(0)).alias("tokens"))
+    line = T.export_line(F.col("file_count"), F.col("size_bytes"), F.col("tokens"))
+    previous = c.export_history.select("export_id", line.alias("summary"))
+    return summary.diff_text(summary.export_diff(c.current_paths, c.last_paths), previous, current)
+
+
 @query
 def diff_counts(c):
     return summary.diff_counts(summary.export_diff(c.current_paths, c.last_paths))

@@ -32,8 +32,8 @@ class Export:
     def counts(self) -> DataFrame:
         return filters.exclusion_counts(self.walked)
 
-    def bundles(self, summaries: DataFrame | None = None) -> DataFrame:
-        return render.pack_bundles(self.entries, self.config, summaries)
+    def bundles(self, summaries: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:
+        return render.pack_bundles(self.entries, self.config, summaries, urls)
 
 
 def export_selected(files: DataFrame, selections: DataFrame, config: ExportConfig = ExportConfig()) -> Export:

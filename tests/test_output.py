@@ -192,3 +192,41 @@ def test_trace_stream_is_the_same_for_any_batches(spark, tmp_path):
     want = {r.trace_id: r.text for r in batch}
     assert len(want) > 25 and results[0] == results[1]
     assert {f"{k}": v for k, v in results[0].items()} == want
+
+
+def test_charsets(spark):
+    from packloom.functions import text as T
+
+    text = "grün 日本 𝄞 x"
+    cases = {
+        "plain": (text.encode(), text), "marked": (b"\xef\xbb\xbf" + text.encode(), text),
+        "be": (b"\xfe\xff" + text.encode("utf-16-be"), text), "le": (b"\xff\xfe" + text.encode("utf-16-le"), text),
+        "latin": ("größer, déjà vu".encode("latin-1"), "größer, déjà vu"), "empty": (b"", ""), "ascii": (b"a\nb", "a\nb"),
+        "damaged": ("grün ".encode() + b"\xff!", "grün \ufffd!"), "odd": (b"\xff\xfea", "ÿþa"), "lone": (b"\xfe\xff\xd8\x00\x00a", "þÿØ\x00\x00a"),
+        "only a mark": (b"\xff\xfe", ""), "none": (None, "// Error reading file: none"),
+    }
+    df = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, (b, _) in cases.items()], "path string, content binary")
+    got = dict(df.select("path", T.read_text(F.col("content"), F.col("path"))).collect())
+    assert got == {k: t for k, (_, t) in cases.items()}
+
+
+def test_diff_text(spark):
+    schema = "export_id bigint, repo string, path string"
+    current = spark.createDataFrame([(1, "r", "b"), (1, "r", "a"), (1, "q", "a"), (1, "r", "same"), (2, "r", "x")], schema)
+    last = spark.createDataFrame([(1, "r", "same"), (1, "r", "gone"), (2, "r", "x")], schema)
+    sizes = spark.createDataFrame([(1, 4, 2048, 1500), (2, 1, 10, 3)], "export_id bigint, file_count bigint, size_bytes bigint, tokens bigint")
+    before = spark.createDataFrame([(1, "2 files, 1.0 KB, ~9 tokens")], "export_id bigint, summary string")
+    got = dict(summary.diff_text(summary.export_diff(current, last), before, sizes).collect())
+    assert got == {
+        1: "Export Diff Summary\n===================\n\nPrevious: 2 files, 1.0 KB, ~9 tokens\nCurrent: 4 files, 2.0 KB, ~1,500 tokens\n\n"
+           "Added Files (3):\n+ a\n+ a\n+ b\n\nRemoved Files (1):\n- gone\n",
+        2: "Export Diff Summary\n===================\n\nPrevious: \nCurrent: 1 files, 0.0 KB, ~3 tokens\n\n",
+    }
+
+
+def test_summary_by_the_setting_alone(spark, corpus, select):
+    config = ExportConfig(repo_summary=True, generated_at=NOW)
+    export = exports.export_selected(corpus({"a.ts": "x", "b.ts": "y"}), select("a.ts", "b.ts"), config)
+    text = export.bundles().first().text
+    assert text.startswith("**Repository Info**") and "01.03.2024, 12:00:00" in text and text.endswith("1: y")
+    assert export.bundles(urls=spark.createDataFrame([(1, "git://here")], "export_id bigint, url string")).first().text.count("git://here") == 1

@@ -181,6 +181,17 @@ def test_jvm_subtypes_leave_arguments_and_neighbours_out(corpus, select):
     assert paths(inherit.jvm_implementations(select("User.kt"), files)) == ["Admin.kt", "Root.java"]
 
 
+def test_jvm_subtypes_behind_arguments_of_any_depth(corpus, select):
+    """Twenty levels of calls and types before the super-type; comparisons and open brackets are no arguments."""
+    calls, types = "f(" * 20 + ")" * 20, "M<" * 20 + "T" + ">" * 20
+    files = corpus({
+        "Top.kt": "interface Top", "Calls.kt": f"class Calls(val x: Int = {calls}) : Base<{types}>({calls}), Top", "Types.java": f"class Types<A extends {types}> implements X<{types}>, Top {{",
+        "Both.kt": "class Both : G<" + "(" * 30 + "User" + ")" * 30 + ">(), Top", "Open.kt": "val a = ((((((((((((b < c\nclass Open : Other(), Top",
+        "Not.kt": f"class Not(val t: Top = {calls}) : Base({calls})",
+    })
+    assert paths(inherit.jvm_implementations(select("Top.kt"), files)) == ["Both.kt", "Calls.kt", "Open.kt", "Types.java"]
+
+
 def test_jvm_subtypes_follow_names_not_files(corpus):
     files = corpus({
         "Two.kt": "open class A\nopen class Z", "X.kt": "open class X : A()\nopen class Q", "W.kt": "class W : Z()", "Y.kt": "class Y : Q()", "V.kt": "class V : X()",
