@@ -158,9 +158,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it. Empty documents, which cost no
     words, stay once, and so do rows with a null doc_id. Rows that share a doc_id are each taken as often as the most drawn of them."""
+    copy = "copy"
+    while copy in (c.lower() for c in docs.columns):
+        copy += "_"
     times = mixed.where("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)).alias("_times"))
-    columns = [docs[c] for c in docs.columns]
-    joined = docs.join(times.withColumnRenamed("doc_id", "_taken_id"), docs["doc_id"] == F.col("_taken_id"), "left")
-    return joined.where(F.coalesce("_times", F.lit(1)) > 0).select(
-        *columns, F.explode(F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1)))).alias("_copy")).drop("_copy")
+        F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)).alias("n"))
+    n = F.coalesce(times["n"], F.lit(1))
+    joined = docs.join(times, docs["doc_id"] == times["doc_id"], "left")
+    return joined.where(n > 0).select(
+        *(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), n)).alias(copy)).drop(copy)

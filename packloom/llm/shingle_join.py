@@ -23,8 +23,8 @@ So every linked pair of different sets shares a signature. Buckets of two or mor
 signature costs time in proportion to its rows and no memory). A node that shares fewer signatures in an instance
 than any linked pair must, m_j + 1 less its empty parts, is left out. The rest have their sets fetched.
 
-Links. In a few rounds every node of an unresolved bucket is compared with one leader, the one with which it shares
-most signatures; verified links merge components, and buckets within one component are done. In what is left all
+Links. In rounds, as long as these help, every node of an unresolved bucket is compared with one leader, the one with which it
+shares most signatures; verified links merge components, and buckets within one component are done. In what is left all
 pairs between different components of a bucket are tested, in blocks, against an exact lower bound of the
 difference (parity sketches), and survivors against the sets. No link between components is lost; links inside
 a component are not enumerated.
@@ -46,9 +46,9 @@ from packloom.llm import words as W
 from packloom.llm.components import merged
 from packloom.session import materialize, scratch_path
 
-SKETCH_BITS = 1024
+SKETCH_BITS = 1024  # of a set of up to 512 shingles; larger sets have two to four bits a shingle
 FILTER_WORDS = 1 << 18
-ROUNDS, BLOCK, SMALL, HELD = 2, 2048, 64, 2_000_000
+BLOCK, SMALL = 2048, 64
 _U = np.uint64
 _WEIGHTS = W.mix(np.arange(101, 133, dtype=_U)) | _U(1)
 
@@ -166,12 +166,28 @@ def signatures(owner: np.ndarray, code: np.ndarray, size: np.ndarray, bands: Ban
     return np.concatenate(out_doc), np.concatenate(out_sig).view(np.int64), np.concatenate(out_need).astype(np.int32)
 
 
-def parity(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
-    """(n, SKETCH_BITS / 8) bytes: each shingle flips one bit, so two sketches differ in at most as many bits
-    as their sets in shingles."""
-    bit = (W.mix(code + _U(99)) % _U(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(owner * SKETCH_BITS + bit, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1)
+def parity(owner: np.ndarray, code: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A sketch of each set, as long as a power of two: each shingle flips one bit, so two sketches of one length
+    differ in at most as many bits as their sets in shingles. The xor of its halves is the sketch of half the length."""
+    bits = np.maximum(SKETCH_BITS, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    bit = (W.mix(code + _U(99)) & (bits[owner] - 1).astype(_U)).astype(np.int64)
+    odd = np.bincount((ends - bits)[owner] + bit, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[a // 8: b // 8] for a, b in zip(ends - bits, ends)]
+
+
+def _halved(sketch: bytes, words: int) -> np.ndarray:
+    out = np.frombuffer(sketch, np.uint64)
+    while len(out) > words:
+        out = out[: len(out) // 2] ^ out[len(out) // 2:]
+    return out
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ at the length of the shorter."""
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(_halved(x, words) ^ _halved(y, words)).sum())
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -216,40 +232,29 @@ def signature_rows(docs: DataFrame, width: int, similarity: Fraction) -> DataFra
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """The (sig, node) rows of signatures with two nodes or more, some of them repeated. A task keeps one node per
-    signature of its part and a bounded buffer, however many rows one signature has."""
+    """The (sig, node) rows of signatures with two nodes or more, some of them repeated. Spark sorts the rows, spilling
+    where it must; a task then holds one batch and one row of the signature it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        held: list[list[np.ndarray]] = []
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first, held, n
-            sig, node, need = (np.concatenate(c) for c in zip(first, *held))
-            held, n = [], 0
-            order = np.lexsort((node, sig))
-            sig, node, need = sig[order], node[order], need[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node, need = sig[new], node[new], need[new]
-            head = np.ones(len(sig), bool)
-            head[1:] = sig[1:] != sig[:-1]
-            shared = ~head
-            shared[:-1] |= ~head[1:]
-            first = [sig[head], node[head], need[head]]
-            if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (sig, node, need)], names=["sig", "node", "need"])
-
+        waiting: list[np.ndarray] | None = None  # the only node so far of the last signature
+        given = None  # the last signature, if it has two
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("sig", "node", "need")])
-            n += len(batch)
-            if n >= max(HELD, len(first[0])):
-                yield from flush()
-        if n:
-            yield from flush()
+            columns = [batch.column(c).to_numpy() for c in ("sig", "node", "need")]
+            if not len(columns[0]):
+                continue
+            if waiting is not None:
+                columns = [np.concatenate(c) for c in zip(waiting, columns)]
+            sig, node, _ = columns
+            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            two = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
+            two[0] |= given is not None and given == sig[0]
+            shared = np.repeat(two, np.diff(np.append(starts, len(sig))))
+            at = starts[-1]
+            given, waiting = (sig[-1], None) if two[-1] else (None, [c[at: at + 1] for c in columns])
+            if shared.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns], names=["sig", "node", "need"])
 
-    return rows.repartition("sig").mapInArrow(run, "sig bigint, node bigint, need int")
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig bigint, node bigint, need int")
 
 
 def enough(rows: DataFrame) -> DataFrame:
@@ -293,10 +298,10 @@ def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     rank = np.full(hi - lo, -1)
                     rank[some] = np.arange(len(some))
                     keep = rank[owner] >= 0
-                    sketch = parity(rank[owner[keep]], code[keep], len(some))
+                    sketch = parity(rank[owner[keep]], code[keep], size[some])
                     cuts = np.split(code[keep], np.cumsum(size[some])[:-1])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(node[some]), pa.array(size[some]), pa.array([s.tobytes() for s in sketch], pa.binary()),
+                        pa.array(node[some]), pa.array(size[some]), pa.array(sketch, pa.binary()),
                         pa.array([c.tobytes() for c in cuts], pa.binary())], names=["node", "n", "sketch", "codes"])
 
     rows = docs.mapInArrow(run, "node bigint, n bigint, sketch binary, codes binary")
@@ -354,7 +359,8 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["l"]], pdf[pdf["r"]]
-        s = [np.frombuffer(b"".join(t["sketch"]), np.uint64).reshape(len(t), -1) for t in (left, right)]
+        words = min(map(len, pdf["sketch"])) // 8
+        s = [np.array([_halved(x, words) for x in t["sketch"]], np.uint64).reshape(len(t), words) for t in (left, right)]
         a, b = left["node"].to_numpy(), right["node"].to_numpy()
         na, nb, ca, cb = left["n"].to_numpy(), right["n"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
         out = []
@@ -372,8 +378,7 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y")]
-            apart = np.bitwise_count(s[0] ^ s[1]).sum(1)
+            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
             keep = apart * (down + up) <= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (down - up)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -405,14 +410,19 @@ def node_classes(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame
     nodes = materialize(rows.select("node").distinct(), "nodes")
     sets = bucketed(node_sets(docs, nodes, width), "node", "sets")
     comps = nodes.select("node", F.col("node").alias("comp"))
-    for turn in range(ROUNDS + 1):
+    turn, before = 0, None
+    while True:
         open_ = materialize(_unresolved(rows, comps), "open")
-        if open_.isEmpty():
+        n = open_.count()
+        if not n:
+            break
+        # Leaders change each round; they go on as long as they close a quarter of what is open.
+        last = before is not None and 4 * n > 3 * before
+        pairs = _cross_pairs(open_, sets, similarity) if last else _leader_pairs(open_, turn)
+        comps = merged(comps, materialize(verified(pairs, sets, similarity), "found"))
+        if last:
             break
-        pairs = _leader_pairs(open_, turn) if turn < ROUNDS else _cross_pairs(open_, sets, similarity)
-        found = materialize(verified(pairs, sets, similarity), "found")
-        rows = open_.select("sig", "node")
-        comps = merged(comps, found)
+        rows, turn, before = open_.select("sig", "node"), turn + 1, n
     return comps
 
 
