@@ -48,7 +48,7 @@ from packloom.session import materialize, scratch_path
 
 SKETCH_BITS = 1024  # of a set of up to 512 shingles; larger sets have two to four bits a shingle
 FILTER_WORDS = 1 << 18
-BLOCK, SMALL, HELP = 2048, 64, 100
+BLOCK, SMALL = 2048, 64
 _U = np.uint64
 _WEIGHTS = W.mix(np.arange(101, 133, dtype=_U)) | _U(1)
 
@@ -410,20 +410,19 @@ def node_classes(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame
     nodes = materialize(rows.select("node").distinct(), "nodes")
     sets = bucketed(node_sets(docs, nodes, width), "node", "sets")
     comps = nodes.select("node", F.col("node").alias("comp"))
-    turn, helping = 0, True
+    turn, before = 0, None
     while True:
         open_ = materialize(_unresolved(rows, comps), "open")
-        if open_.isEmpty():
+        n = open_.count()
+        if not n:
             break
-        pairs = _leader_pairs(open_, turn) if helping else _cross_pairs(open_, sets, similarity)
-        pairs = materialize(pairs, "pairs")
-        found = materialize(verified(pairs, sets, similarity), "found")
-        comps = merged(comps, found)
-        if not helping:
+        # Leaders change each round; they go on as long as they close a quarter of what is open.
+        last = before is not None and 4 * n > 3 * before
+        pairs = _cross_pairs(open_, sets, similarity) if last else _leader_pairs(open_, turn)
+        comps = merged(comps, materialize(verified(pairs, sets, similarity), "found"))
+        if last:
             break
-        # Leaders change each round; they go on as long as one in HELP of them is a link.
-        helping = found.count() * HELP >= pairs.count()
-        rows, turn = open_.select("sig", "node"), turn + 1
+        rows, turn, before = open_.select("sig", "node"), turn + 1, n
     return comps
 
 
