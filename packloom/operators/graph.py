@@ -23,34 +23,54 @@ def direct_imports(selections: DataFrame, edges: DataFrame) -> DataFrame:
     return hops.join(start, ["export_id", "repo", "path"], "left_anti")
 
 
+#: Most hops that one round of ``closure`` takes before what it found meets the nodes known already.
+HOPS = 4
+
+
+def _merged(runs: list[tuple[int, DataFrame]]) -> list[tuple[int, DataFrame]]:
+    """Runs of equal rank are written as one run of the next rank, so that n rounds leave log n tables."""
+    while len(runs) > 1 and runs[-1][0] == runs[-2][0]:
+        (rank, newer), (_, older) = runs.pop(), runs.pop()
+        runs.append((rank + 1, materialize(older.unionByName(newer), "levels")))
+    return runs
+
+
+def _union(runs: list[tuple[int, DataFrame]]) -> DataFrame:
+    out = runs[0][1]
+    for _, run in runs[1:]:
+        out = out.unionByName(run)
+    return out
+
+
 def closure(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Breadth-first closure of (export_id, repo, path) over (repo, src, dst) with the depth of each
-    node; the start has depth 0. All exports advance together, one join per level.
+    node; the start has depth 0. All exports advance together.
 
-    Each level is written to the shared folder: the plan stays short and a lost executor costs one
-    level, not the whole loop.
+    A round takes one hop, then two, then ``HOPS``, and drops what is known only at its end: the nodes known already are read
+    once per round. Its depths are least hop counts, as the frontier holds every node of one depth. Each round is
+    written to the shared folder, and rounds are merged in pairs, so the plan does not grow with the depth,
+    a node is written again at most log(rounds) times, and a lost executor costs one round.
     """
-    frontier = materialize(start.withColumn("depth", F.lit(0)), "level")
-    levels = [frontier]
-    visited = frontier
-    level = 0
-    while max_depth is None or level < max_depth:
-        level += 1
-        step = (
-            frontier.join(edges, (frontier.repo == edges.repo) & (frontier.path == edges.src))
-            .select(frontier.export_id, frontier.repo, F.col("dst").alias("path"))
-            .distinct()
-            .join(visited, ["export_id", "repo", "path"], "left_anti")
-            .withColumn("depth", F.lit(level))
-        )
-        frontier = materialize(step, "level")
-        if frontier.isEmpty():
+    key = ["export_id", "repo", "path"]
+    hop_edges = edges.select("repo", F.col("src").alias("path"), "dst").distinct() if max_depth != 0 else None
+    frontier = materialize(start.select(*key).distinct().withColumn("depth", F.lit(0)), "level")
+    runs, depth, hops = [(0, frontier)], 0, 1
+    while max_depth is None or depth < max_depth:
+        take = hops if max_depth is None else min(hops, max_depth - depth)
+        at, found = frontier.select(*key), None
+        for hop in range(1, take + 1):
+            at = at.join(hop_edges, ["repo", "path"]).select("export_id", "repo", F.col("dst").alias("path")).distinct()
+            step = at.withColumn("depth", F.lit(depth + hop))
+            found = step if found is None else found.unionByName(step)
+        if take > 1:
+            found = found.groupBy(*key).agg(F.min("depth").alias("depth"))
+        found = materialize(found.join(_union(runs), key, "left_anti").select(*key, "depth"), "level")
+        depth, hops = depth + take, min(2 * hops, HOPS)
+        if found.isEmpty():
             break
-        levels.append(frontier)
-        visited = levels[0]
-        for earlier in levels[1:]:
-            visited = visited.unionByName(earlier)
-    return visited
+        runs = _merged([*runs, (0, found)])
+        frontier = found.where(F.col("depth") == depth)
+    return _union(runs)
 
 
 def transitive_imports(
@@ -107,13 +127,38 @@ def stem_terms(starts: DataFrame) -> DataFrame:
     )
 
 
+#: 64-bit words of the term filter: 2 MB, whatever the number of terms.
+FILTER_WORDS = 1 << 18
+
+
+def _place(repo: Column, term: Column) -> tuple[Column, Column]:
+    """The word of the filter a term falls in, and its two bits there."""
+    h = F.xxhash64(repo, term)
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), bit(40).bitwiseOR(bit(50))
+
+
+def term_filter(wanted: DataFrame) -> DataFrame:
+    """One row, ``words``: a Bloom filter of the (repo, term) rows. A full filter lets everything through, so the
+    join behind it decides alone."""
+    at, bits = _place(F.col("repo"), F.col("term"))
+    filled = wanted.select(at.alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    empty = wanted.sparkSession.range(FILTER_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("bigint").alias("bits"))
+    words = filled.unionByName(empty).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    listed = words.agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("all"))
+    return listed.select(F.col("all.bits").alias("words"))
+
+
 def stem_hits(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """(repo, path, stem): which of the stems each text holds as a whole word.
 
-    Texts are split into distinct words, word pairs and separators, which meet the distinct stems of their
-    repository in an equi-join; no text is tested against a list of stems.
+    Texts are split into distinct words, word pairs and separators. Those that a filter of the wanted terms lets
+    through leave the scan and meet the distinct stems of their repository in an equi-join, so what is shuffled
+    follows the hits; no text is tested against a list of stems.
     """
-    wanted = terms.select("repo", "stem", "term", "verify").distinct()
+    wanted = materialize(terms.select("repo", "stem", "term", "verify").distinct(), "terms")
+    at, bits = _place(F.col("repo"), F.col("term"))
+    held = F.element_at(term_filter(wanted.select("repo", "term").distinct()).scalar(), at + 1)
     tokens = F.array_distinct(
         F.concat(
             F.regexp_extract_all("content", F.lit(_WORD), 0), F.regexp_extract_all("content", F.lit(_PAIR), 1),
@@ -122,6 +167,7 @@ def stem_hits(terms: DataFrame, texts: DataFrame) -> DataFrame:
     )
     found = materialize(
         texts.select("repo", "path", F.explode(tokens).alias("term"))
+        .where(held.bitwiseAND(bits) == bits)
         .join(wanted, ["repo", "term"])
         .select("repo", "path", "stem", "verify"),
         "found",

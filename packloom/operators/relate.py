@@ -56,39 +56,54 @@ def _prefixes(text: Column) -> Column:
     )
 
 
-def _substrings(text: Column) -> Column:
-    """All distinct non-empty substrings; the texts are file stems, so this is bounded by name length."""
-
-    def pieces(t: Column) -> Column:
-        return F.array_distinct(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(t)),
-                    lambda i: F.transform(
-                        F.sequence(F.lit(1), F.length(t) - i + 1), lambda n: F.substring(t, i, n)
-                    ),
-                )
-            )
-        )
+#: Length of the pieces by which names are found.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters."""
+    return P.let(text, lambda t: F.when(F.length(t) < size, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, F.lit(size))))))
+
 
-    return P.let(text, pieces)
+def _containing(asked: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
+    """(export_id, repo, path): ``asked`` (export_id, part and ``on``) with the ``named`` (path, name and
+    ``on``, repo among them) whose name contains the part; no part is empty.
+
+    A name publishes its pieces of up to ``GRAM`` characters, a number linear in its length. A distinct part asks
+    with one of its own, the one that the fewest names hold; a part with a piece no name holds asks for nothing.
+    What meets is tested in full.
+    """
+    pieces = F.concat(*[_grams(F.col("name"), n) for n in range(1, GRAM + 1)])
+    index = materialize(named.select(*on, "path", "name", F.explode(pieces).alias("gram")), "grams")
+    # Null key columns never join, as in the names themselves.
+    parts = asked.select(*on, "part").distinct()
+    short = F.when(F.length("part") <= GRAM, F.array("part")).otherwise(_grams(F.col("part"), GRAM))
+    held = index.groupBy(*on, "gram").agg(F.count("*").alias("n"))
+    choice = (
+        parts.select(*on, "part", F.size(short).alias("of"), F.explode(short).alias("gram")).join(held, [*on, "gram"])
+        .groupBy(*on, "part", "of").agg(F.count("*").alias("hits"), F.min(F.struct("n", "gram")).alias("best"))
+        .where("hits = of").select(*on, "part", F.col("best.gram").alias("gram"))
+    )
+    met = choice.join(index, [*on, "gram"]).where(F.contains("name", F.col("part"))).select(*on, "part", "path")
+    return asked.join(met, [*on, "part"]).select("export_id", "repo", "path")
 
 
 def tests_in_folders(selections: DataFrame, files: DataFrame) -> DataFrame:
     """Script tests in ``__tests__`` or ``tests`` beside the source, and sibling .test./.spec. files.
 
-    "Name contains the stem" is an equi-join on the substrings of the candidate's name, so only true
-    matches are ever produced.
+    "Name contains the stem" is looked up by pieces of the name; "name starts with the stem" is an equi-join on
+    the name's prefixes.
     """
     src = sources_of(selections).where(F.col("family") == "SCRIPT").where(F.col("stem") != "")
     named = P.with_path_columns(files.select("repo", "path"))
     folder = P.base_name(F.col("dir"))
     in_folder = named.where(folder.isin("__tests__", "tests") & (F.col("stem") != "")).select(
         "repo", "path", P.dir_name(F.col("dir")).alias("src_dir"),
-        F.explode(_substrings(F.lower("stem"))).alias("part"),
+        F.lower("stem").alias("name"),
     )
     beside = src.select("export_id", "repo", F.col("dir").alias("src_dir"), F.lower("stem").alias("part")).distinct()
-    nested = beside.join(in_folder, ["repo", "src_dir", "part"]).select("export_id", "repo", "path")
+    nested = _containing(beside, in_folder, ["repo", "src_dir"])
     siblings = named.where((F.instr("name", ".test.") > 0) | (F.instr("name", ".spec.") > 0)).where(
         F.col("stem") != ""
     ).select("repo", "path", F.col("dir").alias("src_dir"), F.explode(_prefixes(F.col("stem"))).alias("part"))
@@ -125,8 +140,8 @@ def tests_in_test_dirs(selections: DataFrame, files: DataFrame) -> DataFrame:
     ).distinct()
     placed = P.with_path_columns(files.select("repo", "path")).where(in_test_dir(F.col("path"))).where(
         F.col("stem") != ""
-    ).select("repo", "path", "ext", F.explode(_substrings(F.lower("stem"))).alias("part"))
-    return src.join(placed, ["repo", "ext", "part"]).select("export_id", "repo", "path").distinct()
+    ).select("repo", "path", "ext", F.lower("stem").alias("name"))
+    return _containing(src, placed, ["repo", "ext"]).distinct()
 
 
 def is_test_resource(path: Column) -> Column:

@@ -97,6 +97,30 @@ def test_closure_on_random_graphs(spark):
     assert got == want
 
 
+def test_closure_of_a_long_chain_keeps_a_short_plan(spark):
+    n = 40
+    table = spark.createDataFrame(
+        [("r", f"n{i}", f"n{i + 1}") for i in range(n)] + [("r", f"n{n}", "n0")], "repo string, src string, dst string")
+    start = spark.createDataFrame([(0, "r", "n0"), (1, "r", "n5")], "export_id bigint, repo string, path string")
+    got = graph.closure(start, table)
+    assert {(r.export_id, r.path): r.depth for r in got.collect()} == {
+        (e, f"n{(s + d) % (n + 1)}"): d for e, s in [(0, 0), (1, 5)] for d in range(n + 1)}
+    assert got.count() == 2 * (n + 1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+    assert sorted(r.depth for r in graph.closure(start, table, max_depth=6).where("export_id = 1").collect()) == list(range(7))
+    assert sorted(r.depth for r in graph.closure(start, table, max_depth=0).collect()) == [0, 0]
+
+
+def test_term_filter_lets_every_wanted_term_through(spark):
+    wanted = spark.createDataFrame([("r", f"w{i}") for i in range(500)] + [("q", ""), ("q", "\u00e9")], "repo string, term string")
+    words = graph.term_filter(wanted).first().words
+    assert len(words) == graph.FILTER_WORDS and 0 < sum(w != 0 for w in words) <= 502
+    at, bits = graph._place(F.col("repo"), F.col("term"))
+    for repo, term, at, bits in wanted.select("repo", "term", at, bits).collect():
+        assert words[at] & bits == bits, (repo, term)
+    assert not any(graph.term_filter(wanted.where("false")).first().words)
+
+
 def test_candidates_against_the_plain_search(spark, corpus, select):
     rng = random.Random(9)
     stems = ["foo", "foo.test", "my-file", "a.b.c", "x_y", "wide   gap", "-lead", "Bar"]
@@ -281,3 +305,16 @@ def test_best_repo(spark, select):
     repos = spark.createDataFrame([("r", "one", "u1"), ("r", "two", "u2")], "repo string, repo_root string, url string")
     assert relate.best_repo(select("one/a", "two/b", "two/c", "out/d"), repos).first().url == "u2"
     assert relate.best_repo(select("one/a", "two/b"), repos).first().url == "u1"
+
+
+def test_names_holding_a_part_against_the_plain_search(spark):
+    rng = random.Random(11)
+    word = lambda low, high: "".join(rng.choices("abé", k=rng.randint(low, high)))
+    asked = [(i % 7, rng.choice("rq"), rng.choice(["x", "y", None]), word(1, 6)) for i in range(120)]
+    named = [(rng.choice("rq"), rng.choice(["x", "y", None]), f"p{i}", word(1, 9)) for i in range(150)]
+    got = relate._containing(
+        spark.createDataFrame(asked, "export_id bigint, repo string, ext string, part string").distinct(),
+        spark.createDataFrame(named, "repo string, ext string, path string, name string"), ["repo", "ext"],
+    ).distinct().collect()
+    assert {tuple(r) for r in got} == {
+        (e, r, p) for e, r, x, part in asked for q, y, p, name in named if r == q and x == y and x is not None and part in name}
