@@ -28,6 +28,9 @@ class WordEncoder:
         self.length = np.zeros(size, np.int64)
         for token, i in self.tok.get_vocab().items():
             self.length[i] = len(token.removesuffix("</w>"))
+        closed = np.zeros(size, bool)
+        closed[[i for token, i in self.tok.get_vocab().items() if token.endswith("</w>")]] = True
+        self.inner = ~closed if closed.any() else closed  # ids that leave their word open, where ids tell
         self._clear()
 
     def _clear(self) -> None:

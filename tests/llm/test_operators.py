@@ -294,18 +294,21 @@ def test_attention_is_a_distribution_and_causal():
     assert np.allclose(a.ravel()[:61], b.ravel()[:61], atol=1e-5)
 
 
-def test_attention_with_pairs_is_a_distribution():
+def test_attention_with_runs_is_a_distribution():
     rng, n_ids = np.random.default_rng(21), 70
-    model = attention_lm.AttentionModel(np.arange(n_ids) % attention_lm.CLASSES)
+    inner = np.arange(n_ids) % 3 == 0
+    inner[-1] = False
+    model = attention_lm.AttentionModel(np.arange(n_ids) % attention_lm.CLASSES, inner)
     text = rng.integers(0, 9, 300)
     ended = np.concatenate([[n_ids - 1], text, [n_ids - 1]])
     ids = np.bincount(ended[1:], minlength=n_ids)
     model.learn_counts(ids, np.ones((attention_lm.CLASSES, attention_lm.CLASSES)))
     source, target, _ = attention_lm.blocks(text, np.array([300]), n_ids - 1)
     plain = model.log_probabilities(source, target)
-    pairs, n = np.unique(ended[:-1] * n_ids + ended[1:], return_counts=True)
-    for some in (n > 0, n > 3, n > 10**6):
-        model.learn_pairs(ids.astype(float), pairs[some], n[some])
+    keys, n = np.unique(attention_lm.run_keys(ended, inner), return_counts=True)
+    assert (keys >= n_ids ** 2).any()
+    for some in (n > 0, n > 2, n > 10**6):
+        model.learn_runs(ids.astype(float), keys[some], n[some])
         for place in (0, 5, 31):
             p = np.exp([model.log_probabilities(source[1:2], np.full((1, attention_lm.STRIDE), i))[0, place] for i in range(n_ids)])
             assert np.isclose(p.sum(), 1, atol=1e-4)
@@ -313,19 +316,22 @@ def test_attention_with_pairs_is_a_distribution():
             assert np.allclose(plain, model.log_probabilities(source, target))
 
 
-def test_attention_counts_pairs_of_all_texts(spark, monkeypatch):
+def test_attention_counts_runs_of_all_texts(spark, monkeypatch):
     rng, n_ids, counts = np.random.default_rng(4), 40, {}
+    inner = np.arange(n_ids) < 5
     texts = [rng.integers(0, n_ids - 1, n) for n in (0, 1, 31, 500, 900, 900)]
     for t in texts:
         e = [n_ids - 1, *t.tolist(), n_ids - 1]
-        for a, b in zip(e, e[1:]):
-            counts[a * n_ids + b] = counts.get(a * n_ids + b, 0) + 1
+        found = [a * n_ids + b for a, b in zip(e, e[1:])] + [
+            n_ids ** 2 + (a * n_ids + b) * n_ids + c for a, b, c in zip(e, e[1:], e[2:]) if b < 5]
+        for key in found:
+            counts[key] = counts.get(key, 0) + 1
     table = spark.createDataFrame([(i, bytearray(t.astype("<u2").tobytes())) for i, t in enumerate(texts)], "salt bigint, ids binary").repartition(3)
-    assert dict(zip(*map(np.ndarray.tolist, attention_lm.following(table, n_ids)))) == counts
+    assert dict(zip(*map(np.ndarray.tolist, attention_lm.following(table, inner)))) == counts
     monkeypatch.setattr(attention_lm, "FOLLOWERS", 200)
-    some = dict(zip(*map(np.ndarray.tolist, attention_lm.following(table, n_ids))))
+    some = dict(zip(*map(np.ndarray.tolist, attention_lm.following(table, inner))))
     assert 0 < len(some) <= 200 and some == {k: v for k, v in counts.items() if v >= min(some.values())}
-    assert [len(x) for x in attention_lm.following(table.limit(0), n_ids)] == [0, 0]
+    assert [len(x) for x in attention_lm.following(table.limit(0), inner)] == [0, 0]
 
 
 def test_attention_tells_many_texts_of_one_id_apart(spark):
