@@ -212,9 +212,13 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Chain | None:
     got, least = Counter(r.lang for r in rows), -(-sample // len(names))
     scarce = [x for x in names if got[x] < min(have[x], least)]
     if scarce:
-        place = F.row_number().over(Window.partitionBy(label).orderBy(*ranked))
-        more = usable.where(label.isin(scarce)).withColumn("place", place).where(F.col("place") <= least)
-        rows = [r for r in rows if r.lang not in scarce] + sorted(short(more))
+        # Hashes alone choose: of each label up to ``least`` leave a task. Their texts are fetched after that.
+        ranks = Window.partitionBy("label").orderBy("h")
+        hashes = usable.where(label.isin(scarce)).select(label.alias("label"), order.alias("h")).withColumn("place", F.row_number().over(ranks))
+        edges = hashes.where(F.col("place") <= least).groupBy("label").agg(F.max("h").alias("edge")).collect()
+        rows = [r for r in rows if r.lang not in scarce]
+        for of, last in sorted(edges):
+            rows += sorted(short(usable.where((label == of) & (order <= last)).orderBy(*ranked).limit(least)))
     lines = [(line, names.index(r.lang)) for r in rows for line in r.runs.split("\n")]
     data, offsets = W.text_bytes(pa.array([x for x, _ in lines], pa.string()))
     doc, starts, ends = W.spans(data, offsets, W.ALNUM)
