@@ -352,13 +352,31 @@ def _leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
 
 
+def _bits(sides: list[pd.Series]) -> list[np.ndarray]:
+    """The signatures of each row as bits, for those that occur on two rows or more."""
+    held = [np.concatenate([np.zeros(0, np.int64), *side]) for side in sides]
+    known, times = np.unique(np.concatenate(held), return_counts=True)
+    known = known[times > 1]
+    out = []
+    for side, sigs in zip(sides, held):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(known, sigs)
+        ok = np.isin(sigs, known)
+        bits = np.zeros((len(side), len(known) // 64 + 1), _U)
+        np.bitwise_or.at(bits, (row[ok], at[ok] >> 6), _U(1) << (at[ok] & 63).astype(_U))
+        out.append(bits)
+    return out
+
+
 def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of different components of a bucket whose sketches do not rule a link out; blocks of a bucket
-    meet each other, so no task holds a whole one."""
+    meet each other, so no task holds a whole one. Nodes that meet in several large buckets are compared in the
+    one with the smallest signature: each row brings the smaller signatures of its node."""
     up, down = similarity.numerator, similarity.denominator
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["l"]], pdf[pdf["r"]]
+        met = _bits([left["lower"], right["lower"]])
         words = min(map(len, pdf["sketch"])) // 8
         s = [np.array([_halved(x, words) for x in t["sketch"]], np.uint64).reshape(len(t), words) for t in (left, right)]
         a, b = left["node"].to_numpy(), right["node"].to_numpy()
@@ -366,6 +384,7 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
         out = []
         for i in range(len(a)):
             j = np.flatnonzero((a[i] < b) & (ca[i] != cb) & (na[i] * down >= nb * up) & (nb * down >= na[i] * up))
+            j = j[~(met[0][i] & met[1][j]).any(1)]
             apart = np.bitwise_count(s[0][i] ^ s[1][j]).sum(1)
             j = j[apart * (down + up) <= (na[i] + nb[j]) * (down - up)]
             out.append(np.stack([np.full(len(j), a[i]), b[j]], 1))
@@ -390,7 +409,9 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
     rows = rows.where(F.col("m") > SMALL)
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
-    sized = rows.join(sketches, "node").withColumn("own", own)
+    mine = rows.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    lower = F.slice("sigs", F.lit(1), (F.array_position("sigs", F.col("sig")) - 1).cast("int"))
+    sized = rows.join(sketches, "node").join(mine, "node").withColumn("own", own).withColumn("lower", lower)
     # Block i meets block j for all i, j; a pair of nodes is taken where the smaller one is on the left.
     spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     own, other = F.col("own"), F.col("other")
@@ -398,7 +419,7 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
     right = F.struct(other.alias("i"), own.alias("j"), F.lit(False).alias("l"), F.lit(True).alias("r"))
     # Both sides come from one pass, so that the sketches are joined once.
     sides = F.when(own == other, F.array(left)).otherwise(F.array(left, right))
-    spread = spread.withColumn("side", F.explode(sides)).select("sig", "side.*", "node", "comp", "n", "sketch")
+    spread = spread.withColumn("side", F.explode(sides)).select("sig", "side.*", "node", "comp", "n", "sketch", "lower")
     far = spread.groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint")
     return near.unionByName(far).distinct()
 
