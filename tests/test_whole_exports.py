@@ -5,7 +5,7 @@ import __spark_entry__ as contract
 from packloom.config import ExportConfig
 from packloom.plans import catalog, exports
 
-WHOLE = ["export_transitive_imports", "export_tests"]
+WHOLE = ["export_transitive_imports", "export_tests", "export_resources"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
