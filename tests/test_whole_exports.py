@@ -5,7 +5,7 @@ import __spark_entry__ as contract
 from packloom.config import ExportConfig
 from packloom.plans import catalog, exports
 
-WHOLE = ["export_transitive_imports", "export_tests", "export_resources"]
+WHOLE = ["export_transitive_imports", "export_tests", "export_resources", "export_last_commit"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -38,6 +38,15 @@ def test_query_asks_for_all_files(monkeypatch, name):
     assert [c.file_limit for c in asked] == [None]
 
 
+def test_last_commit_keeps_every_file(spark, tmp_path):
+    rows = [(49 + 100 * i, f"text {i}", None, None, 6) for i in range(260)]  # all in one repository and in its last commit
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    files = {r.path for r in contract.queries()["scan_files"](spark, str(tmp_path)).collect()}
+    got = [r.path for r in contract.queries()["export_last_commit"](spark, str(tmp_path)).collect()]
+    assert len(files) > 200 and set(got) <= files and len(got) == len(set(got)) > 200
+
+
 def test_related_files_beyond_the_default_limit(corpus, select):
     made = {"a/x.ts": "".join(f'import v{i} from "./m{i}"\n' for i in range(230)), **{f"a/m{i}.ts": "t" for i in range(230)}}
     files, chosen = corpus(made), select("a/x.ts")
