@@ -49,3 +49,14 @@ def test_subtypes_are_not_broadcast(corpus, select, written):
     files = corpus({"A.java": "class A {}", "B.java": "class B extends A {}", "C.java": "class C extends B {}"})
     assert sorted(r.path for r in inherit.jvm_implementations(select("A.java"), files).collect()) == ["B.java", "C.java"]
     assert not any("BroadcastHashJoin" in plan for label, _, plan in written if label == "level")
+
+
+def test_choosing_files_writes_and_moves_no_texts(corpus, select, written):
+    made = {"a/x.ts": 'import y from "./y"\n', "a/y.ts": "t", ".gitignore": "*.no\n", "a/other.ts": "o"}
+    files = corpus(made)
+    export = exports.export_transitive_imports(files, select("a/x.ts", ".gitignore"))
+    kept = export.kept()
+    assert sorted(r.path for r in kept.collect()) == [".gitignore", "a/x.ts", "a/y.ts"]
+    assert not any({"content", "body", "ignore_text"} & set(columns) for _, columns, _ in written)
+    got = {r.path: r.body for r in export.entries.collect()}
+    assert set(got) == {".gitignore", "a/x.ts", "a/y.ts"} and all(made[p].strip() in body for p, body in got.items())
