@@ -8,8 +8,9 @@ All of it is learned from all training documents, whole:
 
 - classes of ids: k-means on which (hashed) ids stand before and after them;
 - counts of every id and of neighbouring classes. The first give p(id | class), the second a prior of the next class;
-- counts of neighbouring ids, two and, where the middle one leaves its word open, three. The model keeps those seen most, up to ``FOLLOWERS``,
-  its size; all counts below one number go, and what they held is part of the rest;
+- counts of neighbouring ids, two and, where the middle one leaves its word open, three; all of them. Those seen most, up to
+  ``FOLLOWERS``, are held by every scoring task. The others stay in a table: each part of the texts asks for those of its runs
+  that are not held, by one join, and is scored with what it gets;
 - a layer of masked self-attention and a small dense layer correct the prior. Every block of every training text takes part
   in fitting them: in each of ``ROUNDS`` rounds every task runs Adam over its share of the round's blocks, ``BATCH`` at a time,
   from the same weights, and the results are averaged by number of blocks. Steps and work grow with the blocks; a task
@@ -103,6 +104,7 @@ class AttentionModel:
         self.n_ids = len(class_of)
         self.inner = np.zeros(self.n_ids, bool) if inner is None else inner
         self.learn_runs(np.ones(self.n_ids), np.zeros(0, np.int64), np.zeros(0))
+        self.learn_others(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         self.causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
 
     def learn_counts(self, ids: np.ndarray, pairs: np.ndarray) -> None:
@@ -112,25 +114,55 @@ class AttentionModel:
         smooth = pairs + 1.0
         self.prior = (np.log(smooth) - np.log(smooth.sum(1, keepdims=True))).astype(np.float32)
 
-    def learn_runs(self, ids: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
-        """``n`` of each kept run of ids, see ``run_keys``; with a run of three its first two are kept. ``ids`` counts every id."""
+    def learn_runs(
+        self, ids: np.ndarray, keys: np.ndarray, n: np.ndarray, given: np.ndarray | None = None, first_given: np.ndarray | None = None,
+    ) -> None:
+        """``n`` of each held run of ids, see ``run_keys``; with a run of three its first two are held. ``ids`` counts every id.
+        Where there are other runs, ``given`` and ``first_given`` are what all runs that go on from one, or from an id, hold."""
         order = np.argsort(keys)
         self.keys, n = keys[order], n[order]
         two = np.searchsorted(self.keys, self.n_ids ** 2)
         before, context = self.keys[:two] // self.n_ids, self.keys[two:] // self.n_ids - self.n_ids
+        self.ids, self.two_n = ids, n[:two]
         total = np.concatenate([ids[before], n[np.searchsorted(self.keys[:two], context)]])
         self.share = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
-        self.rest = np.maximum(1 - np.bincount(before, weights=self.share[:two], minlength=self.n_ids), 1e-12)
-        self.contexts, at = np.unique(context, return_inverse=True)
-        self.context_rest = np.maximum(1 - np.bincount(at, weights=self.share[two:], minlength=len(self.contexts)), 1e-12)
+        if given is None:
+            self.rest = np.maximum(1 - np.bincount(before, weights=self.share[:two], minlength=self.n_ids), 1e-12)
+            self.contexts, at = np.unique(context, return_inverse=True)
+            self.context_rest = np.maximum(1 - np.bincount(at, weights=self.share[two:], minlength=len(self.contexts)), 1e-12)
+        else:
+            self.rest = np.maximum(1 - first_given / np.maximum(ids, 1), 1e-12)
+            given = given[order][:two]
+            some = np.flatnonzero(given > 0)
+            self.contexts, self.context_rest = self.keys[some], np.maximum(1 - given[some] / n[some], 1e-12)
+
+    def learn_others(self, keys: np.ndarray, n: np.ndarray, given: np.ndarray) -> None:
+        """The runs that are not held, as far as the texts scored next have them; with a run of three its first two, held or not."""
+        self.other_keys, first = np.unique(keys, return_index=True)
+        n, given = n[first], given[first]
+        two = np.searchsorted(self.other_keys, self.n_ids ** 2)
+        held = np.searchsorted(self.keys, self.n_ids ** 2)
+        context = self.other_keys[two:] // self.n_ids - self.n_ids
+        total = _found(self.keys[:held], self.two_n, context, 0.0) + _found(self.other_keys[:two], n[:two], context, 0.0)
+        total = np.concatenate([self.ids[self.other_keys[:two] // self.n_ids], total])
+        self.other_share = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
+        some = np.flatnonzero(given[:two] > 0)
+        self.other_contexts, self.other_rest = self.other_keys[some], np.maximum(1 - given[some] / n[some], 1e-12)
+
+    def _share(self, keys: np.ndarray) -> np.ndarray:
+        held = _found(self.keys, self.share, keys, 0.0)
+        return held + _found(self.other_keys, self.other_share, keys, 0.0) if len(self.other_keys) else held
+
+    def _context_rest(self, context: np.ndarray) -> np.ndarray:
+        held = _found(self.contexts, self.context_rest, context, 1.0)
+        return held * _found(self.other_contexts, self.other_rest, context, 1.0) if len(self.other_contexts) else held
 
     def blended(self, earlier: np.ndarray, before: np.ndarray, goal: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each goal, given the two ids before it and the attention model's own log."""
-        p = _found(self.keys, self.share, before * self.n_ids + goal, 0.0) + self.rest[before] * np.exp(log_p)
+        p = self._share(before * self.n_ids + goal) + self.rest[before] * np.exp(log_p)
         some = np.flatnonzero(self.inner[before])
         context = earlier[some] * self.n_ids + before[some]
-        p[some] = _found(self.keys, self.share, (context + self.n_ids) * self.n_ids + goal[some], 0.0) + _found(
-            self.contexts, self.context_rest, context, 1.0) * p[some]
+        p[some] = self._share((context + self.n_ids) * self.n_ids + goal[some]) + self._context_rest(context) * p[some]
         return np.log(p)
 
     def _forward(self, source: np.ndarray) -> dict[str, np.ndarray]:
@@ -342,9 +374,8 @@ def run_keys(ended: np.ndarray, inner: np.ndarray) -> np.ndarray:
     return np.concatenate([two, (two[third] + n) * n + ended[third + 2]])
 
 
-def following(texts: DataFrame, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of two and three ids and their counts over all texts: all that are seen as often as some number, the smallest that
-    leaves at most ``FOLLOWERS`` runs. Nothing else reaches the driver but the counts' histogram."""
+def run_counts(texts: DataFrame, inner: np.ndarray) -> DataFrame:
+    """key, n of all runs of two and three ids of all texts, written."""
     n_ids = len(inner)
     kind = _width(n_ids)
 
@@ -360,19 +391,72 @@ def following(texts: DataFrame, inner: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 keys, n = keys[:0], n[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    counted = materialize(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "id-runs")
+    return materialize(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "id-runs")
+
+
+def _least_held(counted: DataFrame) -> tuple[int | None, bool]:
+    """The smallest count that leaves at most ``FOLLOWERS`` runs, none if every count leaves more; and whether other runs are left.
+    Nothing but the counts' histogram reaches the driver."""
     level = F.floor(16 * F.log2("n"))  # at most 16 levels from one power of two to the next
     least = None
     total = 0
     for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("runs"), F.min("n").alias("n")).collect(), key=lambda r: -r.level):
         total += row.runs
         if total > FOLLOWERS:
-            break
+            return least, True
         least = row.n
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0)
-    kept = counted.where(F.col("n") >= least).toArrow()
-    return kept.column("key").to_numpy(), kept.column("n").to_numpy().astype(np.float64)
+    return least, False
+
+
+def following(texts: DataFrame, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of two and three ids seen most over all texts, and their counts: up to ``FOLLOWERS``, those that are held."""
+    counted = run_counts(texts, inner)
+    held = counted.where(F.col("n") >= F.lit(_least_held(counted)[0])).toArrow()
+    return held.column("key").to_numpy(), held.column("n").to_numpy().astype(np.float64)
+
+
+def learn_all_runs(model: AttentionModel, ids: np.ndarray, texts: DataFrame) -> DataFrame | None:
+    """Teaches ``model`` the runs seen most. The others come back as a table (key, n, given), none if all are held."""
+    counted = run_counts(texts, model.inner)
+    least, more = _least_held(counted)
+    n = F.col("n")
+    if not more:
+        held = counted.where(n >= F.lit(least)).toArrow()
+        model.learn_runs(ids, held.column("key").to_numpy(), held.column("n").to_numpy().astype(np.float64))
+        return None
+    two = F.col("key") < model.n_ids ** 2
+    first = F.expr(f"key div {model.n_ids}")
+    holds = (F.sum("n") - F.lit(DISCOUNT) * F.count("*")).alias("given")  # every n is 1 or more
+    first_given = np.zeros(model.n_ids)
+    got = counted.where(two).groupBy(first.alias("id")).agg(holds).toArrow()  # a row for an id at most
+    first_given[got.column("id").to_numpy()] = got.column("given").to_numpy()
+    goes_on = counted.where(~two).groupBy((first - model.n_ids).alias("key")).agg(holds)
+    runs = counted.where(two).join(goes_on, "key", "left").select("key", "n", F.coalesce("given", F.lit(0.0)).alias("given"))
+    runs = materialize(runs.unionByName(counted.where(~two).withColumn("given", F.lit(0.0))), "id-runs")
+    held = runs.where(n >= F.lit(least)).toArrow()
+    values = [held.column(c).to_numpy().astype(np.float64) for c in ("n", "given")]
+    model.learn_runs(ids, held.column("key").to_numpy(), *values, first_given)
+    return runs.where(n < F.lit(least)) if least is not None else runs
+
+
+def runs_asked(texts: DataFrame, model: AttentionModel) -> DataFrame:
+    """part, key of the runs of each part's texts that ``model`` does not hold, some of them repeated."""
+    keys, inner, kind = model.keys, model.inner, _width(model.n_ids)
+    size = np.dtype(kind).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            for a, b in zip(starts, np.append(starts[1:], len(part))):
+                data, offsets = W.text_bytes(batch.column("ids").slice(a, b - a))
+                for lo, hi in W.slices(offsets):
+                    ids = data[offsets[lo]: offsets[hi]].view(kind).astype(np.int64)
+                    asked = np.unique(run_keys(_ended(ids, np.diff(offsets[lo: hi + 1]) // size, len(inner) - 1), inner))
+                    asked = asked[_found(keys, np.ones(len(keys)), asked, 0.0) == 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), part[a])), pa.array(asked)], names=["part", "key"])
+
+    return texts.select("part", "ids").mapInArrow(run, "part bigint, key bigint")
 
 
 def _batches(
@@ -427,8 +511,8 @@ def fitted(model: AttentionModel, texts: DataFrame, n_blocks: int) -> AttentionM
     return model
 
 
-def train(rows: DataFrame, path: str) -> tuple[AttentionModel, DataFrame]:
-    """The model, and the written table of encoded texts and counts."""
+def trained(rows: DataFrame, path: str) -> tuple[AttentionModel, DataFrame, DataFrame | None]:
+    """The model, the written table of encoded texts and counts, and the runs that the model does not hold, if any."""
     n_ids = word_encoder(path).n_ids + 1
     inner = np.append(word_encoder(path).inner, False)
     encoded = _encoded_table(rows, path, n_ids)
@@ -439,8 +523,12 @@ def train(rows: DataFrame, path: str) -> tuple[AttentionModel, DataFrame]:
     texts = encoded.where((F.col("kind") == _TEXT) & F.col("learn")).select("salt", "ids")
     model.learn_counts(counts[:n_ids], class_pairs(texts, model.class_of))
     model = fitted(model, texts, int(counts[n_ids]))
-    model.learn_runs(counts[:n_ids], *following(texts, inner))
-    return model, encoded
+    return model, encoded, learn_all_runs(model, counts[:n_ids], texts)
+
+
+def train(rows: DataFrame, path: str) -> tuple[AttentionModel, DataFrame]:
+    """The model, and the written table of encoded texts and counts."""
+    return trained(rows, path)[:2]
 
 
 END_WORD = -1
@@ -452,7 +540,7 @@ def _width(n_ids: int) -> str:
 
 
 def _encoded_table(rows: DataFrame, path: str, n_ids: int) -> DataFrame:
-    """id, salt, learn, ids of every text (kind 0), and of the texts to learn from, in parts, key and n: of words (kind 1), of
+    """id, salt, learn, ids and part (key) of every text (kind 0), and of the texts to learn from, in parts, key and n: of words (kind 1), of
     ids and, behind them, all blocks (kind 2), and of ids with the hash of the id before or after (kind 3)."""
     schema = pa.schema([
         ("kind", pa.int32()), ("id", pa.int64()), ("salt", pa.int64()), ("learn", pa.bool_()), ("ids", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
@@ -465,6 +553,7 @@ def _encoded_table(rows: DataFrame, path: str, n_ids: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = word_encoder(path), _width(n_ids)
         one, near = np.zeros(n_ids + 1, np.int64), np.zeros(n_ids * 2 * NEAR, np.int64)
+        number = TaskContext.get().partitionId() << 32  # a part is one slice of one task
         for batch in batches:
             data, offsets = W.text_bytes(batch.column("text"))
             learn = batch.column("learn").to_numpy(zero_copy_only=False)
@@ -475,7 +564,8 @@ def _encoded_table(rows: DataFrame, path: str, n_ids: int) -> DataFrame:
                 ids, count = encoder.encode(part, at, (doc, starts, ends, word))
                 flat, cut = ids.astype(kind).tobytes(), np.concatenate(([0], np.cumsum(count))) * np.dtype(kind).itemsize
                 yield of(hi - lo, _TEXT, id=batch.column("id").slice(lo, hi - lo), salt=batch.column("salt").slice(lo, hi - lo),
-                         learn=batch.column("learn").slice(lo, hi - lo), ids=pa.array([flat[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()))
+                         learn=batch.column("learn").slice(lo, hi - lo), ids=pa.array([flat[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), key=pa.array(np.full(hi - lo, number)))
+                number += 1
                 taught = learn[lo:hi].astype(bool)
                 if not taught.any():
                     continue
@@ -540,21 +630,35 @@ def base_scores(rows: DataFrame, encoded: DataFrame) -> DataFrame:
 def score(docs: DataFrame, learn: Column, path: str) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn`` says which rows may be learned from."""
     rows = _rows(docs, learn)
-    model, encoded = train(rows, path)
+    model, encoded, others = trained(rows, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, kind = Scorer(model), _width(len(model.class_of))
+    def scores(scorer: Scorer, ids: pa.Array) -> pa.Array:
+        kind = _width(len(model.class_of))
         size = np.dtype(kind).itemsize
+        different = ids.dictionary_encode()  # equal texts are scored once
+        data, offsets = W.text_bytes(different.dictionary)
+        parts = [
+            scorer.texts(data[offsets[lo]: offsets[hi]].view(kind).astype(np.int64), np.diff(offsets[lo: hi + 1]) // size)
+            for lo, hi in W.slices(offsets, 1 << 20)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64()).take(different.indices)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
-            different = batch.column("ids").dictionary_encode()  # equal texts of a batch are scored once
-            data, offsets = W.text_bytes(different.dictionary)
-            parts = [
-                scorer.texts(data[offsets[lo]: offsets[hi]].view(kind).astype(np.int64), np.diff(offsets[lo: hi + 1]) // size)
-                for lo, hi in W.slices(offsets, 1 << 20)]
-            scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64()).take(different.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("salt"), scores], names=["id", "salt", "score"])
-
-    texts = encoded.where(F.col("kind") == _TEXT).select("id", "salt", "ids")
-    scored = materialize(texts.mapInArrow(run, "id bigint, salt bigint, score double"), "scores")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("salt"), scores(scorer, batch.column("ids"))], names=["id", "salt", "score"])
+
+    def run_part(texts: pa.Table, found: pa.Table) -> pa.Table:
+        model.learn_others(*[found.column(c).to_numpy() for c in ("key", "n", "given")])
+        got = scores(Scorer(model), texts.column("ids").combine_chunks())
+        return pa.table({"id": texts.column("id"), "salt": texts.column("salt"), "score": got})
+
+    texts = encoded.where(F.col("kind") == _TEXT).select("id", "salt", "ids", F.col("key").alias("part"))
+    schema = "id bigint, salt bigint, score double"
+    if others is None:
+        scored = texts.select("id", "salt", "ids").mapInArrow(run, schema)
+    else:
+        found = runs_asked(texts, model).join(others, "key").select("part", "key", F.col("n").cast("double").alias("n"), "given")
+        scored = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run_part, schema)
+    scored = materialize(scored, "scores")
     return scored.join(base_scores(rows, encoded), ["id", "salt"]).select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
