@@ -232,19 +232,26 @@ def signature_rows(docs: DataFrame, width: int, similarity: Fraction) -> DataFra
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """The (sig, node) rows of signatures with two nodes or more, some of them repeated. Spark sorts the rows, spilling
+    """The (sig, node) rows of signatures with two nodes or more, each once. Spark sorts the rows, spilling
     where it must; a task then holds one batch and one row of the signature it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] | None = None  # the only node so far of the last signature
         given = None  # the last signature, if it has two
+        last = None  # the last row
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in ("sig", "node", "need")]
             if not len(columns[0]):
                 continue
+            sig, node, _ = columns
+            again = np.append(last == (sig[0], node[0]), (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
+            last = (sig[-1], node[-1])
+            columns = [c[~again] for c in columns]
             if waiting is not None:
                 columns = [np.concatenate(c) for c in zip(waiting, columns)]
             sig, node, _ = columns
+            if not len(sig):
+                continue
             starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             two = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
             two[0] |= given is not None and given == sig[0]
@@ -254,15 +261,15 @@ def buckets(rows: DataFrame) -> DataFrame:
             if shared.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns], names=["sig", "node", "need"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig bigint, node bigint, need int")
+    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, node bigint, need int")
 
 
 def enough(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that share as many signatures, with anyone, as a link takes; what is left alone in its
-    bucket goes too."""
+    """Rows of nodes that share as many signatures, with anyone, as a link takes, with the size m of their bucket; what is
+    left alone in its bucket goes too."""
     per = rows.groupBy("node", "need").agg(F.count("*").alias("c")).where(F.col("c") >= F.floor(F.col("need") / 2)).select("node", "need")
     kept = rows.join(per, ["node", "need"]).select("sig", "node")
-    return kept.join(kept.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"), "sig")
+    return kept.join(kept.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "sig")
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -368,6 +375,55 @@ def _bits(sides: list[pd.Series]) -> list[np.ndarray]:
     return out
 
 
+def _small_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b), some repeated: pairs of different components of buckets of up to ``SMALL`` nodes whose sketches do not rule a
+    link out. Each node brings its sketch to its buckets, and only such pairs leave the task, which holds one batch and one bucket."""
+    up, down = similarity.numerator, similarity.denominator
+    names = ["sig", "node", "comp", "n", "sketch"]
+
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        sig, node, comp, n = (table.column(c).to_numpy() for c in names[:4])
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(starts, len(sig)))
+        # Every row with each row after it in its bucket.
+        left = np.repeat(starts + size, size) - np.arange(len(sig)) - 1
+        i = np.repeat(np.arange(len(sig)), left)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        ok = (comp[i] != comp[j]) & (n[i] * down >= n[j] * up) & (n[j] * down >= n[i] * up)
+        i, j = i[ok], j[ok]
+        once = np.unique(np.stack([node[i], node[j]], 1), axis=0, return_index=True)[1]
+        i, j = i[once], j[once]
+        sketch = table.column("sketch").to_pylist()
+        words = np.array([len(x) // 8 for x in sketch], np.int64)
+        shorter, keep = np.minimum(words[i], words[j]), np.zeros(len(i), bool)
+        for w in np.unique(shorter):
+            at = np.flatnonzero(shorter == w)
+            used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            s = np.array([_halved(sketch[k], int(w)) for k in used], np.uint64).reshape(len(used), int(w))
+            for lo in range(0, len(at), 1 << 14):
+                some = at[lo: lo + (1 << 14)]
+                apart = np.bitwise_count(s[place[lo: lo + len(some)]] ^ s[place[len(at) + lo: len(at) + lo + len(some)]]).sum(1)
+                keep[some] = apart * (down + up) <= (n[i[some]] + n[j[some]]) * (down - up)
+        return pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None  # the bucket that may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            if not len(table):
+                continue
+            sig = table.column("sig").to_numpy()
+            at = int(np.searchsorted(sig, sig[-1]))
+            if at:
+                yield pairs_of(table.slice(0, at))
+            waiting = table.slice(at)
+        if waiting is not None:
+            yield pairs_of(waiting)
+
+    return rows.select(names).repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a bigint, b bigint")
+
+
 def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of different components of a bucket whose sketches do not rule a link out; blocks of a bucket
     meet each other, so no task holds a whole one. Nodes that meet in several large buckets are compared in the
@@ -391,21 +447,9 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    small = rows.where(F.col("m") <= SMALL).select("sig", "node", "comp")
-    x, y = small.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca")), small.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    near = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
-            keep = apart * (down + up) <= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (down - up)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
     sketches = materialize(sets.select("node", "n", "sketch"), "sketches")
-    xs = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    ys = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    near = near.join(xs, "a").join(ys, "b").where(
-        (F.col("na") * down >= F.col("nb") * up) & (F.col("nb") * down >= F.col("na") * up)).mapInArrow(sift, "a bigint, b bigint")
+    small = rows.where(F.col("m") <= SMALL).select("sig", "node", "comp").join(sketches, "node")
+    near = _small_pairs(small, similarity)
     rows = rows.where(F.col("m") > SMALL)
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
@@ -426,14 +470,15 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
 
 def node_classes(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """(node, comp) of all nodes with signatures in common with others: each node's class by verified links."""
-    rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets").distinct()
+    rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets")
     rows = materialize(enough(rows), "buckets")
     nodes = materialize(rows.select("node").distinct(), "nodes")
     sets = bucketed(node_sets(docs, nodes, width), "node", "sets")
     comps = nodes.select("node", F.col("node").alias("comp"))
     turn, before = 0, None
     while True:
-        open_ = materialize(_unresolved(rows, comps), "open")
+        # At first every node is a component of its own, and every bucket open.
+        open_ = rows.select("sig", "node", F.col("node").alias("comp"), "m") if before is None else materialize(_unresolved(rows, comps), "open")
         n = open_.count()
         if not n:
             break
