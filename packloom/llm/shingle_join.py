@@ -47,6 +47,7 @@ from packloom.llm.components import merged
 from packloom.session import materialize, scratch_path
 
 SKETCH_BITS = 1024  # of a set of up to 512 shingles; larger sets have two to four bits a shingle
+BRIEF_BITS = 256  # the least of a sketch for small buckets
 FILTER_WORDS = 1 << 18
 BLOCK, SMALL = 2048, 64
 _U = np.uint64
@@ -375,6 +376,15 @@ def _bits(sides: list[pd.Series]) -> list[np.ndarray]:
     return out
 
 
+def _with_brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a shorter sketch, of one to two bits a shingle, which goes to every small bucket of a node."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        words = np.maximum(BRIEF_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)) // 64
+        brief = [_halved(x, w).tobytes() for x, w in zip(batch.column("sketch").to_pylist(), words)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(brief, pa.binary())], names=["node", "n", "sketch", "brief"])
+
+
 def _small_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
     """(a, b), some repeated: pairs of different components of buckets of up to ``SMALL`` nodes whose sketches do not rule a
     link out. Each node brings its sketch to its buckets, and only such pairs leave the task, which holds one batch and one bucket."""
@@ -447,8 +457,9 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sketches = materialize(sets.select("node", "n", "sketch"), "sketches")
-    small = rows.where(F.col("m") <= SMALL).select("sig", "node", "comp").join(sketches, "node")
+    sketches = materialize(sets.select("node", "n", "sketch").mapInArrow(_with_brief, "node bigint, n bigint, sketch binary, brief binary"), "sketches")
+    small = rows.where(F.col("m") <= SMALL).select("sig", "node", "comp").join(sketches.select("node", "n", F.col("brief").alias("sketch")), "node")
+    sketches = sketches.drop("brief")
     near = _small_pairs(small, similarity)
     rows = rows.where(F.col("m") > SMALL)
     blocks = F.ceil(F.col("m") / BLOCK)

@@ -53,3 +53,20 @@ def test_buckets_over_batches(spark):
         assert sorted(map(tuple, found)) == sorted(set(twice))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_brief_sketches_bound_the_difference(spark):
+    """The shorter sketches, too, differ in at most as many bits as their sets in shingles."""
+    rng = np.random.default_rng(9)
+    codes = []
+    for n in (1, 40, 300, 700, 3000):
+        one = rng.integers(0, 1 << 62, n, np.int64).astype(np.uint64)
+        other = one.copy()
+        other[: n // 5] = rng.integers(0, 1 << 62, n // 5, np.int64).astype(np.uint64)
+        codes += [one, other]
+    sets = spark.createDataFrame(_sets(spark, codes), "node bigint, n bigint, sketch binary")
+    rows = sets.mapInArrow(shingle_join._with_brief, "node bigint, n bigint, sketch binary, brief binary").collect()
+    brief = {r.node: r.brief for r in rows}
+    assert len(rows) == len(codes) and all(32 <= len(r.brief) <= len(r.sketch) for r in rows)
+    for k in range(0, len(codes), 2):
+        assert shingle_join.bits_apart(brief[k], brief[k + 1]) <= 2 * (len(codes[k]) // 5)
