@@ -24,10 +24,11 @@ signature costs time in proportion to its rows and no memory). A node that share
 than any linked pair must, m_j + 1 less its empty parts, is left out. The rest have their sets fetched.
 
 Links. In rounds, as long as these help, every node of an unresolved bucket is compared with one leader, the one with which it
-shares most signatures; verified links merge components, and buckets within one component are done. In what is left all
-pairs between different components of a bucket are tested, in blocks, against an exact lower bound of the
-difference (parity sketches), and survivors against the sets. No link between components is lost; links inside
-a component are not enumerated.
+shares most signatures; verified links merge components, and buckets within one component are done. In what is left the
+nodes of a bucket meet, in blocks, by parity sketches, an exact lower bound of the difference. First, again as long as it helps,
+each node is tested only against the nearest one of another component: a dense group falls together by a row for each
+node. At last all pairs between different components whose sketches do not rule a link out are tested against the sets.
+No link between components is lost; links inside a component are not enumerated.
 """
 from __future__ import annotations
 
@@ -96,9 +97,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
         has = n[short] > j
         rest[has] += h[first[short[has]] + j] * _WEIGHTS[j]
     owner, code = np.concatenate([doc[at], short]), W.mix(np.concatenate([code, rest]))
-    order = np.lexsort((code, owner))
+    order = np.argsort(owner, kind="stable")
     owner, code = owner[order], code[order]
     new = np.ones(len(code), bool)
+    cuts = np.flatnonzero(np.append(owner[:1] == owner[:1], owner[1:] != owner[:-1]))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(owner)).tolist()):
+        code[a:b].sort()  # text by text, which is faster than by two keys
     new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], code[new]
 
@@ -274,31 +278,32 @@ def enough(rows: DataFrame) -> DataFrame:
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the nodes with one hash; its FILTER_WORDS words are all that reaches the driver."""
+    """A Bloom filter of the 64-bit hashes ``node``; its FILTER_WORDS words are all that reaches the driver."""
     bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
     place = F.expr(f"shiftrightunsigned(node, 6) % {FILTER_WORDS}")
-    rows = nodes.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    rows = nodes.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(FILTER_WORDS, np.int64)
-    for r in rows:
-        out[r.w] = r.bits
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, sketch, codes (uint64, sorted) of the nodes, and of few others."""
-    wanted = _filter_bits(nodes)
+def node_sets(docs: DataFrame, nodes: DataFrame, owned: DataFrame, width: int) -> DataFrame:
+    """node, n, sketch, codes (uint64, sorted) of the nodes, and of few others. ``owned`` has the node of each document: one document
+    of each node is cut into shingles again, the rest of the texts is passed over."""
+    chosen = owned.where("doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = _filter_bits(chosen.select(F.xxhash64("doc_id").alias("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = np.zeros(0, np.int64)
         for batch in batches:
-            for lo, hi, data, offsets in _texts(batch):
+            key = batch.column("key").to_numpy()
+            found = (wanted[((key.view(_U) >> _U(6)) % _U(FILTER_WORDS)).astype(np.int64)] >> (key & 63)) & 1
+            for lo, hi, data, offsets in _texts(batch.filter(pa.array(found.astype(bool)))):
                 owner, code = shingles(data, offsets, width)
                 size, node = node_ids(owner, code, hi - lo)
-                u = node.view(_U)
-                fresh = ((wanted[((u >> _U(6)) % _U(FILTER_WORDS)).astype(np.int64)] >> (node & 63)) & 1).astype(bool) & (size > 0)
-                once = np.zeros(hi - lo, bool)
-                once[np.unique(node, return_index=True)[1]] = True
-                fresh &= once & ~np.isin(node, recent)
+                fresh = np.zeros(hi - lo, bool)
+                fresh[np.unique(node, return_index=True)[1]] = True
+                fresh &= (size > 0) & ~np.isin(node, recent)
                 recent = np.concatenate([recent[-100_000:], node[fresh]])
                 docs_ = np.flatnonzero(fresh)
                 for a in range(0, len(docs_), 512):
@@ -312,7 +317,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                         pa.array(node[some]), pa.array(size[some]), pa.array(sketch, pa.binary()),
                         pa.array([c.tobytes() for c in cuts], pa.binary())], names=["node", "n", "sketch", "codes"])
 
-    rows = docs.mapInArrow(run, "node bigint, n bigint, sketch binary, codes binary")
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node bigint, n bigint, sketch binary, codes binary")
     return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("codes").alias("codes"))
 
 
@@ -385,9 +390,10 @@ def _with_brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(brief, pa.binary())], names=["node", "n", "sketch", "brief"])
 
 
-def _small_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b), some repeated: pairs of different components of buckets of up to ``SMALL`` nodes whose sketches do not rule a
-    link out. Each node brings its sketch to its buckets, and only such pairs leave the task, which holds one batch and one bucket."""
+def _small_pairs(rows: DataFrame, similarity: Fraction, nearest: bool = False) -> DataFrame:
+    """(a, b, d), some repeated: pairs of different components of buckets of up to ``SMALL`` nodes whose sketches do not rule a
+    link out, and the share in which these differ. Each node brings its sketch to its buckets, and only such pairs leave the task, which
+    holds one batch and one bucket. ``nearest``: only the nearest b of each a in the task's rows."""
     up, down = similarity.numerator, similarity.denominator
     names = ["sig", "node", "comp", "n", "sketch"]
 
@@ -406,16 +412,22 @@ def _small_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         i, j = i[once], j[once]
         sketch = table.column("sketch").to_pylist()
         words = np.array([len(x) // 8 for x in sketch], np.int64)
-        shorter, keep = np.minimum(words[i], words[j]), np.zeros(len(i), bool)
+        shorter, apart = np.minimum(words[i], words[j]), np.zeros(len(i), np.int64)
         for w in np.unique(shorter):
             at = np.flatnonzero(shorter == w)
             used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
             s = np.array([_halved(sketch[k], int(w)) for k in used], np.uint64).reshape(len(used), int(w))
             for lo in range(0, len(at), 1 << 14):
                 some = at[lo: lo + (1 << 14)]
-                apart = np.bitwise_count(s[place[lo: lo + len(some)]] ^ s[place[len(at) + lo: len(at) + lo + len(some)]]).sum(1)
-                keep[some] = apart * (down + up) <= (n[i[some]] + n[j[some]]) * (down - up)
-        return pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]])], names=["a", "b"])
+                apart[some] = np.bitwise_count(s[place[lo: lo + len(some)]] ^ s[place[len(at) + lo: len(at) + lo + len(some)]]).sum(1)
+        total = n[i] + n[j]
+        keep = np.flatnonzero(apart * (down + up) <= total * (down - up))
+        a, b, d = node[i[keep]], node[j[keep]], apart[keep] / total[keep]
+        if nearest:
+            order = np.lexsort((b, d, a))
+            first = order[np.unique(a[order], return_index=True)[1]]
+            a, b, d = a[first], b[first], d[first]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the bucket that may go on in the next batch
@@ -431,13 +443,14 @@ def _small_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         if waiting is not None:
             yield pairs_of(waiting)
 
-    return rows.select(names).repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a bigint, b bigint")
+    return rows.select(names).repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a bigint, b bigint, d double")
 
 
-def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction, nearest: bool = False) -> DataFrame:
     """Pairs of different components of a bucket whose sketches do not rule a link out; blocks of a bucket
     meet each other, so no task holds a whole one. Nodes that meet in several large buckets are compared in the
-    one with the smallest signature: each row brings the smaller signatures of its node."""
+    one with the smallest signature: each row brings the smaller signatures of its node. ``nearest``: of these pairs (a, b), a < b,
+    only that of the nearest b for each a."""
     up, down = similarity.numerator, similarity.denominator
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -452,15 +465,20 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
             j = np.flatnonzero((a[i] < b) & (ca[i] != cb) & (na[i] * down >= nb * up) & (nb * down >= na[i] * up))
             j = j[~(met[0][i] & met[1][j]).any(1)]
             apart = np.bitwise_count(s[0][i] ^ s[1][j]).sum(1)
-            j = j[apart * (down + up) <= (na[i] + nb[j]) * (down - up)]
-            out.append(np.stack([np.full(len(j), a[i]), b[j]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            total = na[i] + nb[j]
+            keep = np.flatnonzero(apart * (down + up) <= total * (down - up))
+            d = apart[keep] / total[keep]
+            if nearest and len(keep):
+                first = np.lexsort((b[j[keep]], d))[:1]
+                keep, d = keep[first], d[first]
+            out.append((np.full(len(keep), a[i]), b[j[keep]], d))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pd.DataFrame(dict(zip("abd", columns)))
 
     sketches = materialize(sets.select("node", "n", "sketch").mapInArrow(_with_brief, "node bigint, n bigint, sketch binary, brief binary"), "sketches")
     small = rows.where(F.col("m") <= SMALL).select("sig", "node", "comp").join(sketches.select("node", "n", F.col("brief").alias("sketch")), "node")
     sketches = sketches.drop("brief")
-    near = _small_pairs(small, similarity)
+    near = _small_pairs(small, similarity, nearest)
     rows = rows.where(F.col("m") > SMALL)
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
@@ -475,29 +493,36 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction) -> Data
     # Both sides come from one pass, so that the sketches are joined once.
     sides = F.when(own == other, F.array(left)).otherwise(F.array(left, right))
     spread = spread.withColumn("side", F.explode(sides)).select("sig", "side.*", "node", "comp", "n", "sketch", "lower")
-    far = spread.groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint")
-    return near.unionByName(far).distinct()
+    pairs = near.unionByName(spread.groupBy("sig", "i", "j").applyInPandas(run, "a bigint, b bigint, d double"))
+    if nearest:
+        return pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
+    return pairs.select("a", "b").distinct()
 
 
-def node_classes(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+def node_classes(docs: DataFrame, owned: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """(node, comp) of all nodes with signatures in common with others: each node's class by verified links."""
     rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets")
     rows = materialize(enough(rows), "buckets")
     nodes = materialize(rows.select("node").distinct(), "nodes")
-    sets = bucketed(node_sets(docs, nodes, width), "node", "sets")
+    sets = bucketed(node_sets(docs, nodes, owned, width), "node", "sets")
     comps = nodes.select("node", F.col("node").alias("comp"))
-    turn, before = 0, None
+    kinds = [
+        lambda rows, turn: _leader_pairs(rows, turn),  # leaders change each round
+        lambda rows, turn: _cross_pairs(rows, sets, similarity, nearest=True),
+        lambda rows, turn: _cross_pairs(rows, sets, similarity),
+    ]
+    kind, turn, before = 0, 0, None
     while True:
         # At first every node is a component of its own, and every bucket open.
         open_ = rows.select("sig", "node", F.col("node").alias("comp"), "m") if before is None else materialize(_unresolved(rows, comps), "open")
         n = open_.count()
         if not n:
             break
-        # Leaders change each round; they go on as long as they close a quarter of what is open.
-        last = before is not None and 4 * n > 3 * before
-        pairs = _cross_pairs(open_, sets, similarity) if last else _leader_pairs(open_, turn)
-        comps = merged(comps, materialize(verified(pairs, sets, similarity), "found"))
-        if last:
+        # Each kind of round goes on as long as it closes a quarter of what is open.
+        if before is not None and 4 * n > 3 * before:
+            kind += 1
+        comps = merged(comps, materialize(verified(kinds[kind](open_, turn), sets, similarity), "found"))
+        if kind == 2:
             break
         rows, turn, before = open_.select("sig", "node"), turn + 1, n
     return comps
@@ -507,7 +532,7 @@ def classes(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: int =
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per document."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     owned = materialize(document_nodes(docs, width), "document-nodes")
-    comps = node_classes(docs.where("doc_id is not null"), width, similarity)
+    comps = node_classes(docs.where("doc_id is not null"), owned, width, similarity)
     some = owned.where("node is not null and doc_id is not null")
     # Rows of one doc_id belong together, whatever their texts.
     first = some.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
