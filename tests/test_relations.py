@@ -318,3 +318,12 @@ def test_names_holding_a_part_against_the_plain_search(spark):
     ).distinct().collect()
     assert {tuple(r) for r in got} == {
         (e, r, p) for e, r, x, part in asked for q, y, p, name in named if r == q and x == y and x is not None and part in name}
+
+
+def test_pieces_are_chosen_before_pairs_are_made(corpus, select):
+    """The plan that makes the pairs holds no sorts and aggregates of the choice of pieces."""
+    files = {"src/Order.java": "", "src/test/OrderCase.java": "", "src/test/BigOrderTest.java": "", "src/test/Other.java": ""}
+    found = relate.tests_in_test_dirs(select("src/Order.java"), corpus(files))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct" not in plan and "AS hits" not in plan
+    assert paths(found) == ["src/test/BigOrderTest.java", "src/test/OrderCase.java"]
