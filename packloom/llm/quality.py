@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,9 +190,9 @@ def filtered(docs: DataFrame, network: Network | None, least: float = 0.5) -> Da
     """The rows of ``docs``, all columns as they are, that score ``least`` or more. No shuffle and no join: the
     score is a column of the same scan."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        data, offsets = W.text_bytes(pa.Array.from_pandas(texts, type=pa.string()))
-        return pd.Series(network.scores(data, offsets) if network else np.full(len(texts), 0.5))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        data, offsets = W.text_bytes(texts)
+        return pa.array(network.scores(data, offsets) if network else np.full(len(texts), 0.5))
 
     return docs.where(scored(F.col("text")) >= least)
