@@ -51,6 +51,7 @@ SKETCH_BITS = 1024  # of a set of up to 512 shingles; larger sets have two to fo
 BRIEF_BITS = 256  # the least of a sketch for small buckets
 FILTER_WORDS = 1 << 18
 BLOCK, SMALL = 2048, 64
+NEED_BITS = 16  # of the one number that goes through the shuffle of all signatures; the other 48 are the signature's
 _U = np.uint64
 _WEIGHTS = W.mix(np.arange(101, 133, dtype=_U)) | _U(1)
 
@@ -214,13 +215,15 @@ def document_nodes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
 
 
-def signature_rows(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """sig, node of every set; copies that follow each other in a task give rows once."""
+def signature_rows(docs: DataFrame, width: int, similarity: Fraction, owned: DataFrame | None = None) -> DataFrame:
+    """sig, node of every set; copies that follow each other in a task give rows once. With ``owned``, the node of each document,
+    only one document of each node, and few others, are cut into shingles."""
+    wanted = None if owned is None else _first_documents(owned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, recent = Bands(similarity), np.zeros(0, np.int64)
         for batch in batches:
-            for lo, hi, data, offsets in _texts(batch):
+            for lo, hi, data, offsets in _texts(batch if wanted is None else _wanted(batch, wanted)):
                 owner, code = shingles(data, offsets, width)
                 size, node = node_ids(owner, code, hi - lo)
                 fresh = np.zeros(hi - lo, bool)
@@ -233,22 +236,29 @@ def signature_rows(docs: DataFrame, width: int, similarity: Fraction) -> DataFra
                     b = a + (1 << 17)
                     yield pa.RecordBatch.from_arrays([pa.array(sig[a:b]), pa.array(node[doc[a:b]]), pa.array(need[a:b])], names=["sig", "node", "need"])
 
-    return docs.mapInArrow(run, "sig bigint, node bigint, need int")
+    texts = docs if wanted is None else docs.select(F.xxhash64("doc_id").alias("key"), "text")
+    return texts.mapInArrow(run, "sig bigint, node bigint, need int")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
     """The (sig, node) rows of signatures with two nodes or more, each once. Spark sorts the rows, spilling
-    where it must; a task then holds one batch and one row of the signature it is in."""
+    where it must; a task then holds one batch and one row of the signature it is in.
+
+    The shuffle, which is the largest of all, carries the low bits of a signature and its need as one number. Signatures that
+    differ in other bits only share a bucket; a need too large for its bits is the largest of its kind. Both let more nodes
+    through, none less."""
+    most = (1 << NEED_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] | None = None  # the only node so far of the last signature
         given = None  # the last signature, if it has two
         last = None  # the last row
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("sig", "node", "need")]
-            if not len(columns[0]):
+            if not len(batch):
                 continue
-            sig, node, _ = columns
+            key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+            sig, need = key >> NEED_BITS, (key & most).astype(np.int32)
+            columns = [sig, node, need]
             again = np.append(last == (sig[0], node[0]), (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
             last = (sig[-1], node[-1])
             columns = [c[~again] for c in columns]
@@ -266,7 +276,10 @@ def buckets(rows: DataFrame) -> DataFrame:
             if shared.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns], names=["sig", "node", "need"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, node bigint, need int")
+    need = F.least(F.col("need"), F.lit(most - 1) + F.col("need") % 2).cast("bigint")
+    packed = rows.select(F.shiftleft("sig", NEED_BITS).bitwiseOR(need).alias("key"), "node")
+    packed = packed.repartition(F.shiftright("key", NEED_BITS)).sortWithinPartitions("key", "node")
+    return packed.mapInArrow(run, "sig bigint, node bigint, need int")
 
 
 def enough(rows: DataFrame) -> DataFrame:
@@ -287,18 +300,28 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _first_documents(owned: DataFrame) -> np.ndarray:
+    """A filter of the hashed ids of one document of each node."""
+    chosen = owned.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return _filter_bits(chosen.select(F.xxhash64("doc_id").alias("node")))
+
+
+def _wanted(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
+    """The rows whose ``key`` the filter holds, and few others."""
+    key = batch.column("key").to_numpy()
+    found = (wanted[((key.view(_U) >> _U(6)) % _U(FILTER_WORDS)).astype(np.int64)] >> (key & 63)) & 1
+    return batch.filter(pa.array(found.astype(bool)))
+
+
 def node_sets(docs: DataFrame, nodes: DataFrame, owned: DataFrame, width: int) -> DataFrame:
     """node, n, sketch, codes (uint64, sorted) of the nodes, and of few others. ``owned`` has the node of each document: one document
     of each node is cut into shingles again, the rest of the texts is passed over."""
-    chosen = owned.where("doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = _filter_bits(chosen.select(F.xxhash64("doc_id").alias("node")))
+    wanted = _first_documents(owned.join(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = np.zeros(0, np.int64)
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            found = (wanted[((key.view(_U) >> _U(6)) % _U(FILTER_WORDS)).astype(np.int64)] >> (key & 63)) & 1
-            for lo, hi, data, offsets in _texts(batch.filter(pa.array(found.astype(bool)))):
+            for lo, hi, data, offsets in _texts(_wanted(batch, wanted)):
                 owner, code = shingles(data, offsets, width)
                 size, node = node_ids(owner, code, hi - lo)
                 fresh = np.zeros(hi - lo, bool)
@@ -501,7 +524,7 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, similarity: Fraction, nearest
 
 def node_classes(docs: DataFrame, owned: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """(node, comp) of all nodes with signatures in common with others: each node's class by verified links."""
-    rows = materialize(buckets(signature_rows(docs, width, similarity)), "buckets")
+    rows = materialize(buckets(signature_rows(docs, width, similarity, owned)), "buckets")
     rows = materialize(enough(rows), "buckets")
     nodes = materialize(rows.select("node").distinct(), "nodes")
     sets = bucketed(node_sets(docs, nodes, owned, width), "node", "sets")
