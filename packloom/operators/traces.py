@@ -78,17 +78,45 @@ def fold_blocks(lines: DataFrame) -> DataFrame:
     lines that do not fold), ``block_len`` and ``block_indent`` (of the first line of the run).
 
     A run lies between two breaks, so its length is the difference of their positions; no run is ever
-    gathered under a key of its own.
+    gathered under a key of its own. A trace that lies in its first slice is done with that slice alone; only
+    for longer ones are the slices set beside each other.
     """
+    marked = lines.where(F.col("trace_id").isNotNull() & F.col("line_no").isNotNull())
+    beyond = (F.col("line_no") >= SLICE_LINES) | (F.col("line_no") < 0)
+    long = materialize(marked.where(beyond).select("trace_id").distinct(), "long-traces")
+    slices = materialize(_slices(_in_slices(marked.join(long, "trace_id", "left_semi"))), "slices")
+    local = _in_slices(marked)
+
+    placed = local.join(slices, ["trace_id", "_slice"], "left").withColumns({
+        "_offset": F.coalesce("_offset", F.lit(0)), "_ahead": F.coalesce("_ahead", F.col("_n") + 1)})
+    here = F.col("foldable") & F.col("solid")
+    block = F.coalesce(F.col("_offset") + F.col("_break"), F.col("_carry"), F.lit(0)).cast("bigint")
+    length = F.coalesce(F.col("_offset") + F.col("_next"), F.col("_ahead")) - F.col("block") - 1
+    began_here = F.col("block") >= F.col("_offset")
+    return placed.withColumn("pos", (F.col("_offset") + F.col("_rn")).cast("bigint")).withColumn(
+        "block", F.when(here, block)
+    ).withColumn("block_len", F.when(here, length.cast("bigint"))).withColumn(
+        "block_indent", F.when(here, F.when(began_here, F.col("_begin.indent")).otherwise(F.col("_indent")))
+    ).select(*lines.columns, "pos", "block", "block_len", "block_indent")
+
+
+def _in_slices(lines: DataFrame) -> DataFrame:
+    """Add ``_slice``, ``_n`` (its non-blank lines), ``_rn`` (position among them), ``_break`` and ``_next`` (positions of the breaks
+    around), and ``_begin`` (how the last run of the slice so far begins)."""
     marked = lines.withColumn("_slice", F.floor(F.col("line_no") / SLICE_LINES))
     inside = Window.partitionBy("trace_id", "_slice").orderBy("line_no")
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    local = marked.withColumn("_rn", F.sum(F.col("solid").cast("bigint")).over(inside))
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    solid = F.col("solid").cast("bigint")
+    local = marked.withColumns({"_rn": F.sum(solid).over(inside), "_n": F.sum(solid).over(whole)})
     at_break = F.when(F.col("solid") & ~F.col("foldable"), F.col("_rn"))
     local = local.withColumn("_break", F.max(at_break).over(inside)).withColumn("_next", F.min(at_break).over(onward))
     opens = F.col("solid") & F.col("foldable") & (F.col("_rn") == F.coalesce("_break", F.lit(0)) + 1)
-    local = local.withColumn("_begin", F.last(F.when(opens, F.struct("_rn", "indent")), ignorenulls=True).over(inside))
+    return local.withColumn("_begin", F.last(F.when(opens, F.struct("_rn", "indent")), ignorenulls=True).over(inside))
 
+
+def _slices(local: DataFrame) -> DataFrame:
+    """(trace_id, _slice, _offset, _carry, _ahead, _indent): what the other slices of a trace tell each one."""
     slices = local.groupBy("trace_id", "_slice").agg(
         F.max("_rn").alias("_n"), F.max("_break").alias("_last"), F.min("_next").alias("_first"),
         F.max(F.when(F.col("_begin._rn") > F.coalesce("_break", F.lit(0)), F.struct("_rn", "_begin"))).alias("_end"),
@@ -109,17 +137,7 @@ def fold_blocks(lines: DataFrame) -> DataFrame:
     stretch = Window.partitionBy("trace_id", "_stretch").orderBy("_slice")
     slices = slices.withColumn("_start", F.first("_open", ignorenulls=True).over(stretch))
     slices = slices.withColumn("_indent", F.lag("_start").over(by_trace))
-
-    placed = local.join(slices.select("trace_id", "_slice", "_offset", "_carry", "_ahead", "_indent"), ["trace_id", "_slice"])
-    here = F.col("foldable") & F.col("solid")
-    block = F.coalesce(F.col("_offset") + F.col("_break"), F.col("_carry"), F.lit(0)).cast("bigint")
-    length = F.coalesce(F.col("_offset") + F.col("_next"), F.col("_ahead")) - F.col("block") - 1
-    began_here = F.col("block") >= F.col("_offset")
-    return placed.withColumn("pos", (F.col("_offset") + F.col("_rn")).cast("bigint")).withColumn(
-        "block", F.when(here, block)
-    ).withColumn("block_len", F.when(here, length.cast("bigint"))).withColumn(
-        "block_indent", F.when(here, F.when(began_here, F.col("_begin.indent")).otherwise(F.col("_indent")))
-    ).drop("_slice", "_rn", "_break", "_next", "_begin", "_offset", "_carry", "_ahead", "_indent")
+    return slices.select("trace_id", "_slice", "_offset", "_carry", "_ahead", "_indent")
 
 
 def _head(config: FoldConfig) -> Column:
