@@ -14,7 +14,7 @@ import numpy as np
 
 from packloom.llm import words as W
 
-_GROUP, _KEPT = 4096, 1_500_000
+_GROUP, _KEPT = 4096, 1_000_000
 
 
 class WordEncoder:
