@@ -23,7 +23,8 @@ One pass encodes all texts and writes their ids to the shared folder, with the c
 of its training texts; counting classes, fitting and scoring read the ids from there.
 
 The base score is a word unigram with add-one smoothing: counts of all training words, by one shuffle
-of (word, count) rows, meet the words of each text in one join.
+of (word, count) rows. The words seen most, up to ``HELD_WORDS``, are held by every task that reads texts; the other
+words of each text meet their counts in one join.
 
 A null text counts as empty: one token, the end. A null doc_id is trained on. Repeated rows give equal rows. Without
 training rows all counts are zero. Columns other than doc_id and text are not read.
@@ -46,8 +47,9 @@ STRIDE, DIM, HIDDEN, CLASSES, ROWS = 32, 16, 32, 64, 2048
 ROUNDS, BATCH, DRAWS = 8, 128, 32_000
 NEAR, SELDOM = 64, 3
 FOLLOWERS, DISCOUNT = 1 << 21, 0.6
+HELD_WORDS = 1 << 20
 _RUNS_AT_ONCE = 1 << 21  # distinct runs of ids that a task adds up before it gives them out
-_CLIP, _AT_ONCE = np.float32(60), 256
+_CLIP, _AT_ONCE = np.float32(60), 128
 _NO_ID = -(1 << 62)
 _TEXT, _WORD, _COUNT, _NEIGHBOUR = 0, 1, 2, 3
 _CHUNKS = 64
@@ -61,32 +63,53 @@ def blocks(
     With ``turn``, one for each text, only every ``turns``-th block of it, from another one for each turn."""
     n = count + 1
     first = np.cumsum(n) - n
-    target = np.full(int(n.sum()), end, np.int64)
-    target[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
-    source = np.empty_like(target)
-    source[1:], source[first] = target[:-1], end
     per = -(-n // STRIDE)
     text = np.repeat(np.arange(len(n)), per)
     number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
     if turn is not None:
         some = np.flatnonzero((number + turn[text]) % turns == 0)
         text, number = text[some], number[some]
-    at = STRIDE * number
-    place = at[:, None] + np.arange(-STRIDE, STRIDE)
-    inside = (place >= 0) & (place < n[text][:, None])
-    flat = np.where(inside, place + first[text][:, None], 0)
-    return np.where(inside, source[flat], -1), np.where(inside, target[flat], -1)[:, STRIDE:], text
+    ended = np.full(len(ids) + len(count) + 1 + 3 * STRIDE, -1, np.int64)
+    ended[STRIDE: STRIDE + len(ids) + len(count) + 1] = _ended(ids, count, end)
+    at = first[text] + STRIDE * number
+    source = np.lib.stride_tricks.sliding_window_view(ended, 2 * STRIDE)[at]
+    target = np.lib.stride_tricks.sliding_window_view(ended, STRIDE)[at + STRIDE + 1]
+    source[number == 0, :STRIDE] = -1
+    left = n[text] - STRIDE * number
+    short = np.flatnonzero(left < STRIDE)
+    row, column = np.nonzero(np.arange(STRIDE) >= left[short, None])
+    source[short[row], STRIDE + column] = target[short[row], column] = -1
+    return source, target, text
+
+
+def _in_order(wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of 0 or more, in parts, sorted, each with the place it comes from. Number and place are sorted as one, which is several
+    times as fast as sorting places."""
+    bits = 63 - int(wanted.max(initial=1)).bit_length()
+    if bits < 10:
+        order = np.argsort(wanted)
+        yield wanted[order], order
+        return
+    for a in range(0, len(wanted), 1 << bits):
+        part = wanted[a: a + (1 << bits)] << bits
+        part |= np.arange(len(part))
+        part.sort()
+        yield part >> bits, a + (part & ((1 << bits) - 1))
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key stands among the sorted ones, -1 if it is none of them."""
+    out = np.full(len(wanted), -1)
+    if len(keys):
+        for some, order in _in_order(wanted):  # sorted keys are looked up faster
+            at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+            out[order] = np.where(keys[at] == some, at, -1)
+    return out
 
 
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
     """The value of each wanted key among the sorted ones, ``other`` where it is none of them."""
-    if not len(keys):
-        return np.full(len(wanted), other)
-    order = np.argsort(wanted)  # sorted keys are looked up faster
-    wanted, out = wanted[order], np.empty(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    out[order] = np.where(keys[at] == wanted, values[at], other)
-    return out
+    return np.append(values, other)[_places(keys, wanted)]
 
 
 class AttentionModel:
@@ -105,7 +128,7 @@ class AttentionModel:
         self.inner = np.zeros(self.n_ids, bool) if inner is None else inner
         self.learn_runs(np.ones(self.n_ids), np.zeros(0, np.int64), np.zeros(0))
         self.learn_others(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-        self.causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
+        self.causal = (np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE).astype(np.float32)
 
     def learn_counts(self, ids: np.ndarray, pairs: np.ndarray) -> None:
         """p(id | class) and p(class | class before) with add-one smoothing."""
@@ -135,6 +158,8 @@ class AttentionModel:
             given = given[order][:two]
             some = np.flatnonzero(given > 0)
             self.contexts, self.context_rest = self.keys[some], np.maximum(1 - given[some] / n[some], 1e-12)
+        self.held_rest = np.ones(len(self.keys) + 1)  # of each held run, as what others go on from; the last is for none
+        self.held_rest[np.searchsorted(self.keys, self.contexts)] = self.context_rest
 
     def learn_others(self, keys: np.ndarray, n: np.ndarray, given: np.ndarray) -> None:
         """The runs that are not held, as far as the texts scored next have them; with a run of three its first two, held or not."""
@@ -149,39 +174,65 @@ class AttentionModel:
         some = np.flatnonzero(given[:two] > 0)
         self.other_contexts, self.other_rest = self.other_keys[some], np.maximum(1 - given[some] / n[some], 1e-12)
 
-    def _share(self, keys: np.ndarray) -> np.ndarray:
-        held = _found(self.keys, self.share, keys, 0.0)
-        return held + _found(self.other_keys, self.other_share, keys, 0.0) if len(self.other_keys) else held
-
-    def _context_rest(self, context: np.ndarray) -> np.ndarray:
-        held = _found(self.contexts, self.context_rest, context, 1.0)
-        return held * _found(self.other_contexts, self.other_rest, context, 1.0) if len(self.other_contexts) else held
+    def _share(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each run holds of its context, and where it stands among the held runs, -1 if it is none of them."""
+        at = _places(self.keys, keys)
+        share = np.where(at >= 0, self.share[at] if len(self.share) else 0.0, 0.0)
+        if len(self.other_keys):
+            left = np.flatnonzero(at < 0)
+            share[left] = _found(self.other_keys, self.other_share, keys[left], 0.0)
+        return share, at
+
+    def _context_rest(self, context: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``at``: where the context stands among the held runs."""
+        rest = self.held_rest[at]
+        if len(self.other_contexts):
+            left = np.flatnonzero(at < 0)
+            rest[left] *= _found(self.other_contexts, self.other_rest, context[left], 1.0)
+        return rest
 
     def blended(self, earlier: np.ndarray, before: np.ndarray, goal: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each goal, given the two ids before it and the attention model's own log."""
-        p = self._share(before * self.n_ids + goal) + self.rest[before] * np.exp(log_p)
+        two = before * self.n_ids + goal
+        share, at = self._share(two)
+        p = share + self.rest[before] * np.exp(log_p)
         some = np.flatnonzero(self.inner[before])
         context = earlier[some] * self.n_ids + before[some]
-        p[some] = self._share((context + self.n_ids) * self.n_ids + goal[some]) + self._context_rest(context) * p[some]
+        context_at = at[some - 1]  # where ids follow each other, a context is the run before
+        other = np.flatnonzero(two[some - 1] != context)
+        context_at[other] = _places(self.keys, context[other])
+        p[some] = self._share((context + self.n_ids) * self.n_ids + goal[some])[0] + self._context_rest(context, context_at) * p[some]
         return np.log(p)
 
+    def _products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weights as they are applied to positions, whose last column is 1: query times key, value times output, and the dense layer with its bias."""
+        p = self.p
+        near, far = np.zeros((DIM + 1, DIM), np.float32), np.zeros((DIM + 1, DIM + 1), np.float32)
+        near[:DIM], far[:DIM, :DIM] = (p["q"] @ p["k"].T) * np.float32(DIM ** -0.5), p["v"] @ p["o"]
+        return near, far, np.concatenate([p["w1"], p["b1"][None]])
+
     def _forward(self, source: np.ndarray) -> dict[str, np.ndarray]:
-        p, known = self.p, source >= 0
-        ids = np.where(known, source, 0)
-        c = self.class_of[ids]
-        x = p["class"][c] + p["row"][ids % ROWS] + p["place"]
-        xq = x[:, STRIDE:]
-        q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(DIM ** -0.5)
-        s = np.exp(np.clip(s, -_CLIP, _CLIP)) * (self.causal & known[:, None, :])
-        s /= s.sum(2, keepdims=True)
-        o = s @ v
-        z = xq + o @ p["o"]
-        pre = z @ p["w1"] + p["b1"]
-        h = np.maximum(pre, 0)
-        logits = h @ p["w2"] + p["b2"] + self.prior[c[:, STRIDE:]]
-        logits = np.clip(logits, -_CLIP, _CLIP)
-        return {"ids": ids, "c": c, "x": x, "q": q, "k": k, "v": v, "a": s, "o": o, "z": z, "pre": pre, "h": h, "logits": logits}
+        """Weights that follow each other are multiplied first, so no position is projected to keys and values. Positions have a last column of 1,
+        0 where there is none: it sums the weights given to them, which divide 17 columns instead of 64, and takes the bias."""
+        p, products, gone = self.p, self._products(), np.nonzero(source < 0)
+        near, far, w1 = products
+        ids = np.maximum(source, 0)
+        c, row = self.class_of[ids], ids % ROWS
+        x = np.take(_wide(p["class"], 0), c, axis=0)
+        x += np.take(_wide(p["row"], 1), row, axis=0)
+        x += _wide(p["place"], 0)
+        x[gone] = 0
+        own, xt = x[:, STRIDE:], np.ascontiguousarray(x.transpose(0, 2, 1))
+        q = own @ near
+        e = _weights(q, xt, self.causal)
+        o = e @ x
+        divide = 1 / o[:, :, DIM:]
+        o *= divide
+        z, h, logits = _layers(o, own, far, w1, p["w2"])
+        logits += np.take(self.prior + p["b2"], c[:, STRIDE:], axis=0)
+        logits = _clipped(logits)
+        return {"products": products, "gone": gone, "c": c, "row": row, "x": x, "own": own, "xt": xt, "q": q, "e": e, "o": o, "divide": divide,
+                "z": z, "h": h, "logits": logits}
 
     def log_probabilities(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target, 0 where there is none."""
@@ -198,101 +249,129 @@ class AttentionModel:
 
     def fit(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> "AttentionModel":
         """One step of Adam for each batch of inputs and targets."""
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        flat = self.packed()
+        ends = np.cumsum([v.size for v in self.p.values()])
+        self.p = {k: part.reshape(v.shape) for (k, v), part in zip(self.p.items(), np.split(flat, ends[:-1]))}  # a step changes all of them at once
+        m, s = np.zeros_like(flat), np.zeros_like(flat)
         for t, (source, target) in enumerate(batches, 1):
-            for name, g in self._gradient(source, target).items():
-                m, s = moment[name]
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                self.p[name] -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)
+            got = self._gradient(source, target)
+            g = np.concatenate([got[name].ravel() for name in self.p])
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            flat -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)
         return self
 
     def _gradient(self, source: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.p, self._forward(source)
+        near, far, w1 = f["products"]
+        x, own, q, e, o, divide, z, h, d = (f[k] for k in ("x", "own", "q", "e", "o", "divide", "z", "h", "logits"))
+        np.exp(d, out=d)
         known = target >= 0
-        d = np.exp(f["logits"])
-        d /= d.sum(2, keepdims=True)
-        goal = self.class_of[np.where(known, target, 0)]
-        np.put_along_axis(d, goal[:, :, None], np.take_along_axis(d, goal[:, :, None], 2) - 1, 2)
-        d *= (known / max(1, known.sum())).astype(np.float32)[:, :, None]
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        g = {"w2": flat(f["h"]).T @ flat(d), "b2": flat(d).sum(0)}
-        dh = (d @ p["w2"].T) * (f["pre"] > 0)
-        g |= {"w1": flat(f["z"]).T @ flat(dh), "b1": flat(dh).sum(0)}
-        dz = dh @ p["w1"].T
-        do = dz @ p["o"].T
-        g["o"] = flat(f["o"]).T @ flat(dz)
-        da, dv = do @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ do
-        ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) * np.float32(DIM ** -0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        x = f["x"]
-        g |= {"q": flat(x[:, STRIDE:]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, STRIDE:] += dz + dq @ p["q"].T
-        dx *= (source >= 0)[:, :, None]
+        weight = known.astype(np.float32)
+        weight /= max(1, int(known.sum()))
+        d *= (weight / (d @ np.ones(CLASSES, np.float32)))[:, :, None]
+        cell = np.arange(0, d.size, CLASSES) + self.class_of[np.maximum(target, 0)].ravel()
+        d.reshape(-1)[cell] -= weight.ravel()
+        total = lambda a, b: (a.transpose(0, 2, 1) @ b).sum(0)
+        g = {"w2": total(h, d), "b2": np.ones(d.size // CLASSES, np.float32) @ d.reshape(-1, CLASSES)}
+        dh = d @ np.ascontiguousarray(p["w2"].T)
+        dh *= h > 0
+        both = total(z, dh)
+        g |= {"w1": both[:DIM], "b1": both[DIM]}
+        dz = dh @ np.ascontiguousarray(w1.T)
+        dfar = total(o, dz)[:DIM, :DIM]
+        do = dz @ np.ascontiguousarray(far.T)
+        do[:, :, DIM] = -((do * o) @ np.ones(DIM + 1, np.float32))
+        do *= divide
+        ds = do @ f["xt"]
+        ds *= e
+        dq = ds @ x[:, :, :DIM]
+        dnear = total(own, dq)[:DIM]
+        dx = e.transpose(0, 2, 1) @ do[:, :, :DIM]
+        dx += ds.transpose(0, 2, 1) @ q
+        dx[:, STRIDE:] += dz[:, :, :DIM]
+        dx[:, STRIDE:] += dq @ np.ascontiguousarray(near[:DIM].T)
+        dx[f["gone"]] = 0
         g["place"] = dx.sum(0)
-        for name, index, rows in (("class", f["c"], CLASSES), ("row", f["ids"] % ROWS, ROWS)):
-            cell = (index.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-            g[name] = np.bincount(cell, weights=dx.ravel(), minlength=rows * DIM).reshape(rows, DIM).astype(np.float32)
-        return g
+        by_column = np.array(dx.reshape(-1, DIM).T, np.float64, order="C")
+        for name, index, rows in (("class", f["c"].ravel(), CLASSES), ("row", f["row"].ravel(), ROWS)):
+            g[name] = np.stack([np.bincount(index, weights=v, minlength=rows) for v in by_column], 1).astype(np.float32)
+        scale = np.float32(DIM ** -0.5)
+        return g | {"q": (dnear @ p["k"]) * scale, "k": (dnear.T @ p["q"]) * scale, "v": dfar @ p["o"].T, "o": p["v"].T @ dfar}
+
+
+def _wide(rows: np.ndarray, last: float) -> np.ndarray:
+    return np.concatenate([rows, np.full((len(rows), 1), last, np.float32)], 1)
+
+
+def _clipped(x: np.ndarray) -> np.ndarray:
+    """Hardly ever is there anything to clip, and to look for it takes less than to write all again."""
+    return np.clip(x, -_CLIP, _CLIP, out=x) if x.size and max(x.max(), -x.min()) > _CLIP else x
+
+
+def _weights(q: np.ndarray, xt: np.ndarray, causal: np.ndarray) -> np.ndarray:
+    """exp of what each position gives the ones it sees, before it is divided by its sum."""
+    e = _clipped(q @ xt[:, :DIM])
+    np.exp(e, out=e)
+    e *= causal
+    return e
+
+
+def _layers(o: np.ndarray, own: np.ndarray, far: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    z = o @ far
+    z += own
+    h = z @ w1
+    np.maximum(h, 0, out=h)
+    return z, h, h @ w2
 
 
 class Scorer:
-    """The forward pass of a trained model with all products that depend on the id alone looked up in tables."""
+    """The forward pass of a trained model, with what depends on the id alone looked up in a table."""
 
     def __init__(self, model: AttentionModel):
         p = model.p
         self.model, self.none = model, len(model.class_of)
-        table = lambda width: np.zeros((self.none + 1, width), np.float32)
-        x = p["class"][model.class_of] + p["row"][np.arange(self.none) % ROWS]
-        q = p["q"] * np.float32(DIM ** -0.5)
-        self.key, self.value, self.own = table(DIM), table(DIM + 1), table(2 * DIM)
-        self.key[:-1], self.own[:-1, :DIM], self.own[:-1, DIM:] = x @ p["k"], x, x @ q
-        self.value[:-1, :DIM], self.value[:-1, DIM] = x @ p["v"], 1  # the last column sums the weights; 0 where no id is
-        self.key_place = p["place"] @ p["k"]
-        self.value_place = np.concatenate([p["place"] @ p["v"], np.zeros((2 * STRIDE, 1), np.float32)], 1)
-        place = p["place"][STRIDE:]
-        self.own_place = np.concatenate([place, place @ q], 1)
+        self.near, self.far, self.w1 = model._products()
+        self.x = np.zeros((self.none + 1, DIM + 1), np.float32)
+        self.x[:-1] = _wide(p["class"][model.class_of] + p["row"][np.arange(self.none) & (ROWS - 1)], 1)
+        self.place = _wide(p["place"], 0)
         self.prior = model.prior + p["b2"]
-        self.causal = model.causal.astype(np.float32)
         self.ones = np.ones(CLASSES, np.float32)
 
+    def attended(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of the attention model's own probability of each target; any number where there is none."""
+        model = self.model
+        x = np.take(self.x, np.where(source >= 0, source, self.none), axis=0)
+        x += self.place
+        x[np.nonzero(source < 0)] = 0
+        own = x[:, STRIDE:]
+        o = _weights(own @ self.near, np.ascontiguousarray(x.transpose(0, 2, 1)), model.causal) @ x
+        o /= np.maximum(o[:, :, DIM:], np.float32(1e-30))
+        logits = _layers(o, own, self.far, self.w1, model.p["w2"])[2]
+        logits += np.take(self.prior, model.class_of[np.maximum(source[:, STRIDE:], 0)], axis=0)
+        logits = _clipped(logits)
+        goal = np.maximum(target, 0)
+        got = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + model.class_of[goal].ravel()].astype(np.float64)
+        np.exp(logits, out=logits)
+        return got.reshape(goal.shape) + model.within[goal] - np.log(logits @ self.ones)
+
     def log_probabilities(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target, 0 where there is none."""
-        model, p = self.model, self.model.p
-        ids = np.where(source >= 0, source, self.none)
-        key = self.key[ids] + self.key_place
-        value = self.value[ids] + self.value_place
-        value *= value[:, :, DIM:]
-        own = self.own[ids[:, STRIDE:]] + self.own_place
-        a = own[:, :, DIM:] @ key.transpose(0, 2, 1)
-        np.clip(a, -_CLIP, _CLIP, out=a)
-        np.exp(a, out=a)
-        a *= self.causal
-        o = (a @ value).reshape(-1, DIM + 1)
-        z = own[:, :, :DIM].reshape(-1, DIM) + (o[:, :DIM] / np.maximum(o[:, DIM:], np.float32(1e-30))) @ p["o"]
-        h = z @ p["w1"]
-        h += p["b1"]
-        np.maximum(h, 0, out=h)
-        logits = h @ p["w2"]
-        logits += self.prior[model.class_of[np.maximum(source[:, STRIDE:], 0)].ravel()]
-        np.clip(logits, -_CLIP, _CLIP, out=logits)
-        goal = np.maximum(target, 0).ravel()
-        got = logits[np.arange(len(goal)), model.class_of[goal]].astype(np.float64)
-        np.exp(logits, out=logits)
-        got += model.within[goal] - np.log(logits @ self.ones)
         before = np.maximum(source, 0)
-        got = model.blended(before[:, STRIDE - 1: -1].ravel(), before[:, STRIDE:].ravel(), goal, got)
+        got = self.model.blended(
+            before[:, STRIDE - 1: -1].ravel(), before[:, STRIDE:].ravel(), np.maximum(target, 0).ravel(), self.attended(source, target).ravel())
         return np.where(target >= 0, got.reshape(target.shape), 0.0)
 
     def texts(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 of the probability of each text."""
-        source, target, text = blocks(ids, count, self.none - 1)
-        out = np.zeros(len(count))
-        for a in range(0, len(text), _AT_ONCE):
-            b = a + _AT_ONCE
-            out += np.bincount(text[a:b], weights=self.log_probabilities(source[a:b], target[a:b]).sum(1), minlength=len(count))
-        return out / np.log(10)
+        source, target, _ = blocks(ids, count, self.none - 1)
+        if not len(source):
+            return np.zeros(len(count))
+        known = target >= 0
+        log_p = np.concatenate([self.attended(source[a: a + _AT_ONCE], target[a: a + _AT_ONCE]) for a in range(0, len(source), _AT_ONCE)])[known]
+        # The runs of all blocks are looked up together, in the order of the ids.
+        got = self.model.blended(*(np.maximum(x, 0)[known] for x in (source[:, STRIDE - 1: -1], source[:, STRIDE:], target)), log_p)
+        return np.bincount(np.repeat(np.arange(len(count)), count + 1), weights=got, minlength=len(count)) / np.log(10)
 
 
 def id_classes(seen: np.ndarray, near: np.ndarray, seed: int = 9) -> np.ndarray:
@@ -374,35 +453,48 @@ def run_keys(ended: np.ndarray, inner: np.ndarray) -> np.ndarray:
     return np.concatenate([two, (two[third] + n) * n + ended[third + 2]])
 
 
+def _added(keys: np.ndarray, n: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, with those of ``more`` put in."""
+    some, times = np.unique(np.concatenate([keys[:0], *more]), return_counts=True)
+    if not len(keys):
+        return some, times
+    at = np.searchsorted(keys, some)
+    new = keys[np.minimum(at, len(keys) - 1)] != some
+    n = n.copy()
+    n[at[~new]] += times[~new]
+    return np.insert(keys, at[new], some[new]), np.insert(n, at[new], times[new])
+
+
 def run_counts(texts: DataFrame, inner: np.ndarray) -> DataFrame:
     """key, n of all runs of two and three ids of all texts, written."""
     n_ids = len(inner)
     kind = _width(n_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, n, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for ids, count, _ in _learned_ids(batches, kind):
-            e = _ended(ids, count, n_ids - 1)
-            some, times = np.unique(run_keys(e, inner), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, some]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([n, times]), minlength=len(keys)).astype(np.int64)
+            waiting.append(run_keys(_ended(ids, count, n_ids - 1), inner))
+            if sum(map(len, waiting)) < _RUNS_AT_ONCE:
+                continue
+            (keys, n), waiting = _added(keys, n, waiting), []
             if len(keys) > _RUNS_AT_ONCE:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
                 keys, n = keys[:0], n[:0]
+        keys, n = _added(keys, n, waiting)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
     return materialize(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "id-runs")
 
 
-def _least_held(counted: DataFrame) -> tuple[int | None, bool]:
-    """The smallest count that leaves at most ``FOLLOWERS`` runs, none if every count leaves more; and whether other runs are left.
+def _least_held(counted: DataFrame, most: int) -> tuple[int | None, bool]:
+    """The smallest count that leaves at most ``most`` runs or words, none if every count leaves more; and whether others are left.
     Nothing but the counts' histogram reaches the driver."""
     level = F.floor(16 * F.log2("n"))  # at most 16 levels from one power of two to the next
     least = None
     total = 0
     for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("runs"), F.min("n").alias("n")).collect(), key=lambda r: -r.level):
         total += row.runs
-        if total > FOLLOWERS:
+        if total > most:
             return least, True
         least = row.n
     return least, False
@@ -411,14 +503,14 @@ def _least_held(counted: DataFrame) -> tuple[int | None, bool]:
 def following(texts: DataFrame, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of two and three ids seen most over all texts, and their counts: up to ``FOLLOWERS``, those that are held."""
     counted = run_counts(texts, inner)
-    held = counted.where(F.col("n") >= F.lit(_least_held(counted)[0])).toArrow()
+    held = counted.where(F.col("n") >= F.lit(_least_held(counted, FOLLOWERS)[0])).toArrow()
     return held.column("key").to_numpy(), held.column("n").to_numpy().astype(np.float64)
 
 
 def learn_all_runs(model: AttentionModel, ids: np.ndarray, texts: DataFrame) -> DataFrame | None:
     """Teaches ``model`` the runs seen most. The others come back as a table (key, n, given), none if all are held."""
     counted = run_counts(texts, model.inner)
-    least, more = _least_held(counted)
+    least, more = _least_held(counted, FOLLOWERS)
     n = F.col("n")
     if not more:
         held = counted.where(n >= F.lit(least)).toArrow()
@@ -452,8 +544,10 @@ def runs_asked(texts: DataFrame, model: AttentionModel) -> DataFrame:
                 data, offsets = W.text_bytes(batch.column("ids").slice(a, b - a))
                 for lo, hi in W.slices(offsets):
                     ids = data[offsets[lo]: offsets[hi]].view(kind).astype(np.int64)
-                    asked = np.unique(run_keys(_ended(ids, np.diff(offsets[lo: hi + 1]) // size, len(inner) - 1), inner))
-                    asked = asked[_found(keys, np.ones(len(keys)), asked, 0.0) == 0]
+                    asked = np.sort(run_keys(_ended(ids, np.diff(offsets[lo: hi + 1]) // size, len(inner) - 1), inner))
+                    asked = asked[np.append(True, asked[1:] != asked[:-1])[: len(asked)]]
+                    if len(keys):
+                        asked = asked[keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] != asked]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), part[a])), pa.array(asked)], names=["part", "key"])
 
     return texts.select("part", "ids").mapInArrow(run, "part bigint, key bigint")
@@ -588,39 +682,67 @@ def _encoded_table(rows: DataFrame, path: str, n_ids: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice: distinct (text, word) with its count; the end is a word of its own."""
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Per slice: text and word of every word; the end is a word of its own."""
     data, offsets = W.text_bytes(batch.column("text"))
     for lo, hi in W.slices(offsets):
         part, at = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
         doc, starts, ends = W.spans(part, at, W.NOT_SPACE)
         word = W.hashes(part, starts, ends).view(np.int64)
-        doc, word = np.concatenate([doc, np.arange(hi - lo)]), np.concatenate([word, np.full(hi - lo, END_WORD)])
-        order = np.lexsort((word, doc))
-        doc, word = doc[order], word[order]
-        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))) if len(doc) else np.zeros(0, np.int64)
-        yield lo, hi, doc[new], word[new], np.diff(np.append(new, len(doc)))
+        yield lo, hi, np.concatenate([doc, np.arange(hi - lo)]), np.concatenate([word, np.full(hi - lo, END_WORD)])
 
 
-def base_scores(rows: DataFrame, encoded: DataFrame) -> DataFrame:
-    """id, salt, n_tokens, n_known, train_tokens, base_score of each different (id, salt); copies are divided out."""
+def word_uses(rows: DataFrame, word: np.ndarray, c: np.ndarray, others: bool) -> DataFrame:
+    """A row without a word for each text, with its number of words n and, of the held words (sorted, with their counts), how many are
+    known (k) and the sum of logs (s). With ``others``, a row for each different word of a text that is not held, and how often it is there."""
+    known, log = np.append(c > 0, False), np.append(np.log10(c + 1.0), 0.0)
+    schema = pa.schema([("id", pa.int64()), ("salt", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("s", pa.float64())])
 
-    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, doc, word, n in _words(batch):
-                take = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("salt").take(take), pa.array(word), pa.array(n)], names=["id", "salt", "word", "n"])
+            for lo, hi, doc, used in _words(batch):
+                different, inverse = np.unique(used, return_inverse=True)
+                at = np.minimum(np.searchsorted(word, different), max(len(word) - 1, 0))
+                at = np.where(word[at] == different, at, len(word)) if len(word) else np.zeros(len(different), np.int64)
+                total = lambda v: np.bincount(doc, weights=v, minlength=hi - lo)
+                number = np.bincount(doc, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").slice(lo, hi - lo), batch.column("salt").slice(lo, hi - lo), pa.nulls(hi - lo, pa.int64()), pa.array(number),
+                    pa.array(total(known[at][inverse]).astype(np.int64)), pa.array(total(log[at][inverse]))], schema=schema)
+                left = np.flatnonzero(at[inverse] == len(word)) if others else []
+                if len(left):
+                    both, n = np.unique(doc[left] * len(different) + inverse[left], return_counts=True)
+                    take = pa.array(both // len(different) + lo)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("id").take(take), batch.column("salt").take(take), pa.array(different[both % len(different)]), pa.array(n),
+                        pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.float64())], schema=schema)
+
+    return rows.select("id", "salt", "text").mapInArrow(run, "id bigint, salt bigint, word bigint, n bigint, k bigint, s double")
+
 
-    learned = encoded.where(F.col("kind") == _WORD).groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c"))
+def base_scores(rows: DataFrame, encoded: DataFrame) -> DataFrame:
+    """id, salt, n_tokens, n_known, train_tokens, base_score of each different (id, salt); copies are divided out."""
+    learned = encoded.where(F.col("kind") == _WORD).groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"))
     learned = materialize(learned, "word-counts")
-    total, distinct = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    used = rows.select("id", "salt", "text").mapInArrow(uses, "id bigint, salt bigint, word bigint, n bigint").join(
-        # One row of two numbers per distinct word: its share in a partition fits in a hash table, and no use is sorted.
-        learned.hint("shuffle_hash"), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = used.groupBy("id", "salt").agg(
-        F.sum("n").alias("n"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10(c + 1.0)).alias("s"),
-        F.sum(F.when(F.col("word") == END_WORD, F.col("n")).otherwise(0)).alias("copies"))
+    total, distinct = learned.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least, others = _least_held(learned, HELD_WORDS)
+    held = learned.where(F.col("n") >= F.lit(least)).toArrow()
+    word, n = held.column("word").to_numpy(), held.column("n").to_numpy()
+    order = np.argsort(word)
+    used = word_uses(rows, word[order], n[order], others)
+    texts = F.lit(1).alias("copies")
+    if others:
+        used = materialize(used, "word-uses")
+        c = F.coalesce("c", F.lit(0))
+        met = used.where(F.col("word").isNotNull()).select("id", "salt", "word", "n").join(
+            # One row of two numbers per distinct word: its share in a partition fits in a hash table, and no use is sorted.
+            learned.select("word", F.col("n").alias("c")).hint("shuffle_hash"), "word", "left").select(
+            "id", "salt", F.lit(0).cast("bigint").alias("n"), F.when(c > 0, F.col("n")).otherwise(0).alias("k"),
+            (F.col("n") * F.log10(c + 1.0)).alias("s"), F.lit(0).alias("copies"))
+        used = used.where(F.col("word").isNull()).select("id", "salt", "n", "k", "s", texts).unionByName(met)
+    else:
+        used = used.select("id", "salt", "n", "k", "s", texts)
+    sums = used.groupBy("id", "salt").agg(*[F.sum(x).alias(x) for x in ("n", "k", "s", "copies")])
     return sums.select(
         "id", "salt", (F.col("n") / F.col("copies")).cast("bigint").alias("n_tokens"), (F.col("k") / F.col("copies")).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),

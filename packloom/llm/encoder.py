@@ -38,7 +38,7 @@ class WordEncoder:
         self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)  # without the offsets that encode works out
 
     def _encode(self, missing: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids one after another."""
