@@ -212,27 +212,31 @@ class AttentionModel:
         return near, far, np.concatenate([p["w1"], p["b1"][None]])
 
     def _forward(self, source: np.ndarray) -> dict[str, np.ndarray]:
-        """Weights that follow each other are multiplied first, so no position is projected to keys and values. Positions have a last column of 1,
-        0 where there is none: it sums the weights given to them, which divide 17 columns instead of 64, and takes the bias."""
-        p, products, gone = self.p, self._products(), np.nonzero(source < 0)
-        near, far, w1 = products
+        p, gone = self.p, np.nonzero(source < 0)
         ids = np.maximum(source, 0)
         c, row = self.class_of[ids], ids % ROWS
-        x = np.take(_wide(p["class"], 0), c, axis=0)
-        x += np.take(_wide(p["row"], 1), row, axis=0)
-        x += _wide(p["place"], 0)
-        x[gone] = 0
-        own, xt = x[:, STRIDE:], np.ascontiguousarray(x.transpose(0, 2, 1))
-        q = own @ near
-        e = _weights(q, xt, self.causal)
-        o = e @ x
-        divide = 1 / o[:, :, DIM:]
-        o *= divide
-        z, h, logits = _layers(o, own, far, w1, p["w2"])
-        logits += np.take(self.prior + p["b2"], c[:, STRIDE:], axis=0)
-        logits = _clipped(logits)
-        return {"products": products, "gone": gone, "c": c, "row": row, "x": x, "own": own, "xt": xt, "q": q, "e": e, "o": o, "divide": divide,
-                "z": z, "h": h, "logits": logits}
+        x = np.take(p["class"], c, axis=0)
+        x += np.take(p["row"], row, axis=0)
+        x += p["place"]
+        xq = x[:, STRIDE:]
+        q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
+        s = q @ k.transpose(0, 2, 1)
+        s *= np.float32(DIM ** -0.5)
+        s = _clipped(s)
+        np.exp(s, out=s)
+        s *= self.causal
+        s[gone[0], :, gone[1]] = 0
+        s /= s.sum(2, keepdims=True)
+        o = s @ v
+        z = o @ p["o"]
+        z += xq
+        h = z @ p["w1"]
+        h += p["b1"]
+        np.maximum(h, 0, out=h)
+        logits = h @ p["w2"]
+        logits += p["b2"]
+        logits += np.take(self.prior, c[:, STRIDE:], axis=0)
+        return {"gone": gone, "c": c, "row": row, "x": x, "q": q, "k": k, "v": v, "a": s, "o": o, "z": z, "h": h, "logits": _clipped(logits)}
 
     def log_probabilities(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target, 0 where there is none."""
@@ -263,41 +267,37 @@ class AttentionModel:
 
     def _gradient(self, source: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.p, self._forward(source)
-        near, far, w1 = f["products"]
-        x, own, q, e, o, divide, z, h, d = (f[k] for k in ("x", "own", "q", "e", "o", "divide", "z", "h", "logits"))
-        np.exp(d, out=d)
         known = target >= 0
-        weight = known.astype(np.float32)
-        weight /= max(1, int(known.sum()))
-        d *= (weight / (d @ np.ones(CLASSES, np.float32)))[:, :, None]
-        cell = np.arange(0, d.size, CLASSES) + self.class_of[np.maximum(target, 0)].ravel()
-        d.reshape(-1)[cell] -= weight.ravel()
-        total = lambda a, b: (a.transpose(0, 2, 1) @ b).sum(0)
-        g = {"w2": total(h, d), "b2": np.ones(d.size // CLASSES, np.float32) @ d.reshape(-1, CLASSES)}
-        dh = d @ np.ascontiguousarray(p["w2"].T)
+        h, a, d = f["h"], f["a"], f["logits"]
+        np.exp(d, out=d)
+        d /= d.sum(2, keepdims=True)
+        d.reshape(-1)[np.arange(0, d.size, CLASSES) + self.class_of[np.maximum(target, 0)].ravel()] -= 1
+        d *= (known / max(1, known.sum())).astype(np.float32)[:, :, None]
+        flat = lambda x: x.reshape(-1, x.shape[-1])
+        g = {"w2": flat(h).T @ flat(d), "b2": flat(d).sum(0)}
+        dh = d @ p["w2"].T
         dh *= h > 0
-        both = total(z, dh)
-        g |= {"w1": both[:DIM], "b1": both[DIM]}
-        dz = dh @ np.ascontiguousarray(w1.T)
-        dfar = total(o, dz)[:DIM, :DIM]
-        do = dz @ np.ascontiguousarray(far.T)
-        do[:, :, DIM] = -((do * o) @ np.ones(DIM + 1, np.float32))
-        do *= divide
-        ds = do @ f["xt"]
-        ds *= e
-        dq = ds @ x[:, :, :DIM]
-        dnear = total(own, dq)[:DIM]
-        dx = e.transpose(0, 2, 1) @ do[:, :, :DIM]
-        dx += ds.transpose(0, 2, 1) @ q
-        dx[:, STRIDE:] += dz[:, :, :DIM]
-        dx[:, STRIDE:] += dq @ np.ascontiguousarray(near[:DIM].T)
+        g |= {"w1": flat(f["z"]).T @ flat(dh), "b1": flat(dh).sum(0)}
+        dz = dh @ p["w1"].T
+        do = dz @ p["o"].T
+        g["o"] = flat(f["o"]).T @ flat(dz)
+        ds, dv = do @ f["v"].transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
+        ds -= (ds * a).sum(2, keepdims=True)
+        ds *= a
+        ds *= np.float32(DIM ** -0.5)
+        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
+        x = f["x"]
+        g |= {"q": flat(x[:, STRIDE:]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
+        dx = dk @ p["k"].T
+        dx += dv @ p["v"].T
+        dz += dq @ p["q"].T
+        dx[:, STRIDE:] += dz
         dx[f["gone"]] = 0
         g["place"] = dx.sum(0)
-        by_column = np.array(dx.reshape(-1, DIM).T, np.float64, order="C")
+        by_column = np.array(flat(dx).T, np.float64, order="C")
         for name, index, rows in (("class", f["c"].ravel(), CLASSES), ("row", f["row"].ravel(), ROWS)):
             g[name] = np.stack([np.bincount(index, weights=v, minlength=rows) for v in by_column], 1).astype(np.float32)
-        scale = np.float32(DIM ** -0.5)
-        return g | {"q": (dnear @ p["k"]) * scale, "k": (dnear.T @ p["q"]) * scale, "v": dfar @ p["o"].T, "o": p["v"].T @ dfar}
+        return g
 
 
 def _wide(rows: np.ndarray, last: float) -> np.ndarray:
